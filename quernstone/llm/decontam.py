@@ -191,6 +191,24 @@ def _parts(items: DataFrame, most_bytes: int) -> list[list[tuple[str, bytes]]]:
     return parts
 
 
+def _matchers(spark, benchmark: DataFrame, size: int, most_bytes: int = 8 << 20) -> list:
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
+    return [spark.sparkContext.broadcast(Matcher(p, size)) for p in _parts(items, most_bytes)]
+
+
+def _search(matchers: list, texts: list[bytes]) -> tuple[Split, np.ndarray, list[set[str]]]:
+    """The words of the texts, whether each is hit, and the ids of the items found in each text."""
+    split = Split([t.translate(_TABLE) for t in texts])
+    lanes = hashes(split.data, split.start, split.size)
+    hit, found = np.zeros(len(split.start), bool), [set() for _ in texts]
+    for m in matchers:
+        h, f = m.value(split, lanes)
+        hit |= h
+        for have, more in zip(found, f, strict=True):
+            have |= {m.value.ids[i] for i in more}
+    return split, hit, found
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_hit: float = 0.0, most_bytes: int = 8 << 20, clean: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, items (sorted array of item_ids as strings), contaminated (n_hit > max_hit * n_words),
     and with ``clean`` clean_text: the text without the stretch of each run of hit words; all else stays as it is.
@@ -201,20 +219,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_hi
     docs = docs_of(docs)
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
-    matchers = [spark.sparkContext.broadcast(Matcher(p, size)) for p in _parts(items, most_bytes)]
+    matchers = _matchers(spark, benchmark, size, most_bytes)
 
     def run(batches):
         for b in pieces(batches):
             texts = raw(b.column(1))
-            split = Split([t.translate(_TABLE) for t in texts])
-            lanes, n = hashes(split.data, split.start, split.size), split.n
-            hit, found = None, [set() for _ in texts]
-            for m in matchers:
-                h, f = m.value(split, lanes)
-                hit = h if hit is None else hit | h
-                for have, more in zip(found, f, strict=True):
-                    have |= {m.value.ids[i] for i in more}
+            split, hit, found = _search(matchers, texts)
+            n = split.n
             c = np.concatenate(([0], np.cumsum(hit)))
             ends = np.cumsum(n)
             n_hit = c[ends] - c[ends - n]
@@ -231,6 +242,40 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_hi
     return docs.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean" + ", clean_text string" * clean)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", **how) -> DataFrame:
+    """docs without the words of benchmark passages; a document whose words are all hit goes. All columns stay, and n_chars,
+    if there is one, is the new length. Texts without a hit are not touched, a null one included.
+
+    Whole rows pass through, so no join puts texts and results together again.
+    """
+    matchers = _matchers(docs.sparkSession, benchmark, size, **how)
+    at, schema = docs.columns.index(text_col), docs.schema
+    counted = docs.columns.index("n_chars") if docs.columns.count("n_chars") == 1 else None
+
+    def run(batches):
+        for b in batches:
+            column = b.column(at)
+            texts = raw(column)
+            split, hit, _ = _search(matchers, texts)
+            new, good = [], np.ones(len(texts), bool)
+            for i, (t, a, n) in enumerate(zip(texts, split.first.tolist(), split.n.tolist(), strict=True)):
+                some = hit[a : a + n]
+                if some.any():
+                    good[i] = not some.all()
+                    new.append(without(t, some))
+                else:
+                    new.append(t.decode("utf-8", "replace") if column[i].is_valid else None)
+            columns = list(b.columns)
+            columns[at] = pa.array(new, column.type)
+            if counted is not None:
+                old = columns[counted].to_pylist()
+                changed = [n != o for n, o in zip(new, column.to_pylist(), strict=True)]
+                columns[counted] = pa.array([len(n) if c else o for n, o, c in zip(new, old, changed, strict=True)], columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(good))
+
+    return docs.mapInArrow(run, schema)
+
+
 def without(text: bytes, hit: np.ndarray) -> str:
     """The text without the stretch of each run of hit words; what stands between two runs stays as it is."""
     plain = text.translate(_TABLE)

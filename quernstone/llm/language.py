@@ -54,7 +54,7 @@ def word_features(words: list[bytes], buckets: int, lexicon: dict[bytes, int], l
 _AROUND = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡·|"
 
 
-def forward_backward(score: np.ndarray, length: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(score: np.ndarray, length: np.ndarray, step: np.ndarray, start: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of each label (blocks x words x labels), and of neighbouring pairs summed over words (labels x labels).
 
     score: log-potentials of words; words from length on are padding.
@@ -69,19 +69,20 @@ def forward_backward(score: np.ndarray, length: np.ndarray, step: np.ndarray, st
         f[:, i] = (f[:, i - 1] @ a) * e[:, i]
         f[:, i] /= f[:, i].sum(1, keepdims=True)
     b = np.ones((n, t, k))
-    pairs = np.zeros((k, k))
+    sums = np.zeros((k, k))
     for i in range(t - 2, -1, -1):
         x = b[:, i + 1] * e[:, i + 1]
         inside = (i + 1 < length)[:, None]
-        joint = f[:, i][:, :, None] * a * x[:, None, :]
-        joint /= joint.sum((1, 2), keepdims=True)
-        pairs += (joint * inside[:, :, None]).sum(0)
+        if pairs:
+            joint = f[:, i][:, :, None] * a * x[:, None, :]
+            joint /= joint.sum((1, 2), keepdims=True)
+            sums += (joint * inside[:, :, None]).sum(0)
         y = x @ a.T
         b[:, i] = np.where(inside, y / y.sum(1, keepdims=True), 1)
     p = f * b
     p /= p.sum(2, keepdims=True)
     p[np.arange(t) >= length[:, None]] = 0
-    return p, pairs
+    return p, sums
 
 
 def blocks(n: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,42 +186,70 @@ def learn(docs: DataFrame, lang_col: str = "lang", per_lang: int = 150, **how) -
     return train([r.text.encode() for r in some], [r.lang for r in some], **how)
 
 
+class Labeller:
+    """Languages of texts under a model; remembers the words it has scored."""
+
+    def __init__(self, model: Model):
+        self.m, self.k = model, len(model.langs)
+        self.own, self.letters = Rows(np.float32, max(self.k, 1)), Rows(bool)
+        self.table = WordTable(self._make)
+
+    def _make(self, words: list[bytes]) -> None:
+        ids, n, letter = word_features(words, self.m.buckets, self.m.lexicon, self.k)
+        self.own.extend((total(self.m.weight[ids], n) * letter[:, None]) if self.k else np.zeros((len(words), 1)))
+        self.letters.extend(letter)
+
+    def __call__(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+        m, k = self.m, self.k
+        if self.table.tidy():
+            self.own.clear()
+            self.letters.clear()
+        split = Split(texts)
+        mass = np.zeros((len(texts), max(k, 1)))
+        r = self.table.rows(split)
+        if len(r) and k:
+            first, length, text = blocks(split.n)
+            scores, counted = self.own.data[r].astype(np.float64), self.letters.data[r]
+            for at in range(0, len(first), 2048):
+                f, z, x = first[at : at + 2048], length[at : at + 2048], text[at : at + 2048]
+                p, _ = forward_backward(_padded(scores, f, z), z, m.step, m.start, pairs=False)
+                p *= _padded(counted, f, z)[:, :, None]
+                np.add.at(mass, x, p.sum(1))
+        words = mass.sum(1)
+        best = mass.argmax(1)
+        known = words > 0
+        names = [m.langs[i] if ok else "und" for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
+        return names, np.clip(np.where(known, mass[np.arange(len(mass)), best] / np.where(known, words, 1), 0.0), 0, 1)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row; ``und`` and 0 for texts that are null or have no letter, or if no language was learnt."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs_of(docs)
 
     def run(batches):
-        m = sent.value
-        k = len(m.langs)
-        own, letters = Rows(np.float32, max(k, 1)), Rows(bool)
-
-        def make(words):
-            ids, n, letter = word_features(words, m.buckets, m.lexicon, k)
-            own.extend((total(m.weight[ids], n) * letter[:, None]) if k else np.zeros((len(words), 1)))
-            letters.extend(letter)
-
-        table = WordTable(make)
+        label = Labeller(sent.value)
         for b in pieces(batches):
-            if table.tidy():
-                own.clear()
-                letters.clear()
-            split = Split(raw(b.column(1)))
-            mass = np.zeros((b.num_rows, max(k, 1)))
-            r = table.rows(split)
-            if len(r) and k:
-                first, length, text = blocks(split.n)
-                scores, counted = own.data[r].astype(np.float64), letters.data[r]
-                for at in range(0, len(first), 4096):
-                    f, z, x = first[at : at + 4096], length[at : at + 4096], text[at : at + 4096]
-                    p, _ = forward_backward(_padded(scores, f, z), z, m.step, m.start)
-                    p *= _padded(counted, f, z)[:, :, None]
-                    np.add.at(mass, x, p.sum(1))
-            words = mass.sum(1)
-            best = mass.argmax(1)
-            known = words > 0
-            names = [m.langs[i] if ok else "und" for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
-            share = np.where(known, mass[np.arange(len(mass)), best] / np.where(known, words, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.clip(share, 0, 1))], names=["doc_id", "lang_pred", "score"])
+            names, share = label(raw(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(share)], names=["doc_id", "lang_pred", "score"])
 
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is in a learnt language with a share of ``least`` or more; all columns as they are.
+
+    Whole rows pass through, so no join puts texts and predictions together again.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        label = Labeller(sent.value)
+        for b in batches:
+            for part in pieces([b], b.schema.names[at]) if b.schema.names.count(b.schema.names[at]) == 1 else [b]:
+                names, share = label(raw(part.column(at)))
+                good = np.array([x != "und" for x in names], bool) & (share >= least)
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,25 +22,19 @@ from pyspark.sql import functions as F
 DEFAULT_KEY = "quernstone"
 ROUNDS = 8
 
-# Candidates. Java's regular expressions; every alternative is bounded, none can backtrack over a long text.
-EMAIL = r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![\w-])"
-IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-ISO_DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
-DMY_DATE = r"(?<![\w./])\d{1,2}([./])\d{1,2}\1\d{4}(?![\w]|[./]\d)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\2\d{4}(?![\w]|[.-]\d)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"
-HEX = r"(?<!\w)(?=[0-9A-Fa-f]{0,63}\d)(?=[0-9A-Fa-f]{0,63}[A-Fa-f])[0-9A-Fa-f]{32,64}(?!\w)"
-NAMED = r"""(?i:(?<=\b(?:token|secret|api_key|apikey|password|passwd)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_+/-]{8,128})"""
-_KINDS = (("email", EMAIL), ("ipv4", IPV4), ("iso_date", ISO_DATE), ("dmy_date", DMY_DATE), ("phone", PHONE), ("card", CARD), ("secret", f"{NAMED}|{HEX}"))
-
-
-def _noncapturing() -> str:
-    """All kinds as one pattern; the back references get the numbers that their groups have in it."""
-    dmy, phone = DMY_DATE, PHONE.replace(r"\2", r"\2")
-    return "|".join((NAMED, EMAIL, HEX, IPV4, ISO_DATE, dmy, phone, CARD))
-
-
-PATTERN = _noncapturing()
+# Candidates, in Java's regular expressions. Each stands behind (?<!\w), so most places of a text are left at once; every
+# repetition is bounded or possessive, so none backtracks over a long text.
+NAMED = r"""(?i:token|secret|api_key|apikey|password|passwd)\s{0,2}[=:]\s{0,2}["']?[A-Za-z0-9_+/-]{8,128}"""
+EMAIL = r"(?<![.+-])[A-Za-z0-9][\w.+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![\w-])"
+HEX = r"[0-9A-Fa-f]{32,64}(?!\w)"
+IPV4 = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
+ISO_DATE = r"(?<!-)\d{4}-\d{2}-\d{2}(?![\w-])"
+DMY_DATE = r"(?<![./])\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}(?![\w]|[./]\d)"
+PHONE = r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![.-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w]|[.-]\d)"
+CARD = r"(?<![.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"
+#: Numbers behind +1 have ten digits, so what follows them is no part of them.
+PLUS_PHONE = r"(?<![0-9+])\+(?:1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?!1[ .(-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d))\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{1,4}(?:[ -]?\d{2,4}){1,4}(?![\w]|\.\d))"
+PATTERN = "(?<!\\w)(?:" + "|".join((NAMED, EMAIL, HEX, IPV4, ISO_DATE, DMY_DATE, PHONE, CARD)) + ")|" + PLUS_PHONE
 
 
 def _keystream(key: Column, kind: str, i: Column, half: Column) -> Column:
@@ -122,7 +116,7 @@ def _phone(m: Column, key: Column) -> Column:
 
 
 def _ipv4(m: Column, key: Column) -> Column:
-    octet = [F.split_part(m, F.lit("."), F.lit(i)).cast("bigint") for i in range(1, 5)]
+    octet = [F.split_part(m, F.lit("."), F.lit(i)).try_cast("bigint") for i in range(1, 5)]
     value = ((octet[0] * 256 + octet[1]) * 256 + octet[2]) * 256 + octet[3]
     n = feistel_number(value, 1 << 16, 1 << 16, key, "ipv4")
     out = F.concat_ws(".", *[(F.shiftright(n, s) % 256).cast("string") for s in (24, 16, 8, 0)])
@@ -145,7 +139,7 @@ def _dmy_date(m: Column, key: Column) -> Column:
     """Day and month are read in this order if that is a date, else the other way round. Padding with zeros stays on."""
     sep = F.regexp_extract(m, r"^\d+([./])", 1)
     a, b, y = (F.split_part(m, sep, F.lit(i)) for i in (1, 2, 3))
-    made = lambda d, mo: F.try_make_date(y.cast("int"), mo.cast("int"), d.cast("int"))
+    made = lambda d, mo: F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     dmy = made(a, b)
     day = F.coalesce(dmy, made(b, a))
     new = _moved_day(day, key)
@@ -162,14 +156,17 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def _secret(m: Column, key: Column) -> Column:
-    return F.when(m.rlike("^[0-9A-Fa-f]{16,}$"), feistel_text(m, key, "secret", hex_only=True)).otherwise(feistel_text(m, key, "secret"))
+    """The value behind a name and its sign, or a long hexadecimal string; both with a digit in them."""
+    head = F.regexp_extract(m, r"""^(?i:[a-z_]+)\s{0,2}[=:]\s{0,2}["']?""", 0)
+    value = F.substr(m, F.length(head) + 1)
+    new = F.when(value.rlike("^[0-9A-Fa-f]{16,}$"), feistel_text(value, key, "secret", hex_only=True)).otherwise(feistel_text(value, key, "secret"))
+    return F.when(value.rlike("[0-9]") & ((F.length(head) > 0) | value.rlike("[A-Fa-f]")), F.concat(head, new))
 
 
 def pseudonym(m: Column, key: Column) -> tuple[Column, Column]:
     """(kind, pseudonym) of a match; both null if it is not valid."""
-    whole = lambda p: m.rlike(f"^(?:{p})$")
     tests = {
-        "email": (whole(EMAIL.replace(r"(?<![\w.+-])", "")), _email(m, key)), "ipv4": (m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _ipv4(m, key)),
+        "email": (m.rlike(r"^[\w.+-]+@[A-Za-z0-9.-]+$"), _email(m, key)), "ipv4": (m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _ipv4(m, key)),
         "iso_date": (m.rlike(r"^\d{4}-\d\d-\d\d$"), _iso_date(m, key)), "dmy_date": (m.rlike(r"^\d{1,2}([./])\d{1,2}\1\d{4}$"), _dmy_date(m, key)),
         "phone": (m.rlike(r"^\+|^\(|^\d{3}([.-])\d{3}\1\d{4}$"), _phone(m, key)), "card": (m.rlike(r"^[0-9][0-9 -]+$"), _card(m, key)),
     }
@@ -189,20 +186,24 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     k, text = F.lit(key), F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
+    one, two = "_swaps", "_gaps"
+    while {one, two} & set(docs.columns):
+        one, two = f"_{one}", f"_{two}"
+
     def new(m):
         kind, value = pseudonym(m, k)
         return F.struct(F.when(value.isNotNull(), kind).alias("kind"), F.coalesce(value, m).alias("value"))
 
-    # Nearly all texts have no candidate at all, which a cheap test tells.
-    some = text.rlike(r"[0-9@]|(?i:token|secret|api_?key|passw)")
+    # Most texts have no candidate at all, which a cheap test tells: every valid value has a digit or the sign of an email.
+    some = text.rlike("[0-9@]")
     swaps = F.when(some, F.transform(found, new))
-    gaps = F.split(text, PATTERN, -1)
+    gaps = F.when(some, F.split(text, PATTERN, -1))
     # gap 0, value 0, gap 1, value 1, ..., gap n
-    joined = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(F.col("_swaps"), lambda s, i: F.concat(s["value"], F.element_at(gaps, i + 2))), ""))
-    done = docs.select("*", swaps.alias("_swaps"))
-    changed = F.exists(F.col("_swaps"), lambda s: s["kind"].isNotNull())
+    joined = F.concat(F.element_at(two, 1), F.array_join(F.transform(F.col(one), lambda s, i: F.concat(s["value"], F.element_at(F.col(two), i + 2))), ""))
+    done = docs.select("*", swaps.alias(one), gaps.alias(two))
+    changed = F.exists(F.col(one), lambda s: s["kind"].isNotNull())
     out = [F.when(changed, joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
-        kinds = F.filter(F.transform(F.coalesce(F.col("_swaps"), F.array().cast("array<struct<kind:string,value:string>>")), lambda s: s["kind"]), lambda x: x.isNotNull())
+        kinds = F.filter(F.transform(F.coalesce(F.col(one), F.array().cast("array<struct<kind:string,value:string>>")), lambda s: s["kind"]), lambda x: x.isNotNull())
         out.append(F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda x: F.struct(x, F.size(F.filter(kinds, lambda y: y == x))))).alias("pii_counts"))
     return done.select(*out)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, simhash, substring, suffix, tokens
+from . import decontam, html, language, packing, pii, quality_model, simhash, substring, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, bits=3)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -27,10 +31,29 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    taught = labels.filter(quality_model.fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_model.score(docs, quality_model.learn(docs, taught))
+    return scored.select("doc_id", (quality_model.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    kinds = ("email", "ipv4", "iso_date", "dmy_date", "phone", "card", "secret")
+    return done.select("doc_id", "text", *[F.coalesce(F.try_element_at("pii_counts", F.lit(k)), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in kinds])
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(_table(spark, sf_dir, "documents")))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter(quality_model.fold("doc_id", 3) != 1))
+    return language.predict(docs, model).select("doc_id", (quality_model.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -41,7 +64,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_suffix_quality, op4_substring_dedup, op7_token_files, op9_decontamination, op10_packing)}
+    ops = (op1_simhash, op2_main_text, op3_suffix_quality, op4_substring_dedup, op5_quality_classifier, op6_pseudonyms, op7_token_files, op8_language, op9_decontamination, op10_packing)
+    return {f.__name__: f for f in ops}
 
 
 _OP4_SQL = r"""
