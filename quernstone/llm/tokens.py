@@ -1,8 +1,8 @@
 """Byte-level BPE ids, and their binary output as Arrow files of fixed-size lists.
 
 A file holds one stream of ids (documents in ascending doc_id order, an end id after each) cut into sequences
-of ``length`` ids. Its record batches have a fixed-size list of ids and one of a mask per row, so sequence i of a
-file is a fixed place in the memory-mapped buffer: reading it copies nothing. Only the last sequence of a file is
+of ``length`` ids. Its record batches have a fixed-size list of ids (16 bits wide if the vocabulary allows, else 32) and one of
+a mask (bits) per row, so sequence i of a file is a fixed place in the memory-mapped buffer: reading it copies nothing. Only the last sequence of a file is
 padded (mask 0). A second file beside it lists the documents with their places in the stream.
 """
 
@@ -154,28 +154,29 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 class _Writer:
     """Writes ids as fixed-size lists; whole sequences leave memory as soon as they are full."""
 
-    def __init__(self, out, length: int, rows: int = 256):
+    def __init__(self, out, length: int, vocabulary: int, rows: int = 256):
         self.length, self.rows = length, rows
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.file = pa.ipc.new_file(out, self.schema)
-        self.rest = np.zeros(0, np.uint32)
+        self.rest = np.zeros(0, self.kind)
 
     def _put(self, ids: np.ndarray, mask: np.ndarray) -> None:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def add(self, ids: np.ndarray) -> None:
-        self.rest = np.concatenate((self.rest, ids))
+        self.rest = np.concatenate((self.rest, ids.astype(self.kind)))
         block = self.length * self.rows
         while len(self.rest) >= block:  # every batch but the last has the same number of rows
-            self._put(self.rest[:block], np.ones(block, np.uint8))
+            self._put(self.rest[:block], np.ones(block, bool))
             self.rest = self.rest[block:]
 
     def close(self) -> None:
         n = len(self.rest)
         if n:
             pad = -n % self.length
-            self._put(np.concatenate((self.rest, np.zeros(pad, np.uint32))), np.concatenate((np.ones(n, np.uint8), np.zeros(pad, np.uint8))))
+            self._put(np.concatenate((self.rest, np.zeros(pad, self.kind))), np.arange(n + pad) < n)
         self.file.close()
 
 
@@ -204,7 +205,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, length: int = 2048,
                 fs.create_dir(base, recursive=True)
                 name = f"part-{part:05d}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(f"{base}/{name}.arrow")
-                writer = _Writer(out, length)
+                writer = _Writer(out, length, max(end_id + 1, encode.tok.get_vocab_size()))
             ids, n = encode(b.column(1))
             ends = np.cumsum(n)
             writer.add(np.insert(ids, ends, np.uint32(end_id)))
@@ -241,23 +242,23 @@ class TokenFile:
         self.length = self.reader.schema.field("ids").type.list_size
         self.rows = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 1
 
-    def _row(self, i: int, column: int) -> np.ndarray:
+    def _row(self, i: int, column: int) -> pa.Array:
         batch, row = divmod(i, self.rows)
-        lists = self.reader.get_batch(batch).column(column)
-        return lists.values.to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length]
+        return self.reader.get_batch(batch).column(column).values.slice(row * self.length, self.length)
 
     def sequence(self, i: int) -> np.ndarray:
-        return self._row(i, 0)
+        return self._row(i, 0).to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
+    def mask(self, i: int) -> pa.BooleanArray:
+        """Bits of the mapped file."""
         return self._row(i, 1)
 
     def stream(self):
         """The ids of one record batch after the other, without padding."""
         for k in range(self.reader.num_record_batches):
             b = self.reader.get_batch(k)
-            ids, mask = b.column(0).values.to_numpy(zero_copy_only=True), b.column(1).values.to_numpy(zero_copy_only=True)
-            yield ids if mask[-1] else ids[: int(mask.sum())]
+            ids, mask = b.column(0).values.to_numpy(zero_copy_only=True), b.column(1).values
+            yield ids if mask[-1].as_py() else ids[: mask.true_count]
 
 
 def read_tokens(listed: DataFrame) -> DataFrame:
@@ -270,7 +271,7 @@ def read_tokens(listed: DataFrame) -> DataFrame:
                 fs, base = _open(file)
                 with fs.open_input_file(base + ".docs.arrow") as f:
                     reader = pa.ipc.open_file(f)
-                    stream, rest = TokenFile(file).stream(), np.zeros(0, np.uint32)
+                    stream, rest = TokenFile(file).stream(), np.zeros(0, np.uint16)
                     for k in range(reader.num_record_batches):
                         docs = reader.get_batch(k)
                         crcs = []
