@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors as V
 from ..plans.filters import compile_filter
@@ -55,12 +56,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def top_rows(k: int, metric: str, qids: list, q: np.ndarray):
+def top_rows(k: int, metric: str, qids: list, q: np.ndarray, qid_type: pa.DataType):
     """A kernel over batches of (id, embedding): the k nearest rows of the partition for each query."""
 
     def run(batches):
-        ids, dist, who = np.zeros(0, object), np.zeros(0), np.zeros(0, np.int64)
+        ids, dist, who, id_type = np.zeros(0, object), np.zeros(0), np.zeros(0, np.int64), None
         for batch in batches:
+            id_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
                 d = distances(_matrix(b.column(1)), q, metric)
@@ -77,7 +79,7 @@ def top_rows(k: int, metric: str, qids: list, q: np.ndarray):
                 keep = np.arange(len(who)) - first < k
                 ids, dist, who = ids[keep], dist[keep], who[keep]
         if len(ids):
-            yield pa.RecordBatch.from_pydict({"qid": [qids[i] for i in who], "id": ids.tolist(), "distance": dist})
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in who], qid_type), pa.array(ids.tolist(), id_type), pa.array(dist)], names=["qid", "id", "distance"])
 
     return run
 
@@ -90,12 +92,13 @@ def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     rows = _filtered(vectors, query_filter).select("id", "embedding")
     kinds = dict(rows.dtypes) | {"qid": dict(queries.dtypes)["qid"]}
     schema = f"qid {kinds['qid']}, id {kinds['id']}, distance double"
+    qid_type = to_arrow_type(queries.schema["qid"].dataType)
     parts, block_rows = [], []
 
     def flush():
         if block_rows:
             q = np.array([r.embedding for r in block_rows], np.float64)
-            parts.append(rows.mapInArrow(top_rows(k, metric, [r.qid for r in block_rows], q), schema))
+            parts.append(rows.mapInArrow(top_rows(k, metric, [r.qid for r in block_rows], q, qid_type), schema))
             block_rows.clear()
 
     for r in queries.select("qid", "embedding").toLocalIterator():
