@@ -48,7 +48,7 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, sliced so that a slice holds about ``most`` bytes of text (or one longer row)."""
     for batch in batches:
         if not batch.num_rows:

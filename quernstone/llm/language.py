@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, pieces, raw
 from .features import subwords, total
-from .words import Rows, Split, WordTable, gather
+from .words import NEW_WORDS, Rows, Split, WordTable, gather
 
 BLOCK = 64
 SIZES = (2, 3, 4)
@@ -122,7 +122,8 @@ def train(texts: list[bytes], langs_of: list[str], buckets: int = 1 << 16, epoch
             r = c / share
             best = int(r.argmax())
             lexicon[w] = best if r[best] > 0.9 * r.sum() else k
-    ids, n, letter = word_features(words, buckets, lexicon, k)
+    parts = [word_features(words[at : at + NEW_WORDS], buckets, lexicon, k) for at in range(0, len(words), NEW_WORDS)] or [word_features([], buckets, lexicon, k)]
+    ids, n, letter = (np.concatenate(x) for x in zip(*parts, strict=True))
     ends = np.cumsum(n)
     first, length, _ = blocks(split.n)
     m = len(first)

@@ -42,10 +42,11 @@ def train(texts: list[bytes], labels: list[int], shift: float = 0.0, buckets: in
     found: dict = {"ids": [], "n": []}
 
     def make(words):
-        ids, n = subwords(words, buckets, sizes)
-        found["ids"], found["n"] = ids, n
+        for name, x in zip(("ids", "n"), subwords(words, buckets, sizes), strict=True):
+            found[name].append(x)
 
     rows = WordTable(make).rows(split)
+    found = {k: np.concatenate([np.zeros(0, np.int64), *v]) for k, v in found.items()}
     ends = np.cumsum(found["n"])
     bags = []
     for f, n in zip(split.first, split.n, strict=True):

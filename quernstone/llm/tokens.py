@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, docs_of, pieces, raw, shared_folder
 from .words import Rows, Split, WordTable, gather
 
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 600_000
 END_ID = 2
 #: Bytes that end a piece: all ASCII white space, NUL (which joins nothing) and the separators U+001C to U+001F.
 _ODD_SPACE = np.zeros(256, bool)

@@ -15,6 +15,8 @@ import xxhash
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LONG = 48
+#: New words handed to a table's make() at once.
+NEW_WORDS = 20_000
 _P1, _P2, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x100000001B3, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -142,7 +144,8 @@ class WordTable:
             first = m[new]
             rows = self.add(a[first], b[first])
             if self.make:
-                self.make([split.word(i) for i in first.tolist()])
+                for at in range(0, len(first), NEW_WORDS):  # what make() needs for a word may be many times its size
+                    self.make([split.word(i) for i in first[at : at + NEW_WORDS].tolist()])
             out[m] = rows[np.cumsum(new) - 1]
         return out
 
