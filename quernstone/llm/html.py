@@ -248,7 +248,7 @@ def default_model() -> Model:
     return _MODEL[0]
 
 
-def train(pages: list[list[Block]], epochs: int = 8, rate: float = 0.5, l2: float = 2e-5, seed: int = 3) -> Model:
+def train(pages: list[list[Block]], epochs: int = 10, rate: float = 0.5, l2: float = 2e-5, seed: int = 3) -> Model:
     """Maximum likelihood of labelled pages by Adagrad, gradients by forward-backward."""
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}

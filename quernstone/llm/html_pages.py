@@ -113,7 +113,7 @@ class _Page:
                 head = f"<header>{head}</header>"
             out.append(head)
         open_p = r.random() < 0.25
-        for _ in range(r.choice([0, 1, 2, 3, 4, 6, 8, 12])):
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4, 6, 8, 12])):
             k = r.random()
             if k < 0.68:
                 p = self.main(self.prose())
@@ -169,6 +169,9 @@ class _Page:
 
     def html(self) -> str:
         r = self.r
+        if r.random() < 0.15:  # nothing but the article
+            body = self.wrap(r.choice(_CONTENT), self.content()) if r.random() < 0.85 else self.content()
+            return r.choice([body, f"<body>{body}</body>", f"<html><head><title>{self.words(3)}</title></head><body>{body}</body></html>"])
         top = []
         if r.random() < 0.6:
             top.append(self.wrap(r.choice(_HEAD), r.choice([self.link(self.words(2)), f"<h1>{self.words(2)}</h1>", f"<p>{self.sentence(6)}</p>", self.menu(), f"<div>{self.words(2)}</div>" + self.wrap(r.choice(_NAV), self.menu())])))
@@ -191,7 +194,7 @@ class _Page:
         return f"<html><head><title>{self.words(3)}</title></head><body>{''.join(top)}{middle}{''.join(bottom)}" + r.choice(["</body></html>", ""])
 
 
-def labelled_pages(n: int = 1000, seed: int = 20) -> list[list[Block]]:
+def labelled_pages(n: int = 1500, seed: int = 20) -> list[list[Block]]:
     """n made-up pages as blocks with labels."""
     rng, out = random.Random(seed), []
     for _ in range(n):
