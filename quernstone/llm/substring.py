@@ -25,6 +25,7 @@ from .words import Split, hashes
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _STEP = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
 SLICE = 1 << 18  # bytes of a bitmap that travel as one row
+SLICE_TEXT = 4 << 20  # bytes of text within which a task settles what its own documents share
 
 
 def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ def sketch(docs: DataFrame, size: int, gram: int, rows: int, log_width: int) ->
         once = [np.zeros(1 << (log_width - 3), np.uint8) for _ in range(rows)]
         twice = [np.zeros(1 << (log_width - 3), np.uint8) for _ in range(rows)]
         any_ = False
-        for b in pieces(batches):
+        for b in pieces(batches, most=SLICE_TEXT):
             n, h, _ = _hashed(raw(b.column(1)))
             starts, text = _starts(n, size)
             a = _anchors(h, starts, size, gram)
@@ -152,7 +153,7 @@ def repeated_windows(docs: DataFrame, size: int = 13, gram: int = 8, rows: int =
     names = ["hi", "lo", "doc_id", "pos", "n"]
 
     def candidates(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, most=SLICE_TEXT):
             ids = b.column(0).to_numpy()
             n, h, g = _hashed(raw(b.column(1)))
             starts, text = _starts(n, size)
@@ -214,7 +215,7 @@ def substring_dedup(docs: DataFrame, size: int = 13, **how) -> DataFrame:
     joined = docs.join(spans, F.col("doc_id").cast("bigint") == F.col("span_id"), "left").select("doc_id", "text", "spans")
 
     def remove(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, most=SLICE_TEXT):
             n_words, n_removed, kept = [], [], []
             for t, spans in zip(raw(b.column(1)), b.column(2).to_pylist(), strict=True):
                 words = t.split()
