@@ -8,13 +8,14 @@ text, and no intermediate result is ever kept in an executor's own folder.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,3 +64,29 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2
             yield batch.slice(at, to - at)
             at = to
 
+
+
+def keep_first(docs: DataFrame, found: DataFrame, key: Callable[[bytes], int]) -> DataFrame:
+    """The rows of docs (with columns doc_id, text) that have the smallest doc_id of their component, and those without a doc_id.
+
+    found: doc_id, key, component_id of every row. Rows that share a doc_id are told apart by ``key`` of their texts; of those in
+    one component the first by text, and then by all columns, stays.
+    """
+    named = found.filter("doc_id is not null")
+    least = cut(named.groupBy("component_id").agg(F.min("doc_id").alias("_kept_id")))
+    again = cut(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again_id")))
+    kept = docs.join(least.select("_kept_id").distinct(), docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    if not again.isEmpty():
+        on = docs["doc_id"] == F.col("_again_id")
+        rows = kept.join(again, on, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+        def keyed(batches):
+            for b in pieces(batches):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([key(x) for x in raw(b.column(2))], pa.int64())], names=["row", "doc_id", "text", "key"])
+
+        rows = rows.mapInArrow(keyed, T.StructType([*rows.schema, T.StructField("key", T.LongType())]))
+        groups = named.join(again, named["doc_id"] == F.col("_again_id"), "left_semi").select("key", "component_id").distinct()
+        rows = rows.join(groups, "key").join(least, "component_id").filter("doc_id = _kept_id")
+        rank = F.row_number().over(Window.partitionBy("component_id").orderBy("text", F.to_json("row")))
+        kept = kept.join(again, on, "left_anti").unionByName(rows.withColumn("_rank", rank).filter("_rank = 1").select("row.*"))
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
