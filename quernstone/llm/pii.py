@@ -28,10 +28,16 @@ NAMED = r"""(?i:token|secret|api_key|apikey|password|passwd)\s{0,2}[=:]\s{0,2}["
 EMAIL = r"(?<![.+-])[A-Za-z0-9][\w.+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![\w-])"
 HEX = r"[0-9A-Fa-f]{32,64}(?!\w)"
 IPV4 = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-ISO_DATE = r"(?<!-)\d{4}-\d{2}-\d{2}(?![\w-])"
+ISO_DATE = r"(?<!-)\d{4}-\d{2}-\d{2}(?:(?=T\d\d(?::?\d\d|Z|\b))|(?![\w-]))"
 DMY_DATE = r"(?<![./])\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}(?![\w]|[./]\d)"
 PHONE = r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![.-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w]|[.-]\d)"
-CARD = r"(?<![.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"
+#: A run of numbers with 13 digits or more, single spaces or hyphens between them, up to a date or a phone; _cards looks for the cards in it.
+_GROUP = r"\d{1,19}+(?!\w|\.\d)"
+_OTHER = r"(?!\d{4}-\d\d-\d\d(?![\d-])|\d{1,2}/\d{1,2}/\d{4}|\d{3}-\d{3}-\d{4}(?![\w-]))"
+CARD = rf"(?<![.-])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -]{_OTHER}{_GROUP})*+(?!-\d)"
+#: The usual groupings of cards, and their first digits.
+REGULAR = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
+ISSUED = "^(?:[3-6]|2[2-7])"
 #: Numbers behind +1 have ten digits, so what follows them is no part of them.
 PLUS_PHONE = r"(?<![0-9+])\+(?:1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?!1[ .(-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d))\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{1,4}(?:[ -]?\d{2,4}){1,4}(?![\w]|\.\d))"
 PATTERN = "(?<!\\w)(?:" + "|".join((NAMED, EMAIL, HEX, IPV4, ISO_DATE, DMY_DATE, PHONE, CARD)) + ")|" + PLUS_PHONE
@@ -107,6 +113,41 @@ def _card(m: Column, key: Column) -> Column:
     return F.when(valid, _into(m, F.concat(body, check.cast("string"))))
 
 
+def _cards(m: Column, key: Column) -> Column:
+    """(value, n) of a run of numbers: the run as one card if it is valid, else the valid cards among its parts.
+
+    Parts are whole numbers of the run in a regular grouping, or, where these leave room, those of 13 to 19 digits from either end.
+    """
+    tokens = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    n = F.size(tokens)
+
+    def part(i, j):
+        text = F.regexp_replace(F.array_join(F.slice(tokens, i, j), ""), "^[ -]", "")
+        return F.struct((~text.rlike(REGULAR)).alias("odd"), i.alias("i"), (-j).alias("less"), text.alias("text"))
+
+    def possible(x):
+        ends = (x["i"] == 1) | (x["i"] - x["less"] - 1 == n)
+        digits = F.regexp_replace(x["text"], "[^0-9]", "")
+        return (~x["odd"] | ends) & F.length(digits).between(13, 19) & x["text"].rlike(ISSUED) & (_luhn(digits, False) % 10 == 0)
+
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i + 1)), lambda j: part(i, j))))
+    found = F.array_sort(F.filter(windows, possible))
+    none = F.filter(found, lambda x: F.lit(False))
+    apart = lambda x, y: (x["i"] - x["less"] <= y["i"]) | (y["i"] - y["less"] <= x["i"])
+    taken = F.aggregate(found, none, lambda s, x: F.when(F.exists(s, lambda y: ~apart(x, y)), s).otherwise(F.concat(s, F.array(x))))
+
+    def built(cards):
+        def at(token, k):
+            here = F.filter(cards, lambda x: (x["i"] <= k + 1) & (k + 1 < x["i"] - x["less"]))
+            first = F.concat(F.regexp_extract(token, "^[ -]?", 0), _card(here[0]["text"], key))
+            return F.when(F.size(here) == 0, token).when(here[0]["i"] == k + 1, first).otherwise("")
+
+        return F.struct(F.when(F.size(cards) > 0, F.array_join(F.transform(tokens, at), "")).alias("value"), F.size(cards).alias("n"))
+
+    whole = F.struct(_card(m, key).alias("value"), F.lit(1).alias("n"))
+    return F.when(whole["value"].isNotNull(), whole).otherwise(F.transform(F.array(taken), built)[0])
+
+
 def _phone(m: Column, key: Column) -> Column:
     """The country code (1, or else two digits) stays, so a number with and without +1 keeps the same ten digits."""
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -164,17 +205,19 @@ def _secret(m: Column, key: Column) -> Column:
 
 
 def pseudonym(m: Column, key: Column) -> tuple[Column, Column]:
-    """(kind, pseudonym) of a match; both null if it is not valid."""
+    """(kind, (value, n)) of a match: its pseudonym, null if it is not valid, and how many values it has."""
+    single = lambda new: F.struct(new.alias("value"), F.lit(1).alias("n"))
     tests = {
         "email": (m.rlike(r"^[\w.+-]+@[A-Za-z0-9.-]+$"), _email(m, key)), "ipv4": (m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _ipv4(m, key)),
         "iso_date": (m.rlike(r"^\d{4}-\d\d-\d\d$"), _iso_date(m, key)), "dmy_date": (m.rlike(r"^\d{1,2}([./])\d{1,2}\1\d{4}$"), _dmy_date(m, key)),
-        "phone": (m.rlike(r"^\+|^\(|^\d{3}([.-])\d{3}\1\d{4}$"), _phone(m, key)), "card": (m.rlike(r"^[0-9][0-9 -]+$"), _card(m, key)),
+        "phone": (m.rlike(r"^\+|^\(|^\d{3}([.-])\d{3}\1\d{4}$"), _phone(m, key)), "card": (m.rlike(r"^[0-9][0-9 -]+$"), _cards(m, key)),
     }
-    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    kind = value = None
     for i, (name, (test, new)) in enumerate(tests.items()):
+        new = new if name == "card" else single(new)
         kind = F.when(test, F.lit(name)) if not i else kind.when(test, F.lit(name))
         value = F.when(test, new) if not i else value.when(test, new)
-    return kind.otherwise(F.lit("secret")), value.otherwise(_secret(m, key))
+    return kind.otherwise(F.lit("secret")), value.otherwise(single(_secret(m, key)))
 
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", counts: bool = False) -> DataFrame:
@@ -191,8 +234,9 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
         one, two = f"_{one}", f"_{two}"
 
     def new(m):
-        kind, value = pseudonym(m, k)
-        return F.struct(F.when(value.isNotNull(), kind).alias("kind"), F.coalesce(value, m).alias("value"))
+        kind, made = pseudonym(m, k)
+        once = F.transform(F.array(made), lambda x: F.struct(F.when(x["value"].isNotNull(), kind).alias("kind"), F.coalesce(x["value"], m).alias("value"), x["n"].alias("n")))
+        return once[0]
 
     # Most texts have no candidate at all, which a cheap test tells: every valid value has a digit or the sign of an email.
     some = text.rlike("[0-9@]")
@@ -204,6 +248,6 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     changed = F.exists(F.col(one), lambda s: s["kind"].isNotNull())
     out = [F.when(changed, joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
-        kinds = F.filter(F.transform(F.coalesce(F.col(one), F.array().cast("array<struct<kind:string,value:string>>")), lambda s: s["kind"]), lambda x: x.isNotNull())
+        kinds = F.filter(F.flatten(F.transform(F.coalesce(F.col(one), F.array().cast("array<struct<kind:string,value:string,n:int>>")), lambda s: F.array_repeat(s["kind"], s["n"]))), lambda x: x.isNotNull())
         out.append(F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda x: F.struct(x, F.size(F.filter(kinds, lambda y: y == x))))).alias("pii_counts"))
     return done.select(*out)
