@@ -34,7 +34,9 @@ _CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|[^<]+|<", re.S)
-_NAMES = re.compile(r"""(?:^|[\s/"'])(class|id|role|aria-label|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute: its name and its whole value, so that nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s/>"'][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+_NAMED = frozenset(("class", "id", "role", "aria-label"))
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -132,10 +134,11 @@ def leaf_blocks(html: str) -> list[Block]:
         if attributes.endswith("/") and tag in ("svg", "math", "path", "use"):
             continue
         names, gone = [], tag in _HIDDEN
-        for name, value in _NAMES.findall(attributes) if attributes else ():
-            if name.lower() == "hidden":
+        for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+            name = name.lower()
+            if name == "hidden":
                 gone = True
-            else:
+            elif name in _NAMED:
                 names += [f".{x}" for x in _PART.findall(value.lower())]
         if tag in _BLOCK:
             names.insert(0, tag)
