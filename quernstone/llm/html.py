@@ -9,7 +9,9 @@ It is trained on labelled pages that ``labelled_pages`` makes up from many layou
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections import Counter
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -33,33 +35,137 @@ _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|[^<]+|<", re.S)
+#: Where a comment ends; what is no tag at all ends at the next >.
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"[^\s/>]*+")
+#: The attributes of a tag. Every repetition is possessive: nothing is ever read twice, whatever is left open.
+_VALUE = r"""(?:"[^"]*+"?+|'[^']*+'?+|[^\s"'>][^\s>]*+)"""
+_ATTRIBUTES = re.compile(rf"""(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+{_VALUE}?+)?+)*+""")
 #: One attribute: its name and its whole value, so that nothing inside a value is taken for a name.
-_ATTRIBUTE = re.compile(r"""([^\s/>"'][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+_ATTRIBUTE = re.compile(rf"""(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+({_VALUE}?+))?+""")
 _NAMED = frozenset(("class", "id", "role", "aria-label"))
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in _RAW}
+#: Numeric references of more digits than any character has; unescape() would try to make a number of them.
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?+")
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; one beyond Unicode is U+FFFD."""
+    if "&" not in text:
+        return text
+    return unescape(_HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text)) if "&#" in text else text)
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # names of the elements above, with the words of their attributes
     text: str
     linked: int = 0  # characters inside links
+    score: float = 0.0  # what the weights say of the elements above
+    path: tuple[str, ...] = ()  # features of the elements above, where no weights were given
     label: int = -1
 
 
-@dataclass
 class _Open:
-    tag: str
-    names: tuple[str, ...]
-    hidden: bool
+    """An open element, with what it takes to close it again."""
+
+    __slots__ = ("tag", "hidden", "linked", "own", "score", "inside")
+
+    def __init__(self, tag: str, hidden: bool, linked: bool, own: list[str], score: float, inside: float):
+        self.tag, self.hidden, self.linked, self.own = tag, hidden, linked, own
+        self.score, self.inside = score, inside  # of the elements up to this one
+
+
+class _Tree:
+    """The elements open at one point of a page.
+
+    Opening, closing and looking for an element take time in proportion to its own attributes, not to the depth: places of
+    open elements are kept by tag, and the features of the path by the number of elements that have them.
+    """
+
+    def __init__(self, weight: dict[str, float] | None):
+        self.weight = weight
+        self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # of each tag
+        self.blocks: list[int] = []  # places of block elements
+        self.count: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = []  # of each open article, the tags inside it
+
+    @property
+    def hidden(self) -> bool:
+        return bool(self.stack) and self.stack[-1].hidden
+
+    @property
+    def linked(self) -> bool:
+        return bool(self.stack) and self.stack[-1].linked
 
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of the name; -1 if there is none."""
+        at = self.places.get(tag)
+        return at[-1] if at else -1
 
-def leaf_blocks(html: str) -> list[Block]:
-    """The blocks with text, in page order: references decoded, white space inside turned into one space, trimmed."""
-    stack: list[_Open] = []
-    out: list[Block] = []
+    def first_above(self, tags: set[str], floor: int) -> int:
+        """Place of the outermost open element of these names that lies inside the place floor; -1 if there is none."""
+        found = [at[k] for t in tags if (at := self.places.get(t)) and (k := bisect_right(at, floor)) < len(at)]
+        return min(found, default=-1)
+
+    def open(self, tag: str, words: list[str], hidden: bool) -> None:
+        get = (self.weight or {}).get
+        top = self.stack[-1] if self.stack else None
+        score, inside = (top.score, top.inside) if top else (0.0, 0.0)
+        own = list(dict.fromkeys(words))
+        if tag in _BLOCK:
+            own.append(f"<{tag}")
+            self.blocks.append(len(self.stack))
+            if tag == "article":
+                self.scopes.append({})
+                inside = 0.0
+            elif self.scopes:
+                f, scope = f"article>{tag}", self.scopes[-1]
+                if not scope.get(f):
+                    inside += get(f, 0.0)
+                scope[f] = scope.get(f, 0) + 1
+        for f in own:
+            if not self.count.get(f):
+                score += get(f, 0.0)
+            self.count[f] = self.count.get(f, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(_Open(tag, hidden or self.hidden, tag == "a" or self.linked, own, score, inside))
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            x = self.stack.pop()
+            self.places[x.tag].pop()
+            for f in x.own:
+                self.count[f] -= 1
+                if not self.count[f]:
+                    del self.count[f]
+            if x.tag in _BLOCK:
+                self.blocks.pop()
+                if x.tag == "article":
+                    self.scopes.pop()
+                elif self.scopes:
+                    scope, f = self.scopes[-1], f"article>{x.tag}"
+                    scope[f] -= 1
+                    if not scope[f]:
+                        del scope[f]
+
+    def block(self, text: str, linked: int) -> Block:
+        innermost = f"in<{self.stack[self.blocks[-1]].tag}" if self.blocks else ""
+        if self.weight is None:
+            return Block(text, linked, path=tuple(sorted([*self.count, *(self.scopes[-1] if self.scopes else ()), *[innermost] * bool(innermost)])))
+        top = self.stack[-1] if self.stack else None
+        return Block(text, linked, (top.score + top.inside if top else 0.0) + self.weight.get(innermost, 0.0))
+
+
+def leaf_blocks(html: str, weight: dict[str, float] | None = None) -> list[Block]:
+    """The blocks with text, in page order: references decoded, white space inside turned into one space, trimmed.
+
+    Each has the features of the elements above it or, given their weights, the sum of these. Tags are cut as browsers cut
+    them; a tag that the page's end leaves open is dropped. The page is read once, from left to right.
+    """
+    tree, out = _Tree(weight), []
     buffer: list[str] = []
     linked = 0
     at, n = 0, len(html)
@@ -67,86 +173,86 @@ def leaf_blocks(html: str) -> list[Block]:
     def flush():
         nonlocal linked
         if buffer:
-            text = _SPACE.sub(" ", unescape("".join(buffer))).strip()
+            text = _SPACE.sub(" ", decoded("".join(buffer))).strip()
             if text:
-                out.append(Block(tuple(x for o in stack if o.names for x in o.names), text, min(linked, len(text))))
+                out.append(tree.block(text, min(linked, len(text))))
             buffer.clear()
         linked = 0
 
-    def close(i: int):
-        if any(o.tag in _BLOCK for o in stack[i:]):
+    def close(place: int):
+        if tree.blocks and tree.blocks[-1] >= place:
             flush()
-        del stack[i:]
+        tree.close(place)
 
     while at < n:
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            t = m.group()
-            if t[0] != "<" or t == "<":
-                if not (stack and stack[-1].hidden):
-                    buffer.append(t)
-                    if any(o.tag == "a" for o in stack):
-                        linked += len(t)
+        nxt = html.find("<", at)
+        if nxt != at:
+            nxt = n if nxt < 0 else nxt
+            if not tree.hidden:
+                buffer.append(html[at:nxt])
+                if tree.linked:
+                    linked += nxt - at
+            at = nxt
+            continue
+        ends = html.startswith("</", at)
+        name = _NAME.match(html, at + 1 + ends)
+        if not (name.group()[:1].isascii() and name.group()[:1].isalpha()):
+            if html.startswith("<!--", at):
+                end = at + 4 if html.startswith(">", at + 4) else at + 5 if html.startswith("->", at + 4) else None
+                m = None if end else _COMMENT_END.search(html, at + 4)
+                at = end + 1 if end else m.end() if m else n
+            elif html[at + 1 : at + 2] in ("!", "?", "/"):
+                end = html.find(">", at)
+                at = end + 1 if end >= 0 else n
+            else:
+                if not tree.hidden:
+                    buffer.append("<")
+                    linked += tree.linked
+                at += 1
             continue
-        tag = tag.lower()
-        if m.group(1):
+        tag = name.group().lower()
+        inner = _ATTRIBUTES.match(html, name.end())
+        at = inner.end() + 1
+        if at > n:
+            break  # the tag is left open
+        if ends:
             if tag == "br":
                 buffer.append(" ")
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag not in _BLOCK and stack[i].tag in _BLOCK:
-                    break  # a stray end tag of an inline element does not close blocks
-            else:
-                if tag in _BLOCK:
-                    flush()
+            elif (place := tree.last(tag)) >= 0 and (tag in _BLOCK or not tree.blocks or place > tree.blocks[-1]):
+                close(place)  # a stray end tag of an inline element does not close blocks
+            elif tag in _BLOCK:
+                flush()
             continue
         if tag in ("br", "wbr", "img", "input"):
             if tag == "br":
                 buffer.append(" ")
             continue
         if tag in _BLOCK:
-            if tag in _ENDS_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == "p":
-                        close(i)
-                        break
-                    if stack[i].tag in _BLOCK:
-                        break
+            if tag in _ENDS_P and tree.blocks and tree.stack[tree.blocks[-1]].tag == "p":
+                close(tree.blocks[-1])
             if tag in _CLOSES:
-                ends, stops = _CLOSES[tag]
-                deepest = None
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag in ends:
-                        deepest = i
-                    elif stack[i].tag in stops:
-                        break
-                if deepest is not None:
-                    close(deepest)
+                closed, stops = _CLOSES[tag]
+                place = tree.first_above(closed, max(map(tree.last, stops)))
+                if place >= 0:
+                    close(place)
             flush()
         if tag in _VOID:
             continue
-        attributes = m.group(3) or ""
+        attributes = inner.group()
         if attributes.endswith("/") and tag in ("svg", "math", "path", "use"):
             continue
-        names, gone = [], tag in _HIDDEN
-        for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-            name = name.lower()
-            if name == "hidden":
+        words, gone = [], tag in _HIDDEN
+        for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+            key = key.lower()
+            if key == "hidden":
                 gone = True
-            elif name in _NAMED:
-                names += [f".{x}" for x in _PART.findall(value.lower())]
-        if tag in _BLOCK:
-            names.insert(0, tag)
-        stack.append(_Open(tag, tuple(names), gone or bool(stack and stack[-1].hidden)))
+            elif key in _NAMED:
+                words += [f".{x}" for x in _PART.findall(value.lower())]
+        tree.open(tag, words, gone)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            end = _RAW_END[tag].search(html, at)
             at = end.end() if end else n
-            stack.pop()
+            tree.close(len(tree.stack) - 1)
     flush()
     return out
 
@@ -161,6 +267,7 @@ _CUES = re.compile(
 
 
 def text_features(b: Block, i: int, n: int) -> list[str]:
+    """Of the whole text, however long: its shape, and of each kind of cue that it comes and how thickly."""
     t = b.text
     words = t.count(" ") + 1
     share = b.linked / max(1, len(t))
@@ -169,18 +276,11 @@ def text_features(b: Block, i: int, n: int) -> list[str]:
         out.append("first")
     if i == n - 1:
         out.append("last")
-    out += {f"cue-{m.lastgroup}" for m in _CUES.finditer(t[:300])} if len(t) < 300 else ()
-    return out
-
-
-def path_features(path: tuple[str, ...]) -> set[str]:
-    tags = [x for x in path if x[0] != "."]
-    out = {f"<{x}" for x in tags} | set(path) - set(tags)
-    if tags:
-        out.add(f"in<{tags[-1]}")
-    if "article" in tags:
-        inner = tags[len(tags) - 1 - tags[::-1].index("article") :]
-        out |= {f"article>{x}" for x in inner[1:]}
+    cues = Counter(m.lastgroup for m in _CUES.finditer(t))
+    for cue, k in cues.items():
+        out += (f"cue-{cue}", f"cue-{cue}-{min(4, (64 * k // words).bit_length() // 2)}")
+    if cues:
+        out.append(f"cues{min(4, (64 * cues.total() // words).bit_length() // 2)}")
     return out
 
 
@@ -189,22 +289,14 @@ class Model:
     weight: dict[str, float]  # what a feature adds to main less what it adds to other
     step: np.ndarray  # 2 x 2
     start: np.ndarray
-    known: dict = field(default_factory=dict, repr=False, compare=False)
-
-    def path(self, path: tuple[str, ...]) -> float:
-        if path not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[path] = sum(self.weight.get(f, 0.0) for f in path_features(path))
-        return self.known[path]
 
     def viterbi(self, blocks: list[Block]) -> list[int]:
-        """The best labels: 1 main, 0 other; other wins a tie."""
+        """The best labels: 1 main, 0 other; other wins a tie. The blocks must have been scored with this model's weights."""
         (s00, s01), (s10, s11) = self.step.tolist()
         get, n, back = self.weight.get, len(blocks), []
         o, m = self.start.tolist()
         for i, b in enumerate(blocks):
-            x = self.path(b.path) + sum([get(f, 0.0) for f in text_features(b, i, n)])
+            x = b.score + sum([get(f, 0.0) for f in text_features(b, i, n)])
             if i:
                 from_o, from_m = o + s01 > m + s11, o + s00 >= m + s10
                 back.append((0 if from_m else 1, 0 if from_o else 1))
@@ -219,12 +311,17 @@ class Model:
 
 
 def extract(html: str, model: Model) -> str:
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, model.weight)
     return "\n\n".join(b.text for b, y in zip(blocks, model.viterbi(blocks), strict=True) if y)
 
 
 def main_text(pages: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row. A null or empty page has the empty text; repeated rows stay."""
+    """page_id, url, text, n_chars of every row.
+
+    A null or empty page has the empty text; a null page_id or url stays null. Repeated rows each get their row, an empty table
+    gives none, other columns are ignored whatever their names. Time and memory are in proportion to a page's length, also for
+    tags that are never closed and elements nested to any depth; a very long page is a slice of its own.
+    """
     spark = pages.sparkSession
     sent = spark.sparkContext.broadcast(model or default_model())
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"), F.col(url_col).alias("url"))
@@ -257,7 +354,7 @@ def train(pages: list[list[Block]], epochs: int = 10, rate: float = 0.5, l2: flo
     index: dict[str, int] = {}
     coded = []
     for blocks in pages:
-        feats = [[index.setdefault(f, len(index)) for f in sorted(path_features(b.path)) + sorted(text_features(b, i, len(blocks)))] for i, b in enumerate(blocks)]
+        feats = [[index.setdefault(f, len(index)) for f in [*b.path, *sorted(text_features(b, i, len(blocks)))]] for i, b in enumerate(blocks)]
         if blocks:
             coded.append((np.array([x for f in feats for x in f]), np.array([len(f) for f in feats]), np.array([b.label for b in blocks])))
     w, step, start = np.zeros(len(index)), np.zeros((2, 2)), np.zeros(2)

@@ -26,7 +26,7 @@ _COMMENTS = ["div.comments", "section.comments", "div#comments", "ol.commentlist
 _SHARE = ["div.share", "ul.social", "div.social-links", "div.toolbar", "div.sharing"]
 
 _PHRASES = {
-    "notice": ["This site uses cookies to improve your experience.", "We value your privacy.", "Accept all cookies", "Nous utilisons des cookies.", "Diese Website verwendet Cookies.", "Usamos cookies.", "Please enable JavaScript.", "You have reached your free article limit."],
+    "notice": ["This site uses cookies to improve your experience.", "We value your privacy.", "We and our partners ask for your consent to store cookies.", "You can withdraw consent in the privacy settings.", "Accept all cookies", "Nous utilisons des cookies.", "Diese Website verwendet Cookies.", "Usamos cookies.", "Please enable JavaScript.", "You have reached your free article limit."],
     "ad": ["Advertisement", "Sponsored content", "Buy now and save", "Anzeige", "Publicité", "Publicidad", "Special offer"],
     "form": ["Subscribe to our newsletter", "Search", "Sign in", "Your email address", "Log in", "Leave a comment", "Submit", "Password"],
     "foot": ["© 2024 {w} Inc.", "All rights reserved.", "Copyright 2023 {w}", "© {w} · {w}", "Terms of use", "Privacy policy", "Contact us", "Impressum"],
@@ -36,6 +36,13 @@ _PHRASES = {
 }
 
 
+#: What an article may say that notices say, too.
+_INCIDENTAL = [
+    "We use cookies to bake.", "Subscribe to this idea.", "He left a comment and did not reply.", "They share a promo code.", "The law on privacy was read out.", "A sponsor paid for the bridge.",
+    "She asked for their consent.", "The related case was dropped.", "It was the most popular book of 12.3.1999.", "He kept the copyright.", "They signed up, and read more.",
+]
+
+
 class _Page:
     def __init__(self, rng: random.Random):
         self.r = rng
@@ -68,9 +75,16 @@ class _Page:
         elif style < 0.20:
             t = self.r.choice(["Released under the MIT License.", "All rights reserved.", "Licensed under CC BY 4.0.", f"Copyright {self.word()}."]) if self.r.random() < 0.5 else t + " All rights reserved."
         elif style < 0.22:
-            t += " " + self.r.choice(["We use cookies to bake.", "Subscribe to this idea.", "He left a comment and did not reply.", "They share a promo code."])
+            t += " " + self.r.choice(_INCIDENTAL)
+        elif style < 0.30 and n > 2:  # words that notices use, in the midst of a long paragraph
+            t = " ".join(self.r.choice(_INCIDENTAL) if self.r.random() < 0.15 else self.sentence() for _ in range(2 * n))
         return t
 
+    def long(self, what: str) -> str:
+        """A notice, advert or the like of many sentences, most of them about the matter."""
+        about = self.r.choice([0.4, 0.6, 0.9])
+        return " ".join(self.say(what) if self.r.random() < about else self.sentence(12) for _ in range(self.r.randint(4, 24)))
+
     def wrap(self, kind: str, inner: str, extra: str = "") -> str:
         tag, mark, name = kind, "", ""
         for sep, attr in ((".", "class"), ("#", "id")):
@@ -145,7 +159,7 @@ class _Page:
         return "".join(out)
 
     def ad(self) -> str:
-        return self.wrap(self.r.choice(_ADS), self.r.choice([self.sentence(), self.say("ad"), self.say("ad") + " " + self.sentence(), f"<p>{self.prose()}</p>", self.link(self.sentence())]))
+        return self.wrap(self.r.choice(_ADS), self.r.choice([self.sentence(), self.say("ad"), self.say("ad") + " " + self.sentence(), f"<p>{self.prose()}</p>", f"<p>{self.long('ad')}</p>", self.link(self.sentence())]))
 
     def share(self) -> str:
         return self.wrap(self.r.choice(_SHARE), self.r.choice([self.say("share"), "".join(f"<li>{self.link(self.say('share'))}</li>" for _ in range(3))]))
@@ -162,10 +176,14 @@ class _Page:
         return self.wrap(self.r.choice(_COMMENTS), inner)
 
     def form(self) -> str:
-        return self.wrap(self.r.choice(_FORM), self.r.choice(["", f"<label>{self.say('form')}</label>", f"<p>{self.sentence()}</p>", f"<p>{self.say('form')} {self.sentence()}</p>"]) + "<input name='q'>" + self.r.choice([self.say("form"), f"<button>{self.say('form')}</button>"]))
+        return self.wrap(self.r.choice(_FORM), self.r.choice(["", f"<label>{self.say('form')}</label>", f"<p>{self.sentence()}</p>", f"<p>{self.say('form')} {self.sentence()}</p>", f"<p>{self.long('form')}</p>"]) + "<input name='q'>" + self.r.choice([self.say("form"), f"<button>{self.say('form')}</button>"]))
 
     def notice(self) -> str:
-        return self.wrap(self.r.choice(_NOTICE), self.r.choice([self.say("notice"), f"<p>{self.say('notice')} {self.sentence()}</p>", self.sentence(), f"<p>{self.prose()}</p>"]) + self.r.choice(["", "<button>OK</button>", self.link("OK")]))
+        kind = self.r.choice(_NOTICE) if self.r.random() < 0.8 else self.r.choice(["div", "section", "p", f"div.{self.word()}"])
+        inner = [f"<p>{self.long('notice')}</p>", self.long("notice"), f"<p>{self.say('notice')} {self.long('notice')}</p>"]
+        if kind in _NOTICE:
+            inner += [self.say("notice"), f"<p>{self.say('notice')} {self.sentence()}</p>", self.sentence(), f"<p>{self.prose()}</p>"]
+        return self.wrap(kind, self.r.choice(inner) + self.r.choice(["", "<button>OK</button>", self.link("OK")]))
 
     def html(self) -> str:
         r = self.r
@@ -190,7 +208,7 @@ class _Page:
             middle = "".join(bottom[:1]) + middle
             bottom = bottom[1:]
         if r.random() < 0.85:
-            bottom.append(self.wrap(r.choice(_FOOT), r.choice([self.say("foot"), self.say("foot") + " " + self.sentence(), self.menu(), f"<p>{self.prose()}</p>", self.sentence(), self.say("foot") + " · " + self.prose(), f"<p>{self.say('foot')}</p>" + self.menu()])))
+            bottom.append(self.wrap(r.choice(_FOOT), r.choice([self.say("foot"), self.say("foot") + " " + self.sentence(), self.menu(), f"<p>{self.prose()}</p>", f"<p>{self.long('foot')}</p>", self.sentence(), self.say("foot") + " · " + self.prose(), f"<p>{self.say('foot')}</p>" + self.menu()])))
         return f"<html><head><title>{self.words(3)}</title></head><body>{''.join(top)}{middle}{''.join(bottom)}" + r.choice(["</body></html>", ""])
 
 
