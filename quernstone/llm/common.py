@@ -7,6 +7,7 @@ text, and no intermediate result is ever kept in an executor's own folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,18 +18,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
+
+    Only where all tasks run on this machine, as in tests, an unset one is replaced by a folder of its own; elsewhere it raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="quernstone-")
-        if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+        if current.isDefined():
+            return current.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quernstone-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches of this session to ``BATCH_BYTES``, unless it has a limit of its own: a batch of ten thousand long
+    texts would have to be in memory at once, on both sides."""
+    if spark.conf.get(_BATCH_LIMIT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder; its lineage is cut there."""
     shared_folder(df.sparkSession)
@@ -37,6 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, as doc_id and text; a null text becomes the empty one."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -65,7 +83,6 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2
             at = to
 
 
-
 def keep_first(docs: DataFrame, found: DataFrame, key: Callable[[bytes], int]) -> DataFrame:
     """The rows of docs (with columns doc_id, text) that have the smallest doc_id of their component, and those without a doc_id.
 
@@ -90,3 +107,16 @@ def keep_first(docs: DataFrame, found: DataFrame, key: Callable[[bytes], int]) -
         rank = F.row_number().over(Window.partitionBy("component_id").orderBy("text", F.to_json("row")))
         kept = kept.join(again, on, "left_anti").unionByName(rows.withColumn("_rank", rank).filter("_rank = 1").select("row.*"))
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def smallest(rows: DataFrame, group: str, order: str, most: int, salts: int = 64) -> DataFrame:
+    """Of each group the ``most`` rows of the smallest ``order``, in one pass.
+
+    Each task keeps at most ``most`` rows of a group before anything is shuffled, and groups are dealt out by salt first, so that
+    a group that has most of the rows does not meet in one task.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    for keys in ([group, "_salt"], [group]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+        salted = salted.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+    return salted.drop("_salt")

@@ -5,11 +5,14 @@ n-grams and a lexicon learnt from the training texts; learnt transitions tie nei
 from single odd words. Forward-backward gives the probability of each language at each word; a text's language is the one
 with the largest expected number of words, and the score is its share. Words without a letter carry no score of their own.
 
-The chain runs over blocks of ``BLOCK`` words, each scored whole; a text of any length is the sequence of its blocks.
+The chain runs over the whole text. To do many texts at once they are cut into blocks of ``BLOCK`` words, and what each block
+makes of the labels before it (a matrix) carries the forward and backward messages over the cuts, so that the result is that of
+the uncut chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, pieces, raw
+from .common import docs_of, pieces, raw, small_batches, smallest
 from .features import subwords, total
 from .words import NEW_WORDS, Rows, Split, WordTable, gather
 
 BLOCK = 64
 SIZES = (2, 3, 4)
+#: Words that a task remembers the scores of before it forgets all.
+WORDS = 200_000
 
 
 @dataclass
@@ -54,10 +59,11 @@ def word_features(words: list[bytes], buckets: int, lexicon: dict[bytes, int], l
 _AROUND = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡·|"
 
 
-def forward_backward(score: np.ndarray, length: np.ndarray, step: np.ndarray, start: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(score: np.ndarray, length: np.ndarray, step: np.ndarray, start: np.ndarray, pairs: bool = True, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of each label (blocks x words x labels), and of neighbouring pairs summed over words (labels x labels).
 
-    score: log-potentials of words; words from length on are padding.
+    score: log-potentials of words; words from length on are padding. start: log-potentials of the first label, for all blocks or
+    for each; after: the message that comes back from behind each block, if anything follows.
     """
     n, t, k = score.shape
     e = np.exp(score - score.max(2, keepdims=True, initial=0))
@@ -69,6 +75,8 @@ def forward_backward(score: np.ndarray, length: np.ndarray, step: np.ndarray, st
         f[:, i] = (f[:, i - 1] @ a) * e[:, i]
         f[:, i] /= f[:, i].sum(1, keepdims=True)
     b = np.ones((n, t, k))
+    if after is not None:
+        b[:] = after[:, None, :]
     sums = np.zeros((k, k))
     for i in range(t - 2, -1, -1):
         x = b[:, i + 1] * e[:, i + 1]
@@ -78,13 +86,66 @@ def forward_backward(score: np.ndarray, length: np.ndarray, step: np.ndarray, st
             joint /= joint.sum((1, 2), keepdims=True)
             sums += (joint * inside[:, :, None]).sum(0)
         y = x @ a.T
-        b[:, i] = np.where(inside, y / y.sum(1, keepdims=True), 1)
+        b[:, i] = np.where(inside, y / y.sum(1, keepdims=True), b[:, i])
     p = f * b
     p /= p.sum(2, keepdims=True)
     p[np.arange(t) >= length[:, None]] = 0
     return p, sums
 
 
+def _through(score: np.ndarray, length: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a block makes of each label of its first word: weights of the labels of its last word (blocks x labels x labels; each
+    row sums to one) and the logarithm of each row's true sum."""
+    n, t, k = score.shape
+    top = score.max(2, initial=0)
+    e, a = np.exp(score - top[:, :, None]), np.exp(step)
+    scale = np.log(e[:, 0])
+    m = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+    for i in range(1, t):
+        inside = i < length
+        x = (m @ a) * e[:, i][:, None, :]
+        s = x.sum(2)
+        m = np.where(inside[:, None, None], x / s[:, :, None], m)
+        scale += np.where(inside[:, None], np.log(s), 0)
+    return m, scale
+
+
+def chain(score: np.ndarray, n: np.ndarray, step: np.ndarray, start: np.ndarray, at_once: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Posteriors of the labels of all words: (first word, length, text, posteriors) of some blocks at a time.
+
+    score: log-potentials of the words of all texts; n: words of each text.
+    """
+    first, length, text = blocks(n)
+    total_, k = len(first), score.shape[1]
+    if not total_:
+        return
+    a = np.exp(step)
+    parts = [_through(_padded(score, first[i : i + at_once], length[i : i + at_once]), length[i : i + at_once], step) for i in range(0, total_, at_once)]
+    m, scale = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    before, after = np.empty((total_, k)), np.ones((total_, k))
+    count = -(-n // BLOCK)
+    head = (np.cumsum(count) - count)[count > 0]  # first block of each text
+    count = count[count > 0]
+    before[head] = start
+    order = np.argsort(-count, kind="stable")
+    head, count = head[order], count[order]
+    more = [int(np.searchsorted(-count, -j, "left")) for j in range(int(count[0]) + 1)]  # texts of more than j blocks
+    for j in range(int(count[0]) - 1):
+        at = head[: more[j + 1]] + j
+        w = before[at] + scale[at]
+        x = (np.exp(w - w.max(1, keepdims=True))[:, None, :] @ m[at])[:, 0] @ a
+        before[at + 1] = np.log(x / x.sum(1, keepdims=True))
+    for j in range(int(count[0]) - 2, -1, -1):
+        at = head[: more[j + 1]] + j
+        w = np.log((m[at + 1] @ after[at + 1][:, :, None])[:, :, 0]) + scale[at + 1]
+        x = np.exp(w - w.max(1, keepdims=True)) @ a.T
+        after[at] = x / x.sum(1, keepdims=True)
+    for i in range(0, total_, at_once):
+        f, z = first[i : i + at_once], length[i : i + at_once]
+        p, _ = forward_backward(_padded(score, f, z), z, step, before[i : i + at_once], False, after[i : i + at_once])
+        yield f, z, text[i : i + at_once], p
+
+
 def blocks(n: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts of n words each: first word, length and text of each block."""
     count = -(-n // size)
@@ -95,7 +156,7 @@ def blocks(n: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np
 
 def _padded(score: np.ndarray, first: np.ndarray, length: np.ndarray, size: int = BLOCK) -> np.ndarray:
     at = first[:, None] + np.minimum(np.arange(size), length[:, None] - 1)
-    return score[at]
+    return score[at].astype(np.float64) if score.dtype != bool else score[at]
 
 
 def train(texts: list[bytes], langs_of: list[str], buckets: int = 1 << 16, epochs: int = 3, rate: float = 0.3, l2: float = 1e-6, seed: int = 11) -> Model:
@@ -172,18 +233,17 @@ def train(texts: list[bytes], langs_of: list[str], buckets: int = 1 << 16, epoch
     return Model(langs, weight, step, start, buckets, lexicon)
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", per_lang: int = 150, **how) -> Model:
-    """A model from at most ``per_lang`` whole texts of each language, those of the smallest hashes of their ids."""
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    picked = None
-    for lang in langs:
-        part = rows.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return train([], [], **how)
-    # At most per_lang ids a language: a bounded side.
-    some = rows.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").orderBy("doc_id", "text").collect()
+def learn(docs: DataFrame, lang_col: str = "lang", per_lang: int = 150, longest: int = 100_000, **how) -> Model:
+    """A model from at most ``per_lang`` whole texts of each language, those of the smallest hashes of their ids.
+
+    Texts of more than ``longest`` characters are not taken as samples, so the sample is bounded in bytes, too. Of rows that repeat
+    an id and a language the smallest text counts; rows without an id, a text or a language teach nothing.
+    """
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.col(lang_col).alias("lang")).filter("doc_id is not null and lang is not null and text is not null").filter(F.length("text") <= longest)
+    picked = smallest(rows.select("doc_id", "lang", F.struct(F.xxhash64("doc_id"), "doc_id").alias("_order")), "lang", "_order", per_lang)
+    # At most per_lang rows a language: a bounded side.
+    some = rows.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    some = sorted(some.collect(), key=lambda r: (r.doc_id, r.lang))
     return train([r.text.encode() for r in some], [r.lang for r in some], **how)
 
 
@@ -193,7 +253,7 @@ class Labeller:
     def __init__(self, model: Model):
         self.m, self.k = model, len(model.langs)
         self.own, self.letters = Rows(np.float32, max(self.k, 1)), Rows(bool)
-        self.table = WordTable(self._make)
+        self.table = WordTable(self._make, WORDS)
 
     def _make(self, words: list[bytes]) -> None:
         ids, n, letter = word_features(words, self.m.buckets, self.m.lexicon, self.k)
@@ -209,11 +269,8 @@ class Labeller:
         mass = np.zeros((len(texts), max(k, 1)))
         r = self.table.rows(split)
         if len(r) and k:
-            first, length, text = blocks(split.n)
-            scores, counted = self.own.data[r].astype(np.float64), self.letters.data[r]
-            for at in range(0, len(first), 2048):
-                f, z, x = first[at : at + 2048], length[at : at + 2048], text[at : at + 2048]
-                p, _ = forward_backward(_padded(scores, f, z), z, m.step, m.start, pairs=False)
+            scores, counted = self.own.data[r], self.letters.data[r]
+            for f, z, x, p in chain(scores, split.n, m.step, m.start):
                 p *= _padded(counted, f, z)[:, :, None]
                 np.add.at(mass, x, p.sum(1))
         words = mass.sum(1)
@@ -224,7 +281,11 @@ class Labeller:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row; ``und`` and 0 for texts that are null or have no letter, or if no language was learnt."""
+    """doc_id, lang_pred, score of every row; ``und`` and 0 for texts that are null or have no letter, or if no language was learnt.
+
+    Repeated rows each get their row, a null doc_id stays null, an empty table gives an empty result; of equally likely languages the
+    first by name is taken; other columns are ignored whatever their names. A text of any length is one chain.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs_of(docs)
 
@@ -240,8 +301,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is in a learnt language with a share of ``least`` or more; all columns as they are.
 
-    Whole rows pass through, so no join puts texts and predictions together again.
+    Whole rows pass through, repeated ones and nulls in other columns too, so no join puts texts and predictions together again.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
