@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, pieces, raw
+from .common import cut, docs_of, pieces, raw, smallest
 from .features import subwords, total
 from .words import Rows, Split, WordTable, gather
 
@@ -74,26 +74,31 @@ def train(texts: list[bytes], labels: list[int], shift: float = 0.0, buckets: in
     return Model(e @ (u[:, 1] - u[:, 0]), shift, sizes)
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 600, **how) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 600, longest: int = 100_000, **how) -> Model:
     """A model from at most ``per_class`` labelled documents of each class, those of the smallest hashes of their ids.
 
-    labels: doc_id, label (0 or 1). Labels without a document, null labels and null texts teach nothing.
+    labels: doc_id, label (0 or 1). Labels without a document, null labels, ids with labels of both classes and null texts teach
+    nothing and do not count for the shares of the classes; nor is a text of more than ``longest`` characters taken as a sample, so
+    the sample is bounded in bytes. Of rows that repeat an id the smallest text counts.
     """
-    labels = labels.filter("doc_id is not null and label is not null")
-    counts = dict(labels.groupBy("label").count().collect())
-    some = None
-    for c in (0, 1):
-        part = labels.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        some = part if some is None else some.unionByName(part)
-    some = some.select(F.col("doc_id").alias("label_id"), "label").dropDuplicates(["label_id"])
+    named = docs_of(docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
+    sized = named.groupBy("doc_id").agg((F.min(F.length("text")) <= longest).alias("fits"))
+    agreed = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).filter("label = _other").drop("_other")
+    taught = cut(agreed.join(sized, "doc_id"))
+    counts = dict(taught.groupBy("label").count().collect())
+    picked = smallest(taught.filter("fits").select("doc_id", "label", F.struct(F.xxhash64("doc_id"), "doc_id").alias("_order")), "label", "_order", per_class).select("doc_id", "label")
     # At most 2 * per_class ids: a bounded side.
-    rows = docs_of(docs).join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label").orderBy("doc_id", "text").collect()
+    rows = named.filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     shift = float(np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)))
     return train([r.text.encode() for r in rows], [int(r.label) for r in rows], shift, **how)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1; how likely class 1 is) of every row; without words it is the share of class 1 among the labels."""
+    """doc_id and score (0 to 1; how likely class 1 is) of every row; without words, as in a null or empty text, it is the share of
+    class 1 among the labels. Repeated rows each get their row, a null doc_id stays null, an empty table gives an empty result; other
+    columns are ignored whatever their names. A very long text is a slice of its own.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs_of(docs)
 
