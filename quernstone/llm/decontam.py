@@ -1,31 +1,42 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-All test items, lower-cased and cut into words, go into one suffix automaton. The words of a document are
-streamed through it; at each word the automaton's state and match length tell the longest passage that ends
-there and stands in some item. Where that length reaches ``size`` words the words are hit, and the state's
-ancestor that holds passages of just ``size`` words knows the items they stand in. Items shorter than ``size``
-count when they occur whole.
+All test items, lower-cased and cut into words, go into suffix automata. The words of a document are streamed
+through one; at each word the automaton's state and match length tell the longest passage that ends there and
+stands in some item. Where that length reaches ``size`` words the words are hit, and the state's ancestor that
+holds passages of just ``size`` words knows the items they stand in. Items shorter than ``size`` count when they
+occur whole. Items of the same words are one sequence; their ids come in only at the end.
 
 Only stretches of a document whose word triples all occur in items are streamed: a longer match cannot lie
-anywhere else. The test set is measured before it is collected; a larger one than ``most_bytes`` is dealt with
-in parts of that size, one automaton each.
+anywhere else. A bitmap of the triples of the whole test set finds them.
+
+The test set is read in parts of at most ``most_bytes`` of text, each of which becomes an automaton in flat arrays
+(about 10 bytes for each byte of text). One part stays in memory. Of more, a worker takes up some ``HELD`` bytes of
+documents and holds their stretches against one part after the other, so that it never has more than one automaton.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, pieces, raw
+from .common import docs_of, pieces, raw, small_batches
 from .words import Split, WordTable, hashes
 
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: A-Z to a-z; all ASCII but digits and letters to a space.
 _TABLE = bytes(c if c in _KEPT else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+#: Text of the test set in one automaton.
+PART = 2 << 20
+#: Text of documents that is held against several parts in turn.
+HELD = 16 << 20
+#: Bits of the bitmap for each triple of the test set, and the most it may have: a fuller one passes more stretches, never fewer.
+BITS, MOST_BITS = 16, 1 << 30
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -34,197 +45,259 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several sequences of word numbers, each with a number of its own."""
+    """Of several distinct sequences of word numbers, each with a number of its own. Built in lists, kept in flat arrays."""
 
     def __init__(self, sequences: Iterable[list[int]], size: int):
         self.size = size
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends = []
+        self._next: list[dict[int, int]] = [{}]
+        self._link, self._length = [-1], [0]
         kept = [list(s) for s in sequences]
         for s in kept:
             last = 0
             for w in s:
                 last = self._add(last, w)
-            ends.append(last)
+        n, length, link = len(self._next), self._length, self._link
+        order = sorted(range(1, n), key=length.__getitem__)
         # Of each state, its ancestor (or itself) that holds passages of `size` words.
-        n = len(self.next)
-        order = sorted(range(1, n), key=self.length.__getitem__)
-        self.at_size = [-1] * n
+        at_size = [-1] * n
         for v in order:
-            up = self.link[v]
-            self.at_size[v] = -1 if self.length[v] < size else v if self.length[up] < size else self.at_size[up]
-        self.items: dict[int, set[int]] = {}
+            up = link[v]
+            at_size[v] = -1 if length[v] < size else v if length[up] < size else at_size[up]
+        states, numbers = [], []
         own: dict[int, list[tuple[int, int]]] = {}
         for i, s in enumerate(kept):
             v = 0
             for k, w in enumerate(s, 1):
-                v = self.next[v][w]
+                v = self._next[v][w]
                 if k >= size:
-                    self.items.setdefault(self.at_size[v], set()).add(i)
+                    states.append(at_size[v])
+                    numbers.append(i)
             if 0 < len(s) < size:
                 own.setdefault(v, []).append((len(s), i))
-        # Of each state, the short items that end wherever it ends (above it in the link tree).
+        #: Short sequences by the state they end in: (length, number). One text has one state, and a state at most size - 1 of them.
         self.own = own
-        self.short: list[tuple] = [()] * n
+        # Of each state, the nearest one above it in the link tree where short sequences end; those end wherever the state does.
+        above = [0] * n
         for v in order:
-            up = self.link[v]
-            self.short[v] = self.short[up] + tuple(own.get(up, ())) if up > 0 else ()
+            up = link[v]
+            above[v] = up if up in own else above[up] if up > 0 else 0
+        pairs = np.unique(np.array([states, numbers], np.int64), axis=1) if states else np.zeros((2, 0), np.int64)
+        self.held, self.numbers = pairs[0].astype(np.int32), pairs[1].astype(np.int32)
+        self.start = np.concatenate(([0], np.cumsum([len(x) for x in self._next]))).astype(np.int32)
+        moves = [sorted(x.items()) for x in self._next]
+        self.word = np.array([w for x in moves for w, _ in x], np.int32)
+        self.target = np.array([t for x in moves for _, t in x], np.int32)
+        self.link, self.length, self.at_size, self.above = (np.array(x, np.int32) for x in (link, length, at_size, above))
+        del self._next, self._link, self._length
 
     def _state(self, length: int, link: int, nxt: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(nxt)
-        return len(self.next) - 1
+        self._length.append(length)
+        self._link.append(link)
+        self._next.append(nxt)
+        return len(self._next) - 1
 
     def _split(self, p: int, w: int, q: int) -> int:
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = clone
-            p = self.link[p]
+        clone = self._state(self._length[p] + 1, self._link[q], dict(self._next[q]))
+        self._link[q] = clone
+        while p >= 0 and self._next[p].get(w) == q:
+            self._next[p][w] = clone
+            p = self._link[p]
         return clone
 
     def _add(self, last: int, w: int) -> int:
-        q = self.next[last].get(w)
+        q = self._next[last].get(w)
         if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-        now = self._state(self.length[last] + 1, 0, {})
+            return q if self._length[q] == self._length[last] + 1 else self._split(last, w, q)
+        now = self._state(self._length[last] + 1, 0, {})
         p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = now
-            p = self.link[p]
+        while p >= 0 and w not in self._next[p]:
+            self._next[p][w] = now
+            p = self._link[p]
         if p >= 0:
-            q = self.next[p][w]
-            self.link[now] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
+            q = self._next[p][w]
+            self._link[now] = q if self._length[q] == self._length[p] + 1 else self._split(p, w, q)
         return now
 
-    def stream(self, words: list[int], hit: np.ndarray, base: int, found: set[int]) -> None:
-        """Marks the hit words among hit[base:] and adds the items that occur to found."""
-        nxt, link, length, size = self.next, self.link, self.length, self.size
+    def of(self, state: int) -> list[int]:
+        """Numbers of the sequences that hold the passages of `size` words of a state."""
+        a, b = np.searchsorted(self.held, (state, state + 1))
+        return self.numbers[a:b].tolist()
+
+    def stream(self, words: list[int], hit: np.ndarray, base: int, states: set[int], short: set[int]) -> None:
+        """Marks the hit words among hit[base:]; adds to states those whose passages of `size` words occur, to short the numbers
+        of short sequences that do."""
+        start, word, target, link, length, at_size, above = map(memoryview, (self.start, self.word, self.target, self.link, self.length, self.at_size, self.above))
+        own, size = self.own, self.size
         v = n = 0
         for i, w in enumerate(words):
-            while v and w not in nxt[v]:
+            while True:
+                a, b = start[v], start[v + 1]
+                if b - a > 1:
+                    a = bisect_left(word, w, a, b)
+                if a < b and word[a] == w:
+                    v, n = target[a], n + 1
+                    break
+                if not v:
+                    break
                 v = link[v]
                 n = length[v]
-            v = nxt[v].get(w, 0)
-            n = n + 1 if v else 0
             if n >= size:
                 hit[base + i + 1 - size : base + i + 1] = True
-                found |= self.items[self.at_size[v]]
-            if v:
-                for m, item in self.short[v]:
-                    hit[base + i + 1 - m : base + i + 1] = True
-                    found.add(item)
-                for m, item in self.own.get(v, ()):
+                states.add(at_size[v])
+            u = v
+            while u:
+                for m, item in own.get(u, ()):
                     if n >= m:
                         hit[base + i + 1 - m : base + i + 1] = True
-                        found.add(item)
+                        short.add(item)
+                u = above[u]
 
 
 class Matcher:
-    """An automaton and what it takes to skip what cannot match. size: words of a window."""
+    """An automaton of some items and what it takes to skip what cannot match. size: words of a window."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
-        split = [normal_words(text) for _, text in items]
-        self.ids = [i for i, _ in items]
+        sequences: dict[tuple[bytes, ...], list[str]] = {}
+        for i, text in items:
+            sequences.setdefault(tuple(normal_words(text)), []).append(i)
+        sequences.pop((), None)
+        self.ids = list(sequences.values())
         vocabulary: dict[bytes, int] = {}
-        coded = [[vocabulary.setdefault(w, len(vocabulary)) for w in s] for s in split]
+        coded = [[vocabulary.setdefault(w, len(vocabulary)) for w in s] for s in sequences]
         known = Split([b" ".join(vocabulary)])
         self.table = WordTable()
-        self.table.add(*hashes(known.data, known.start, known.size))
+        lanes = hashes(known.data, known.start, known.size)
+        self.table.add(*lanes)
         self.automaton = SuffixAutomaton(coded, size)
-        lengths = [min(len(s), size) for s in coded if s]
-        self.least = min(lengths, default=0)
+        self.least = min((min(len(s), size) for s in coded), default=0)
         self.order = min(3, self.least)
-        v = len(vocabulary) + 1
-        grams = {self._code(s[i : i + self.order], v) for s in coded for i in range(len(s) - self.order + 1)} if self.order else set()
-        self.grams = np.array(sorted(grams), np.int64)
-        self.base = v
-
-    @staticmethod
-    def _code(words: list[int], v: int) -> int:
-        out = 0
-        for w in words:
-            out = out * v + w
-        return out
-
-    def __call__(self, split: Split, lanes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[set[int]]]:
-        """Whether each word (of all texts in turn) is hit, and the items found in each text."""
-        found: list[set[int]] = [set() for _ in split.n]
-        total = len(split.start)
-        hit = np.zeros(total, bool)
-        if not total or not self.order:
-            return hit, found
-        w = self.table.find(*lanes).astype(np.int64)
-        text = split.text()
-        k = total - self.order + 1
-        if k <= 0:
-            return hit, found
-        code, fine = np.zeros(k, np.int64), text[:k] == text[self.order - 1 :]
-        for j in range(self.order):
-            code = code * self.base + w[j : j + k]
-            fine &= w[j : j + k] >= 0
-        at = np.flatnonzero(fine)
-        near = np.minimum(np.searchsorted(self.grams, code[at]), len(self.grams) - 1)
-        at = at[self.grams[near] == code[at]]
+        grams = [x for s in coded for x in gram_hashes(lanes[0][s], self.order)] if self.order else []
+        self.grams = np.unique(np.array(grams, np.uint64))
+
+    def __call__(self, lanes: tuple[np.ndarray, np.ndarray], at: np.ndarray, grams: np.ndarray, text: np.ndarray, hit: np.ndarray, found: list[set[str]]) -> None:
+        """Marks the words that are hit and adds the ids of the items found in each text. at: words (ascending) where a gram (with
+        the hash in grams) of the test set's order may begin, or of a smaller order if some part's is smaller."""
+        if not self.order or not len(at):
+            return
+        near = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        at = at[self.grams[near] == grams]
         if not len(at):
-            return hit, found
+            return
         cuts = np.flatnonzero((at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])) + 1
         first, last = at[np.concatenate(([0], cuts))], at[np.concatenate((cuts - 1, [len(at) - 1]))] + self.order
         long = last - first >= self.least
+        states: dict[int, tuple[set[int], set[int]]] = {}
         for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
-            self.automaton.stream(w[a:b].tolist(), hit, a, found[text[a]])
-        return hit, found
-
-
-def _parts(items: DataFrame, most_bytes: int) -> list[list[tuple[str, bytes]]]:
+            mine = states.setdefault(int(text[a]), (set(), set()))
+            self.automaton.stream(self.table.find(lanes[0][a:b], lanes[1][a:b]).tolist(), hit, a, *mine)
+        for t, (some, short) in states.items():
+            for number in {x for s in some for x in self.automaton.of(s)} | short:
+                found[t].update(self.ids[number])
+
+
+def gram_hashes(h: np.ndarray, order: int) -> np.ndarray:
+    """Hash of every ``order`` (at most three) consecutive word hashes."""
+    m = len(h) - order + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(m, np.uint64)
+    for j in range(order):
+        out = (out ^ h[j : j + m]) * _MIX[j]
+    return out ^ (out >> np.uint64(29))
+
+
+class TestSet:
+    """The matchers of all parts, as broadcasts, and by the order of their grams the bitmaps of all of these."""
+
+    def __init__(self, spark, benchmark: DataFrame, size: int, most_bytes: int):
+        rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
+        self.parts, self.orders, grams = [], [], {}
+        for part in _parts(rows, most_bytes):
+            m = Matcher(part, size)
+            if m.order:
+                self.parts.append(spark.sparkContext.broadcast(m))
+                self.orders.append(m.order)
+                grams.setdefault(m.order, []).append(m.grams)
+        self.maps = {}
+        for order, found in grams.items():
+            log = max(10, min(MOST_BITS, BITS * sum(map(len, found))).bit_length())
+            bits = np.zeros(1 << (log - 3), np.uint8)
+            for g in found:
+                np.bitwise_or.at(bits, (g >> np.uint64(64 - log + 3)).astype(np.int64), (1 << ((g >> np.uint64(64 - log)) & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+            self.maps[order] = (log, bits)
+        self.maps = spark.sparkContext.broadcast(self.maps)
+
+    def search(self, texts: list[bytes]) -> tuple[Split, np.ndarray, list[set[str]]]:
+        """The words of the texts, whether each is hit, and the ids of the items found in each text."""
+        split = Split([t.translate(_TABLE) for t in texts])
+        total = len(split.start)
+        hit, found = np.zeros(total, bool), [set() for _ in texts]
+        if not total or not self.parts:
+            return split, hit, found
+        lanes = hashes(split.data, split.start, split.size)
+        text = split.text()
+        places = {}
+        for order, (log, bits) in self.maps.value.items():
+            g = gram_hashes(lanes[0], order)
+            if len(g):
+                some = (bits[(g >> np.uint64(64 - log + 3)).astype(np.int64)] >> ((g >> np.uint64(64 - log)) & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                some &= text[: len(g)] == text[order - 1 :]
+                at = np.flatnonzero(some)
+                if len(at):
+                    places[order] = at, g[at]
+        for order, part in zip(self.orders, self.parts, strict=True):
+            if order in places:
+                part.value(lanes, *places[order], text, hit, found)
+                if len(self.parts) > 1:
+                    vars(part).pop("_value", None)  # the next one takes its place
+        return split, hit, found
+
+    def over(self, batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+        """The batches in slices to search at once: small ones, or large ones if every slice has to go through several parts."""
+        if len(self.parts) < 2:
+            yield from pieces(batches, column)
+            return
+        held, size = [], 0
+        for b in pieces(batches, column, HELD):
+            held.append(b)
+            size += b.nbytes
+            if size >= HELD:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _parts(items: DataFrame, most_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items, in parts whose texts have at most most_bytes each (or one longer item)."""
-    parts, held = [[]], 0
-    for item, text in items.orderBy("item_id", "text").toLocalIterator():
+    part, held = [], 0
+    for item, text in items.orderBy("text", "item_id").toLocalIterator():
         text = text.encode()
-        if parts[-1] and held + len(text) > most_bytes:
-            parts.append([])
-            held = 0
-        parts[-1].append((item, text))
+        if part and held + len(text) > most_bytes:
+            yield part
+            part, held = [], 0
+        part.append((item, text))
         held += len(text)
-    return parts
-
-
-def _matchers(spark, benchmark: DataFrame, size: int, most_bytes: int = 8 << 20) -> list:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
-    return [spark.sparkContext.broadcast(Matcher(p, size)) for p in _parts(items, most_bytes)]
-
-
-def _search(matchers: list, texts: list[bytes]) -> tuple[Split, np.ndarray, list[set[str]]]:
-    """The words of the texts, whether each is hit, and the ids of the items found in each text."""
-    split = Split([t.translate(_TABLE) for t in texts])
-    lanes = hashes(split.data, split.start, split.size)
-    hit, found = np.zeros(len(split.start), bool), [set() for _ in texts]
-    for m in matchers:
-        h, f = m.value(split, lanes)
-        hit |= h
-        for have, more in zip(found, f, strict=True):
-            have |= {m.value.ids[i] for i in more}
-    return split, hit, found
+    if part:
+        yield part
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_hit: float = 0.0, most_bytes: int = 8 << 20, clean: bool = False) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_hit: float = 0.0, most_bytes: int = PART, clean: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, items (sorted array of item_ids as strings), contaminated (n_hit > max_hit * n_words),
     and with ``clean`` clean_text: the text without the stretch of each run of hit words; all else stays as it is.
 
     Null texts have no words; items that are null or without words never occur, nor do items without an id. An empty
-    benchmark hits nothing. Repeated rows each get their own result.
+    benchmark hits nothing, an empty table gives none. Repeated rows each get their own result, a null doc_id stays null, other
+    columns are ignored whatever their names. Very long texts are slices of their own.
     """
     docs = docs_of(docs)
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    matchers = _matchers(spark, benchmark, size, most_bytes)
+    tests = TestSet(docs.sparkSession, benchmark, size, most_bytes)
 
     def run(batches):
-        for b in pieces(batches):
+        for b in tests.over(batches, "text"):
             texts = raw(b.column(1))
-            split, hit, found = _search(matchers, texts)
+            split, hit, found = tests.search(texts)
             n = split.n
             c = np.concatenate(([0], np.cumsum(hit)))
             ends = np.cumsum(n)
@@ -242,21 +315,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_hi
     return docs.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean" + ", clean_text string" * clean)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", most_bytes: int = PART) -> DataFrame:
     """docs without the words of benchmark passages; a document whose words are all hit goes. All columns stay, and n_chars,
-    if there is one, is the new length. Texts without a hit are not touched, a null one included.
+    if there is one, is the new length. Texts without a hit are not touched, a null one included, nor are nulls in other columns;
+    repeated rows each stay. An empty benchmark changes nothing.
 
     Whole rows pass through, so no join puts texts and results together again.
     """
-    matchers = _matchers(docs.sparkSession, benchmark, size, **how)
+    small_batches(docs.sparkSession)
+    tests = TestSet(docs.sparkSession, benchmark, size, most_bytes)
     at, schema = docs.columns.index(text_col), docs.schema
     counted = docs.columns.index("n_chars") if docs.columns.count("n_chars") == 1 else None
+    if docs.columns.count(text_col) != 1:
+        raise ValueError(f"two columns are called {text_col}")
 
     def run(batches):
-        for b in batches:
+        for b in tests.over(batches, text_col):
             column = b.column(at)
             texts = raw(column)
-            split, hit, _ = _search(matchers, texts)
+            split, hit, _ = tests.search(texts)
             new, good = [], np.ones(len(texts), bool)
             for i, (t, a, n) in enumerate(zip(texts, split.first.tolist(), split.n.tolist(), strict=True)):
                 some = hit[a : a + n]
