@@ -121,21 +121,55 @@ def grams(w, n):
     return out
 
 
-@pytest.mark.parametrize("log_width", [8, 26])
-def test_substring_dedup(docs, texts, log_width):
-    """A sketch that is full decides nothing."""
+def without_repeats(rows, size):
+    """Of each (doc_id, text): number of words, number removed, kept text."""
     first = {}
-    for i in sorted(texts):
-        for k in grams(words(texts[i]), 13):
-            first.setdefault(k, i)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(docs, log_width=log_width).collect()}
-    removed = 0
-    for i, t in texts.items():
+    for i, t in rows:
+        for k in grams(words(t), size) if i is not None else ():
+            first[k] = min(i, first.get(k, i))
+    out = []
+    for i, t in rows:
         w = words(t)
-        gone = {p for k, v in grams(w, 13).items() if first[k] < i for s in v for p in range(s, s + 13)}
-        removed += len(gone)
-        assert got[i] == (len(w), len(gone), b" ".join(x for p, x in enumerate(w) if p not in gone).decode())
-    assert removed > 6000
+        gone = {p for k, v in grams(w, size).items() if first[k] < i for s in v for p in range(s, s + size)} if i is not None else set()
+        out.append((i, len(w), len(gone), b" ".join(x for p, x in enumerate(w) if p not in gone).decode()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("size", "how"), [(13, {}), (13, {"log_width": 6, "slice_bytes": 3000}), (13, {"slice_bytes": 500}), (5, {}), (1, {"slice_bytes": 20_000})])
+def test_substring_dedup(docs, texts, size, how):
+    """A sketch that is full decides nothing, nor does the size of slices."""
+    got = substring.substring_dedup(docs, size=size, **how).collect()
+    assert sorted([tuple(r) for r in got], key=str) == without_repeats(list(texts.items()), size)
+    assert sum(r.n_removed for r in got) > 6000
+
+
+def test_substring_dedup_repeated_ids(spark, texts):
+    """Rows that share an id, with equal or other texts, and rows without one."""
+    rows = [(1, texts[11]), (1, texts[5]), (1, texts[5]), (2, texts[5]), (2, texts[11] + " " + texts[5]), (2, "short"), (None, texts[5]), (None, None), (3, None), (3, texts[50]), (2, texts[50])]
+    for how in ({}, {"slice_bytes": 700}):
+        got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id int, text string"), **how).collect()
+        assert sorted([tuple(r) for r in got], key=str) == without_repeats(rows, 13)
+    with pytest.raises(ValueError, match="one word"):
+        substring.substring_dedup(spark.createDataFrame(rows, "doc_id int, text string"), size=0)
+
+
+def test_substring_dedup_passes_few(spark, data):
+    """The sketch passes hardly more windows than are repeated, at the load that it has for inputs of every size."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = [(r.doc_id, words(r.text)) for r in docs.collect()]
+    n = collections.Counter(k for _, w in rows for k in grams(w, 13))
+    repeated = sum(len(v) for _, w in rows for k, v in grams(w, 13).items() if n[k] > 1)
+    windows = sum(max(0, len(w) - 12) for _, w in rows)
+    slices, total = substring.dealt(docs, 1 << 18)
+    cells = collections.defaultdict(set)
+    for r in substring.twice(slices, 13, 8, (substring.CELLS * total).bit_length()).collect():
+        cells[r.slice].add(r.cell)
+    passed = 0
+    for r in slices.collect():
+        k, h, _ = substring._hashed([r.text.encode()])
+        starts, _ = substring._starts(k, 13)
+        passed += sum(c in cells[r.slice] for c in substring._cells(substring._anchors(h, starts, 13, 8), (substring.CELLS * total).bit_length()).tolist())
+    assert repeated <= passed <= repeated + 0.02 * windows
 
 
 ITEMS = [(1, "of3 and the Quick-Brown"), (2, None), (3, "one two"), (4, "漢字"), (5, "--"), (6, "ONE"), (6, "x y x"), (7, "a a a a a a a a a a a a")]
