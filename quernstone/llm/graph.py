@@ -2,17 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that a task joins into trees at once.
+EDGES = 1 << 20
+
+
+def spanning(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it is connected to) for all but these smallest nodes."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = index[: len(a)], index[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        m = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], m)
+        np.minimum.at(root, root[b], m)
+        np.minimum.at(root, a, m)
+        np.minimum.at(root, b, m)
+        root = root[root]
+        if (root == before).all():
+            break
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+def _shortened(batches):
+    """The edges that a task has, as stars: no more of them than before, and no path is longer."""
+    left, right, held = [], [], 0
+    for b in batches:
+        left.append(b.column(0).to_numpy())
+        right.append(b.column(1).to_numpy())
+        held += b.num_rows
+        if held > EDGES:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(left, right)], names=["a", "b"])
+            left, right, held = [], [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(left, right)], names=["a", "b"])
+
 
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
+def _own_exchange(least: DataFrame, column: str) -> DataFrame:
+    """The same under the key k, an expression: a join on it does not lean on the exchange of the aggregation below, and an
+    exchange of its own is one whose partitions Spark can split where a node has a great part of the edges."""
+    return least.select((F.col("a") + F.lit(0)).alias("k"), F.col(column).alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it can reach) for every node that differs from its label.
 
@@ -20,14 +65,15 @@ def components(edges: DataFrame) -> DataFrame:
     smallest neighbour of one of its ends, so the number of edges never grows; the steps are logarithmic in
     the number of nodes. No edge list or label ever reaches the driver, only counts do.
     """
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = cut(edges.mapInArrow(_shortened, "a bigint, b bigint"))
     before = None
     while (now := _mark(edges)) != before and now[0]:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.filter("b > a").join(_own_exchange(least, "m"), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a")
-        edges = cut(moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        moved = large.join(_own_exchange(small, "m"), F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct().mapInArrow(_shortened, "a bigint, b bigint"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, pieces, raw
-from .graph import components
+from .common import cut, docs_of, keep_first, pieces, raw, small_batches
+from .graph import components, spanning
 
 SEED = 42
 LIST_MOST = 16384
@@ -110,10 +110,10 @@ def _forest(batches, bits: int, matches: int):
                 left.append(rep[alive[some]])
                 right.append(rep[alive[some] + lag])
             if sum(map(len, left)) > 1 << 20:
-                left, right = (list(z) for z in zip(_span(left, right), strict=True))
+                left, right = (list(z) for z in zip(spanning(left, right), strict=True))
             lag += 1
         if left:
-            a, b = _span(left, right)
+            a, b = spanning(left, right)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
@@ -137,26 +137,6 @@ def _forest(batches, bits: int, matches: int):
         yield from links(pa.Table.from_batches(keep))
 
 
-def _span(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node it is connected to) for all but these smallest nodes."""
-    a, b = np.concatenate(left), np.concatenate(right)
-    nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = index[: len(a)], index[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        m = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], m)
-        np.minimum.at(root, root[b], m)
-        np.minimum.at(root, a, m)
-        np.minimum.at(root, b, m)
-        root = root[root]
-        if (root == before).all():
-            break
-    own = root != np.arange(len(nodes))
-    return nodes[own], nodes[root[own]]
-
-
 def links(groups: DataFrame, bits: int = 3, list_most: int = LIST_MOST) -> DataFrame:
     """Links (a, b) between representatives that connect just what pairs in reach connect.
 
@@ -201,19 +181,18 @@ def _through(rows: DataFrame, bits: int) -> DataFrame:
     k // 2 bits of one and k - k // 2 bits of the other. Every point in reach of a row is a meeting place."""
     near, far = bits // 2, bits - bits // 2
     masks = [(d, sum(1 << x for x in c)) for d in range(far + 1) for c in combinations(range(64), d)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    table = rows.sparkSession.createDataFrame([(d <= near, signed(m)) for d, m in masks], "near boolean, mask bigint")
+    table = rows.sparkSession.createDataFrame([(d <= near, _signed(m)) for d, m in masks], "near boolean, mask bigint")
     met = rows.select(F.col("fp"), "rep").distinct().join(F.broadcast(table)).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("at"), "near", "rep")
     hubs = met.groupBy("at").agg(F.min(F.when(F.col("near"), F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("n")).filter("hub is not null and n > 1").drop("n")
     return met.join(hubs, "at").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, list_most: int = LIST_MOST) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every document.
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, list_most: int = LIST_MOST, keys: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits; with ``keys`` key, the same as a bigint), component_id of every document.
 
-    Documents without words have fingerprint zero and are linked like any others. Repeated doc_ids keep
-    their own rows. A null doc_id is kept; its row gets the component of its fingerprint.
-    Empty table: empty result. doc_id must be of an integer type.
+    Documents without words, null texts among them, have fingerprint zero and are linked like any others. Repeated doc_ids keep
+    their own rows. A null doc_id is kept; its row gets the component of its fingerprint, null if no row with an id has that one.
+    Empty table: empty result. doc_id must be of an integer type; other columns are ignored whatever their names.
     """
     docs = docs_of(docs)
     prints = cut(fingerprints(docs, words))
@@ -222,19 +201,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, list_most: i
     named = groups.join(labels, groups.rep == labels.node, "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     named = cut(named)
     joined = prints.join(named, "fp", "left")
+    if keys:
+        return joined.select("doc_id", F.col("fp").alias("key"), "component_id")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, words: int = 5, bits: int = 5, **how) -> DataFrame:
     """docs without all but the document of the smallest doc_id in each group of near duplicates; columns as given.
 
-    Of rows that repeat a kept doc_id one stays. Rows without a doc_id stay: nothing can name them.
+    Of rows that repeat a doc_id with near duplicates one stays. Rows without a doc_id stay: nothing can name them.
     """
-    found = cut(near_duplicates(docs, words, bits, **how).select("doc_id", "component_id"))
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    again = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_kept_id")))
-    on = docs["doc_id"] == F.col("_kept_id")
-    kept = docs.join(first, on, "left_semi")
-    if not again.isEmpty():
-        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    small_batches(docs.sparkSession)
+    found = cut(near_duplicates(docs, words, bits, keys=True, **how))
+    return keep_first(docs, found, lambda x: _signed(fingerprint(x, words)))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
