@@ -6,7 +6,9 @@ by a keyed permutation of itself within its format:
 * text of digits and letters (cards, phones, emails' local parts, secrets): a balanced Feistel network over its two halves, in
   which every digit or letter is shifted within its own class by a keystream hashed from the other half. Separators, the length, the
   domain of an email and the country code of a phone stay. A card's last digit is computed anew, so its Luhn sum stays valid.
-* IPv4 addresses: a Feistel network on the two 16-bit halves.
+* IPv4 addresses: a Feistel network on the two 16-bit halves. IPv6 addresses: one on their 32 hexadecimal digits, written out in full.
+* IBANs (mod 97): letters and digits behind the country, with new check digits. Social security numbers (US): a network on the
+  898 x 99 x 9,999 numbers that can be issued. Identity numbers with a check letter (Spain): digits, with a new letter.
 * dates: the day's number in a 400-year cycle, a Feistel network of mixed radix on 189 x 773 = 146,097 days.
 
 A permutation has no collisions, and equal values get equal pseudonyms in all documents under one key. Text around the values, and
@@ -15,12 +17,26 @@ values that are not valid, stay untouched byte by byte.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: For tests only: a production run passes a key of its own.
-DEFAULT_KEY = "quernstone"
 ROUNDS = 8
+#: The setting of a session that holds the secret key.
+KEY = "spark.quernstone.pseudonym.key"
+# Countries with IBANs, country calling codes of one or two digits (all others have three), check letters by remainder.
+IBAN_COUNTRIES = (
+    "AD AE AL AT AZ BA BE BG BH BI BR BY CH CR CY CZ DE DJ DK DO EE EG ES FI FK FO FR GB GE GI GL GR GT HN HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MN MR MT MU "
+    "NI NL NO OM PK PL PS PT QA RO RS RU SA SC SD SE SI SK SM SO ST SV TL TN TR UA VA VG XK YE"
+)
+CALLING_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets; without one a random key that nobody keeps: equal values are then linked within one call only."""
+    return spark.conf.get(KEY, None) or secrets.token_hex(32)
 
 # Candidates, in Java's regular expressions. Each stands behind (?<!\w), so most places of a text are left at once; every
 # repetition is bounded or possessive, so none backtracks over a long text.
@@ -30,17 +46,21 @@ HEX = r"[0-9A-Fa-f]{32,64}(?!\w)"
 IPV4 = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 ISO_DATE = r"(?<!-)\d{4}-\d{2}-\d{2}(?:(?=T\d\d(?::?\d\d|Z|\b))|(?![\w-]))"
 DMY_DATE = r"(?<![./])\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}(?![\w]|[./]\d)"
+SSN = r"(?<![.-])\d{3}-\d\d-\d{4}(?![\w-])"
+DNI = r"(?<![.-])\d{8}-?[A-Z](?![\w-])"
+IBAN = rf"(?:{'|'.join(IBAN_COUNTRIES.split())})\d\d(?:(?: [A-Z0-9]{{4}}){{2,7}}+(?: [A-Z0-9]{{1,3}}(?!\w))?+|[A-Z0-9]{{11,30}}+)(?!\w)"
+IPV6 = r"(?<!:)[0-9A-Fa-f]{1,4}+(?:::?[0-9A-Fa-f]{1,4}+){1,7}+(?:::)?+(?![\w:]|\.\d)"
 PHONE = r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![.-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w]|[.-]\d)"
 #: A run of numbers with 13 digits or more, single spaces or hyphens between them, up to a date or a phone; _cards looks for the cards in it.
 _GROUP = r"\d{1,19}+(?!\w|\.\d)"
-_OTHER = r"(?!\d{4}-\d\d-\d\d(?![\d-])|\d{1,2}/\d{1,2}/\d{4}|\d{3}-\d{3}-\d{4}(?![\w-]))"
+_OTHER = r"(?!\d{3}-\d\d-\d{4}(?![\w-])|\d{4}-\d\d-\d\d(?![\d-])|\d{1,2}/\d{1,2}/\d{4}|\d{3}-\d{3}-\d{4}(?![\w-]))"
 CARD = rf"(?<![.-])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -]{_OTHER}{_GROUP})*+(?!-\d)"
 #: The usual groupings of cards, and their first digits.
 REGULAR = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 ISSUED = "^(?:[3-6]|2[2-7])"
 #: Numbers behind +1 have ten digits, so what follows them is no part of them.
 PLUS_PHONE = r"(?<![0-9+])\+(?:1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?!1[ .(-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d))\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{1,4}(?:[ -]?\d{2,4}){1,4}(?![\w]|\.\d))"
-PATTERN = "(?<!\\w)(?:" + "|".join((NAMED, EMAIL, HEX, IPV4, ISO_DATE, DMY_DATE, PHONE, CARD)) + ")|" + PLUS_PHONE
+PATTERN = "(?<!\\w)(?:" + "|".join((NAMED, EMAIL, HEX, IPV4, IPV6, ISO_DATE, DMY_DATE, SSN, DNI, IBAN, PHONE, CARD)) + ")|" + PLUS_PHONE
 
 
 def _keystream(key: Column, kind: str, i: Column, half: Column) -> Column:
@@ -149,9 +169,9 @@ def _cards(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    """The country code (1, or else two digits) stays, so a number with and without +1 keeps the same ten digits."""
+    """The country code stays, so a number with and without +1 keeps the same ten digits."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    code = F.when(~m.startswith("+"), 0).when(digits.startswith("1"), 1).otherwise(2)
+    code = F.when(m.startswith("+"), F.length(F.regexp_extract(digits, CALLING_CODE, 0))).otherwise(0)
     local = F.substr(digits, code + 1)
     return F.when(F.length(digits).between(8, 15), _into(m, F.concat(F.substr(digits, F.lit(1), code), feistel_text(local, key, "phone"))))
 
@@ -164,6 +184,56 @@ def _ipv4(m: Column, key: Column) -> Column:
     return F.when((octet[0] <= 255) & (octet[1] <= 255) & (octet[2] <= 255) & (octet[3] <= 255), out)
 
 
+def _ipv6(m: Column, key: Column) -> Column:
+    """All spellings of an address have one pseudonym. Eight groups, or fewer around one ::, with a digit in them."""
+    groups = lambda t: F.filter(F.split(t, ":"), lambda x: x != "")
+    left, right = groups(F.split_part(m, F.lit("::"), F.lit(1))), groups(F.split_part(m, F.lit("::"), F.lit(2)))
+    n = F.size(left) + F.size(right)
+    all_ = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - n)), right)
+    plain = F.array_join(F.transform(all_, lambda x: F.lpad(F.lower(x), 4, "0")), "")
+    valid = F.when(m.contains("::"), (F.size(F.split(m, "::")) == 2) & (n >= 2) & (n <= 7)).otherwise(n == 8) & m.rlike("[0-9]")
+    return F.when(valid, F.regexp_replace(feistel_text(plain, key, "ipv6", hex_only=True), "(.{4})(?=.)", "$1:"))
+
+
+def _mod97(text: Column) -> Column:
+    """Remainder of an IBAN's letters and digits, each letter a number from 10 to 35."""
+    code = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda s, c: (s * F.when(c.between("0", "9"), 10).otherwise(100) + code(c)) % 97)
+
+
+def _iban(m: Column, key: Column) -> Column:
+    """(value, n). Country and spaces stay; what is no valid IBAN may still hold cards."""
+    plain = F.regexp_replace(m, " ", "")
+    country, body = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
+    made = feistel_text(body, key, "iban")
+    new = F.concat(country, F.lpad((98 - _mod97(F.concat(made, country, F.lit("00")))).cast("string"), 2, "0"), made)
+    start = F.struct(F.lit("").alias("t"), F.lit(1).alias("k"))
+    put = lambda s, c: F.when(c == " ", F.struct(F.concat(s["t"], c).alias("t"), s["k"].alias("k"))).otherwise(F.struct(F.concat(s["t"], F.substr(new, s["k"], F.lit(1))).alias("t"), (s["k"] + 1).alias("k")))
+    value = F.aggregate(F.filter(F.split(m, ""), lambda c: c != ""), start, put, lambda s: s["t"])
+    tail = F.regexp_extract(m, "^.{4} ?(?=[0-9]+(?: [0-9]+)*$)", 0)
+    cards = _cards(F.substr(m, F.length(tail) + 1), key)
+    valid = F.length(plain).between(15, 34) & (_mod97(F.concat(body, F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+    other = F.struct(F.concat(tail, cards["value"]).alias("value"), cards["n"].alias("n"))
+    return F.when(valid, F.struct(value.alias("value"), F.lit(1).alias("n"))).when(tail != "", other)
+
+
+def _ssn(m: Column, key: Column) -> Column:
+    area, group, serial = (F.split_part(m, F.lit("-"), F.lit(i)).try_cast("bigint") for i in (1, 2, 3))
+    place = F.when(area < 666, area - 1).otherwise(area - 2)
+    n = feistel_number((place * 99 + group - 1) * 9999 + serial - 1, 898 * 33, 3 * 9999, key, "ssn")
+    new = F.floor(n / (99 * 9999))
+    parts = (F.when(new < 665, new + 1).otherwise(new + 2), F.floor(n / 9999) % 99 + 1, n % 9999 + 1)
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    return F.when(valid, F.concat_ws("-", *[F.lpad(x.cast("string"), k, "0") for x, k in zip(parts, (3, 2, 4), strict=True)]))
+
+
+def _dni(m: Column, key: Column) -> Column:
+    letter = lambda d: F.substr(F.lit(CHECK_LETTERS), (d.try_cast("bigint") % 23 + 1).cast("int"), F.lit(1))
+    digits = F.substr(m, F.lit(1), F.lit(8))
+    made = feistel_text(digits, key, "dni")
+    return F.when(F.substr(m, F.lit(-1)) == letter(digits), F.concat(made, F.regexp_extract(m, "-?(?=.$)", 0), letter(made)))
+
+
 def _moved_day(day: Column, key: Column) -> Column:
     """Another day of the same 400 years (2000 to 2399 and so on)."""
     n = F.datediff(day, F.lit("2000-01-01").cast("date")).cast("bigint")
@@ -210,22 +280,32 @@ def pseudonym(m: Column, key: Column) -> tuple[Column, Column]:
     tests = {
         "email": (m.rlike(r"^[\w.+-]+@[A-Za-z0-9.-]+$"), _email(m, key)), "ipv4": (m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _ipv4(m, key)),
         "iso_date": (m.rlike(r"^\d{4}-\d\d-\d\d$"), _iso_date(m, key)), "dmy_date": (m.rlike(r"^\d{1,2}([./])\d{1,2}\1\d{4}$"), _dmy_date(m, key)),
+        "ssn": (m.rlike(r"^\d{3}-\d\d-\d{4}$"), _ssn(m, key)), "dni": (m.rlike(r"^\d{8}-?[A-Z]$"), _dni(m, key)),
+        "iban": (m.rlike(r"^[A-Z]{2}\d\d[A-Z0-9 ]{9,}$"), _iban(m, key)), "ipv6": (m.rlike(r"^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), _ipv6(m, key)),
         "phone": (m.rlike(r"^\+|^\(|^\d{3}([.-])\d{3}\1\d{4}$"), _phone(m, key)), "card": (m.rlike(r"^[0-9][0-9 -]+$"), _cards(m, key)),
     }
     kind = value = None
     for i, (name, (test, new)) in enumerate(tests.items()):
-        new = new if name == "card" else single(new)
+        new = new if name in ("card", "iban") else single(new)
         kind = F.when(test, F.lit(name)) if not i else kind.when(test, F.lit(name))
         value = F.when(test, new) if not i else value.when(test, new)
     return kind.otherwise(F.lit("secret")), value.otherwise(single(_secret(m, key)))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", counts: bool = False) -> DataFrame:
-    """docs with personal data in text_col replaced; all other columns as they are, whatever their names.
+#: The kinds of values that are replaced.
+KINDS = ("email", "ipv4", "ipv6", "iso_date", "dmy_date", "phone", "ssn", "dni", "iban", "card", "secret")
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
+    """docs with personal data in text_col replaced under a secret key; all other columns as they are, whatever their names.
+
+    The networks can be undone by whoever has the key, so there is no default one.
 
     counts adds the column pii_counts (map of kind to number of replaced values). A null text stays null, an empty one empty;
     repeated rows get equal results. Rows never move, so there is no shuffle and no state: a lost task is just run again.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     k, text = F.lit(key), F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 

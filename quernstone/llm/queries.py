@@ -39,9 +39,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
-    kinds = ("email", "ipv4", "iso_date", "dmy_date", "phone", "card", "secret")
-    return done.select("doc_id", "text", *[F.coalesce(F.try_element_at("pii_counts", F.lit(k)), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in kinds])
+    done = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), counts=True)
+    return done.select("doc_id", "text", *[F.coalesce(F.try_element_at("pii_counts", F.lit(k)), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS])
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
