@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH_BYTES = 4 << 20
+#: Rows of ids that may be broadcast; some 16 MB.
+LOOKUP = 500_000
 _BATCH_LIMIT, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -52,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lookup(ids: DataFrame) -> DataFrame:
+    """ids (a few numbers a row, already computed) to join a larger table with: broadcast if there are at most ``LOOKUP`` of them,
+    else left to a sort-merge join."""
+    return F.broadcast(ids) if ids.limit(LOOKUP + 1).count() <= LOOKUP else ids
+
+
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, as doc_id and text; a null text becomes the empty one."""
     small_batches(df.sparkSession)
@@ -92,7 +100,7 @@ def keep_first(docs: DataFrame, found: DataFrame, key: Callable[[bytes], int]) -
     named = found.filter("doc_id is not null")
     least = cut(named.groupBy("component_id").agg(F.min("doc_id").alias("_kept_id")))
     again = cut(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again_id")))
-    kept = docs.join(least.select("_kept_id").distinct(), docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    kept = docs.join(lookup(least.select("_kept_id")), docs["doc_id"] == F.col("_kept_id"), "left_semi")
     if not again.isEmpty():
         on = docs["doc_id"] == F.col("_again_id")
         rows = kept.join(again, on, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
