@@ -7,7 +7,6 @@ is stored, inspected and rebuilt like any other data. Removed rows keep routing
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass, field
 
@@ -33,12 +32,16 @@ class Graph:
     m0: int | None = None
     ef_build: int = 64
     seed: int = 0
-    x: list[np.ndarray] = field(default_factory=list)
+    select: str = "spread"  # or nearest
+    extend: bool = False
+    refill: bool = True
     levels: list[int] = field(default_factory=list)
     links: list[dict[int, set[int]]] = field(default_factory=list)
     entry: int = -1
 
     def __post_init__(self):
+        if self.select not in ("spread", "nearest"):
+            raise ValueError(f"unknown selection {self.select!r}")
         self.m0 = self.m0 or 2 * self.m
         self.rng = np.random.default_rng(self.seed)
         self.data = np.zeros((16, self.dim))
@@ -57,28 +60,22 @@ class Graph:
         return v / max(np.linalg.norm(v), V.EPSILON) if self.metric == "cosine" else v
 
     def beam(self, q: np.ndarray, starts: list[int], ef: int, layer: int, accept=None) -> list[tuple[float, int]]:
-        """Best-first search: up to ef (distance, node), nearest first. accept only says what may be a result, not what may be walked over."""
-        seen = set(starts)
-        todo = [(d, n) for d, n in zip(self.gaps(q, starts).tolist(), starts, strict=True)]
-        best = [(-d, -n) for d, n in todo if accept is None or accept(n)]
-        heapq.heapify(todo)
-        heapq.heapify(best)
-        while todo:
-            d, n = heapq.heappop(todo)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            near = [x for x in sorted(self.links[layer].get(n, ())) if x not in seen]
-            if not near:
-                continue
-            seen.update(near)
-            for e, x in zip(self.gaps(q, near).tolist(), near, strict=True):
-                if len(best) < ef or e < -best[0][0]:
-                    heapq.heappush(todo, (e, x))
-                    if accept is None or accept(x):
-                        heapq.heappush(best, (-e, -x))
-                        if len(best) > ef:
-                            heapq.heappop(best)
-        return sorted((-d, -n) for d, n in best)
+        """Up to ef (distance, node), nearest first, found in rounds: a round opens all nodes of the one before that are not farther
+        than the worst result so far. accept only says what may be a result, not what may be walked over."""
+        links = self.links[layer]
+        seen, new = set(starts), sorted(starts)
+        nodes, gaps = np.zeros(0, np.int64), np.zeros(0)
+        while new:
+            e = self.gaps(q, new)
+            fine = np.array([accept(n) for n in new], bool) if accept else slice(None)
+            nodes, gaps = np.concatenate((nodes, np.array(new)[fine])), np.concatenate((gaps, e[fine]))
+            order = np.lexsort((nodes, gaps))[:ef]
+            nodes, gaps = nodes[order], gaps[order]
+            limit = gaps[-1] if len(gaps) == ef else np.inf
+            opened = [n for n, d in zip(new, e.tolist(), strict=True) if d <= limit]
+            new = sorted(set().union(*[links.get(n, ()) for n in opened]) - seen)
+            seen.update(new)
+        return list(zip(gaps.tolist(), nodes.tolist(), strict=True))
 
     def descend(self, q: np.ndarray, down_to: int, trace: list | None = None) -> int:
         """From the entry, the nearest node that greedy steps find on the layer above down_to."""
@@ -103,7 +100,10 @@ class Graph:
         return now
 
     def spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Of candidates, nearest first, those nearer to the new node than to any chosen one; then the nearest of the others."""
+        """Of candidates, nearest first, those nearer to the new node than to any chosen one; then, with refill, the nearest of the
+        others. With select="nearest" just the nearest."""
+        if self.select == "nearest":
+            return [n for _, n in found[:most]]
         chosen, rest = [], []
         for d, n in found:
             if len(chosen) == most:
@@ -112,7 +112,12 @@ class Graph:
                 chosen.append(n)
             else:
                 rest.append(n)
-        return chosen + rest[: most - len(chosen)]
+        return chosen + (rest[: most - len(chosen)] if self.refill else [])
+
+    def extended(self, q: np.ndarray, found: list[tuple[float, int]], layer: int) -> list[tuple[float, int]]:
+        """The candidates and their neighbours."""
+        nodes = sorted({n for _, n in found}.union(*[self.links[layer].get(n, ()) for _, n in found]))
+        return sorted(zip(self.gaps(q, nodes).tolist(), nodes, strict=True)) if nodes else []
 
     def add(self, v) -> int:
         q = self.prepared(v)
@@ -134,7 +139,8 @@ class Graph:
         for layer in range(min(level, top), -1, -1):
             found = self.beam(q, starts, self.ef_build, layer)
             most = self.m0 if layer == 0 else self.m
-            for x in self.spread(found, self.m):
+            candidates = [c for c in self.extended(q, found, layer) if c[1] != n] if self.extend else found
+            for x in self.spread(candidates, self.m):
                 self.links[layer][n].add(x)
                 own = self.links[layer][x]
                 own.add(n)
@@ -185,10 +191,10 @@ def _sharded(vectors: DataFrame, shards: int) -> DataFrame:
 
 
 def build(vectors: DataFrame, shards: int | None = None, **how) -> DataFrame:
-    """Nodes with their links: shard, node, id, level, is_deleted, is_entry, embedding, links (layer -> nodes). how: metric, m, m0, ef_build, seed."""
+    """Nodes with their links: shard, node, id, level, is_deleted, is_entry, embedding, links (layer -> nodes). how: metric, m, m0, ef_build, seed, select, extend, refill."""
     kind = dict(vectors.dtypes)["id"]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.sort_values("id").reset_index(drop=True)
         g = _build(rows, how)
         rows["node"], rows["level"] = np.arange(len(rows)), g.levels
@@ -232,32 +238,23 @@ def search(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int = 32, metr
         graph = graph.join(match.withColumn("_m", F.lit(True)), "id", "left").withColumn("accepted", F.col("accepted") & F.coalesce("_m", F.lit(False))).drop("_m")
     kinds = {"id": dict(graph.dtypes)["id"], "qid": dict(queries.dtypes)["qid"]}
     local = None
-    asked: list = []
 
-    def flush():
-        nonlocal local
-        if not asked:
-            return
-        block = list(asked)
-        asked.clear()
-
-        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(asked):
+        def run(key, rows):
             rows = rows.sort_values("node").reset_index(drop=True)
             g = _load(rows, {"metric": metric})
             fine = rows["accepted"].to_numpy(bool)
             active = int((~rows["is_deleted"].to_numpy(bool)).sum())
             ids = rows["id"].tolist()
-            out = [(qid, ids[n], d) for qid, v in block for d, n in g.search(v, k, ef, lambda n: fine[n], active)]
+            out = [(qid, ids[n], d) for qid, v in zip(*asked.value, strict=True) for d, n in g.search(v, k, ef, lambda n: fine[n], active)]
             return pd.DataFrame(out, columns=["qid", "id", "distance"])
 
-        part = graph.groupBy("shard").applyInPandas(run, f"qid {kinds['qid']}, id {kinds['id']}, distance double")
-        local = part if local is None else local.unionByName(part)
+        return run
 
-    for r in queries.select("qid", "embedding").toLocalIterator():
-        asked.append((r.qid, list(r.embedding)))
-        if len(asked) == knn.QUERY_BLOCK:
-            flush()
-    flush()
+    for block in knn.passes(queries):
+        asked = graph.sparkSession.sparkContext.broadcast(block)
+        part = graph.groupBy("shard").applyInPandas(walk(asked), f"qid {kinds['qid']}, id {kinds['id']}, distance double")
+        local = part if local is None else local.unionByName(part)
     if local is None:
         return knn.batch_search(graph.select("id", "embedding").limit(0), queries, k, metric)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
@@ -268,7 +265,7 @@ def trace(graph: DataFrame, query: list[float], k: int = 5, ef: int = 32, metric
     """shard, step, layer, type (entry, hop, descend, beam_candidate), from_id, to_id, distance: how one query walks each shard."""
     kind = dict(graph.dtypes)["id"]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.sort_values("node").reset_index(drop=True)
         g, steps = _load(rows, {"metric": metric}), []
         q = g.prepared(query)
@@ -287,7 +284,7 @@ def topology(graph: DataFrame, max_nodes: int = 40) -> DataFrame:
     """shard, layer, a, b: links (each once) between the nodes shown, which are all active ones above the lowest layer, and from the entry
     on, nearest layers of neighbours first, others until there are max_nodes."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.sort_values("node").reset_index(drop=True)
         g, gone = _load(rows, {}), rows["is_deleted"].to_numpy(bool)
         shown = {n for n, y in enumerate(g.levels) if y >= 1 and not gone[n]}

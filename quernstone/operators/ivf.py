@@ -11,6 +11,8 @@ from . import kmeans
 
 #: Cells are a parameter of the index and never grow with the data, so the centroid side of a join is bounded.
 MAX_CELLS = 65_536
+#: Queries whose probes may be broadcast: some 16 MB of them at four probes of 64 dimensions.
+MAX_QUERIES = 8_192
 
 
 def train(vectors: DataFrame, nlist: int = 16, metric: str = "cosine", steps: int = 25, seed: int = 42) -> DataFrame:
@@ -43,13 +45,17 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int = 4, metric: st
 
 
 def search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 4, metric: str = "cosine", query_filter: dict | None = None) -> DataFrame:
-    """qid, id, rank, distance, score, cluster. Rows stored by cluster are pruned to the probed cells while the query runs.
+    """qid, id, rank, distance, score, cluster. Of rows stored in folders by cluster only those of the probed cells are read: the probes
+    are few, so they are sent to the scan, and Spark prunes it while the query runs.
 
     The filter works inside the probed cells, so fewer than k rows may come back though more match elsewhere.
     """
     c = compile_filter(query_filter, assigned.schema)
     rows = (assigned if c is None else assigned.filter(c)).select("id", "embedding", "cluster")
-    pairs = rows.join(probes(queries, centroids, nprobe, metric), "cluster")
+    asked = probes(queries, centroids, nprobe, metric)
+    # Each probe carries its query's vector.
+    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+    pairs = rows.join(F.broadcast(asked) if few else asked, "cluster")
     scored = pairs.select("qid", "id", "cluster", V.distance(F.col("embedding"), F.col("q"), metric).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "id", "rank", "distance", V.score(F.col("distance"), metric).alias("score"), "cluster")

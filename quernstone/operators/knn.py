@@ -1,12 +1,14 @@
 """Exact nearest neighbours.
 
-One query is ``filter, distance, order by, limit``, which Spark runs as a top-k with no shuffle of rows. A batch runs in blocks of
-queries: each block, bounded by ``QUERY_BLOCK`` rows, is sent to the scan, where an Arrow kernel keeps the k nearest of each
-partition per query; only those, partitions x queries x k rows, meet in the final ranking.
+One query is ``filter, distance, order by, limit``, which Spark runs as a top-k with no shuffle of rows. A batch of
+queries is sent to the scan, ``PASS_BYTES`` of them at a time, where an Arrow kernel goes through them in blocks of ``QUERY_BLOCK``
+and keeps the k nearest rows of each partition per query; only those, partitions x queries x k rows, meet in the final ranking.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,8 @@ from ..plans.filters import compile_filter
 
 QUERY_BLOCK = 1024
 ROWS = 4096
+#: Query vectors that one pass over the rows takes along.
+PASS_BYTES = 64 << 20
 
 
 def _filtered(vectors: DataFrame, query_filter: dict | None) -> DataFrame:
@@ -56,61 +60,79 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def top_rows(k: int, metric: str, qids: list, q: np.ndarray, qid_type: pa.DataType):
-    """A kernel over batches of (id, embedding): the k nearest rows of the partition for each query."""
+def _sortable(column: pa.Array) -> np.ndarray:
+    """Ids as numbers or as fixed-width text, in the order that Spark has them in."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    return np.array(column.to_pylist(), str)
+
+
+def top_rows(k: int, metric: str, asked, qid_type: pa.DataType):
+    """A kernel over batches of (id, embedding): the k nearest rows of the partition for each query. asked: a broadcast of qids and
+    their vectors; they are taken in blocks, so one pass over the rows serves all of them."""
 
     def run(batches):
-        ids, dist, who, id_type = np.zeros(0, object), np.zeros(0), np.zeros(0, np.int64), None
+        qids, q = asked.value
+        edge = np.full(len(qids), np.inf)  # the k-th distance of each query so far
+        ids, dist, who, id_type = None, np.zeros(0), np.zeros(0, np.int64), None
+
+        def best():
+            nonlocal ids, dist, who
+            order = np.lexsort((ids, dist, who))
+            ids, dist, who = ids[order], dist[order], who[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who, "left")
+            last = place == k - 1
+            edge[who[last]] = dist[last]
+            ids, dist, who = ids[place < k], dist[place < k], who[place < k]
+
         for batch in batches:
             id_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                d = distances(_matrix(b.column(1)), q, metric)
-                own = np.array(b.column(0).to_pylist(), object)
+                m, own = _matrix(b.column(1)), _sortable(b.column(0))
                 few = min(k, len(own))
-                # All rows up to the k-th distance of a query, equal ones included: ids decide among them below.
-                edge = np.partition(d, few - 1, axis=0)[few - 1]
-                row, query = np.nonzero(d <= edge)
-                ids, dist, who = np.concatenate((ids, own[row])), np.concatenate((dist, d[row, query])), np.concatenate((who, query))
-                order = sorted(range(len(ids)), key=lambda i: (who[i], dist[i], ids[i]))
-                order = np.array(order, np.int64)
-                ids, dist, who = ids[order], dist[order], who[order]
-                first = np.searchsorted(who, who, "left")
-                keep = np.arange(len(who)) - first < k
-                ids, dist, who = ids[keep], dist[keep], who[keep]
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in who], qid_type), pa.array(ids.tolist(), id_type), pa.array(dist)], names=["qid", "id", "distance"])
+                for start in range(0, len(qids), QUERY_BLOCK):
+                    d = distances(m, q[start : start + QUERY_BLOCK], metric)
+                    # All rows up to the k-th distance of a query, equal ones included: ids decide among them.
+                    near = np.minimum(np.partition(d, few - 1, axis=0)[few - 1] if few == k else np.inf, edge[start : start + QUERY_BLOCK])
+                    row, query = np.nonzero(d <= near)
+                    ids = own[row] if ids is None else np.concatenate((ids, own[row]))
+                    dist, who = np.concatenate((dist, d[row, query])), np.concatenate((who, query + start))
+                best()
+        if ids is not None and len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in who.tolist()], qid_type), pa.array(ids.tolist(), id_type), pa.array(dist)], names=["qid", "id", "distance"])
 
     return run
 
 
-def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", query_filter: dict | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def passes(queries: DataFrame, most_bytes: int = PASS_BYTES) -> Iterator[tuple[list, np.ndarray]]:
+    """The queries (qid, embedding), ids and vectors, in groups of at most most_bytes."""
+    qids, rows = [], []
+    for r in queries.select("qid", "embedding").toLocalIterator():
+        qids.append(r.qid)
+        rows.append(np.asarray(r.embedding, np.float64))
+        if len(qids) * rows[0].nbytes >= most_bytes:
+            yield qids, np.array(rows)
+            qids, rows = [], []
+    if qids:
+        yield qids, np.array(rows)
+
+
+def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", query_filter: dict | None = None, most_bytes: int = PASS_BYTES) -> DataFrame:
     """The k rows nearest to each query: qid, id, rank, distance, score; ties by id.
 
-    queries: qid, embedding. The distances are computed anew from the definition for the rows that win.
+    queries: qid, embedding. The rows are read once for every ``most_bytes`` of query vectors.
     """
     rows = _filtered(vectors, query_filter).select("id", "embedding")
     kinds = dict(rows.dtypes) | {"qid": dict(queries.dtypes)["qid"]}
     schema = f"qid {kinds['qid']}, id {kinds['id']}, distance double"
     qid_type = to_arrow_type(queries.schema["qid"].dataType)
-    parts, block_rows = [], []
-
-    def flush():
-        if block_rows:
-            q = np.array([r.embedding for r in block_rows], np.float64)
-            parts.append(rows.mapInArrow(top_rows(k, metric, [r.qid for r in block_rows], q, qid_type), schema))
-            block_rows.clear()
-
-    for r in queries.select("qid", "embedding").toLocalIterator():
-        block_rows.append(r)
-        if len(block_rows) == block:
-            flush()
-    flush()
-    if not parts:
+    local = None
+    for asked in passes(queries, most_bytes):
+        part = rows.mapInArrow(top_rows(k, metric, rows.sparkSession.sparkContext.broadcast(asked), qid_type), schema)
+        local = part if local is None else local.unionByName(part)
+    if local is None:
         return rows.sparkSession.createDataFrame([], schema + ", rank bigint, score double").select("qid", "id", "rank", "distance", "score")
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
     best = local.withColumn("rank", rank).filter(F.col("rank") <= k)
     return best.select("qid", "id", "rank", "distance", V.score(F.col("distance"), metric).alias("score"))

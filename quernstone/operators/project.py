@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double
@@ -82,8 +82,10 @@ def points(vectors: DataFrame, model: Projection) -> DataFrame:
     """id, x, y, cluster, colour: clusters are numbered by the smallest id in them."""
     x, y = model.place(F.col("embedding"))
     rows = vectors.select("id", x.alias("x"), y.alias("y"), label(vectors.columns).alias("cluster"))
-    order = rows.groupBy("cluster").agg(F.min("id").alias("first"))
-    return rows.join(order.withColumn("colour", F.row_number().over(Window.orderBy("first")) - 1).drop("first"), "cluster")
+    # Numbers are given to the labels, which are few where a legend makes sense at all, by where they stand in the sorted list of them.
+    order = rows.groupBy("cluster").agg(F.min("id").alias("first")).agg(F.array_sort(F.collect_list(F.struct("first", "cluster"))).alias("_all"))
+    number = F.array_position(F.col("_all.cluster"), F.col("cluster")).cast("int") - 1
+    return rows.crossJoin(F.broadcast(order)).withColumn("colour", number).drop("_all")
 
 
 def clusters(placed: DataFrame) -> DataFrame:

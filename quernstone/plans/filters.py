@@ -1,12 +1,16 @@
 """Metadata filters: JSON-like dictionaries compiled to one Column, so that Catalyst pushes them to the scan.
 
 The language is two-valued. A field that is null or missing fails every comparison, $ne and $nin and $eq null among them, and
-so does a value that cannot be compared. Negation is carried down to the leaves: under an even number of $not a leaf is the
-bare predicate, which a scan understands, and under an odd number it is ``field is null or not predicate``.
+so does a value that cannot be compared. A filter is first read into a tree of three kinds of nodes, which is where malformed ones
+are refused. The tree is then compiled, and negation carried down to the leaves: under an even number of $not a leaf is the
+bare predicate, which a scan understands, and under an odd number it is ``field is null or not predicate``. A row without any
+metadata at all passes no filter, not even a negated one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
@@ -19,74 +23,114 @@ class InvalidFilter(ValueError):
     """The filter is malformed; raised before any job starts."""
 
 
-_COMPARE = {
-    "$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$gt": lambda c, v: c > v,
-    "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v,
+@dataclass(frozen=True)
+class Operator:
+    """build: (column, value or values) to a predicate; unlike: what a value of another kind makes of it."""
+
+    build: Callable[[Column, object], Column]
+    unlike: bool = False
+    many: bool = False
+
+
+OPERATORS = {
+    "$eq": Operator(lambda c, v: c == v), "$ne": Operator(lambda c, v: c != v, unlike=True), "$gt": Operator(lambda c, v: c > v), "$gte": Operator(lambda c, v: c >= v),
+    "$lt": Operator(lambda c, v: c < v), "$lte": Operator(lambda c, v: c <= v), "$in": Operator(lambda c, v: c.isin(v), many=True), "$nin": Operator(lambda c, v: ~c.isin(v), unlike=True, many=True),
 }
 
 
-def _family(x) -> str:
-    """Values of one family can be compared."""
-    if isinstance(x, T.DataType):
-        return "number" if isinstance(x, T.NumericType | T.BooleanType) else "text" if isinstance(x, T.StringType) else "other"
-    return "number" if isinstance(x, bool | int | float) else "text" if isinstance(x, str) else "none" if x is None else "other"
+@dataclass(frozen=True)
+class Field:
+    name: str
+    tests: tuple[tuple[str, object], ...]
+
+
+@dataclass(frozen=True)
+class Group:
+    every: bool  # or else any
+    parts: tuple
+
+
+@dataclass(frozen=True)
+class Negated:
+    part: object
+
+
+def _require(fine: bool, what: str) -> None:
+    if not fine:
+        raise InvalidFilter(what)
+
+
+def _group(every: bool):
+    def make(name, filters):
+        _require(isinstance(filters, list) and filters, f"{name} takes a list with at least one filter")
+        return Group(every, tuple(parse(f) for f in filters))
+
+    return make
+
+
+_NODES = {"$and": _group(True), "$or": _group(False), "$not": lambda name, inner: Negated(parse(inner))}
+
+
+def _field(name: str, condition) -> Field:
+    _require(not name.startswith("$"), f"unknown operator {name}")
+    tests = tuple(condition.items()) if isinstance(condition, dict) else (("$eq", condition),)
+    _require(bool(tests), f"no condition for {name}")
+    for op, value in tests:
+        _require(op in OPERATORS, f"unknown comparison {op}")
+        _require(isinstance(value, list) or not OPERATORS[op].many, f"{op} takes a list")
+    return Field(name, tests)
+
+
+def parse(query) -> Group:
+    """The tree of a filter."""
+    _require(isinstance(query, dict) and query, "a filter is a dictionary with at least one entry")
+    return Group(True, tuple(_NODES.get(name, _field)(name, x) for name, x in query.items()))
+
+
+def _kind(x) -> str:
+    """Values of one kind can be compared."""
+    numbers, texts = (T.NumericType | T.BooleanType, T.StringType) if isinstance(x, T.DataType) else (bool | int | float, str)
+    return "number" if isinstance(x, numbers) else "text" if isinstance(x, texts) else "nothing" if x is None else "other"
+
+
+def _test(c: Column, kind: T.DataType, op: str, value) -> Column:
+    operator = OPERATORS[op]
+    c = c.cast("int") if isinstance(kind, T.BooleanType) else c
+    alike = [int(v) if isinstance(v, bool) else v for v in (value if operator.many else [value]) if _kind(v) == _kind(kind)]
+    if not alike:
+        return F.lit(operator.unlike)
+    return operator.build(c, alike if operator.many else F.lit(alike[0]))
+
+
+def _compiled(node, fields: dict[str, T.DataType], negated: bool) -> Column:
+    if isinstance(node, Negated):
+        return _compiled(node.part, fields, not negated)
+    if isinstance(node, Group):
+        return reduce(and_ if node.every != negated else or_, [_compiled(p, fields, negated) for p in node.parts])
+    if node.name not in fields:
+        return F.lit(negated)
+    c, kind = F.col(f"`{node.name}`"), fields[node.name]
+    p = reduce(and_, [_test(c, kind, op, value) for op, value in node.tests])
+    # Spark takes NaN for equal to itself and larger than all numbers; here it compares with nothing.
+    nan = isinstance(kind, T.FloatType | T.DoubleType) and any(not OPERATORS[op].unlike for op, _ in node.tests)
+    if negated:
+        return c.isNull() | F.isnan(c) | ~p if nan else c.isNull() | ~p
+    return p & c.isNotNull() & ~F.isnan(c) if nan else p & c.isNotNull()
+
+
+def _has_negation(node) -> bool:
+    return isinstance(node, Negated) or isinstance(node, Group) and any(map(_has_negation, node.parts))
+
+
+#: Columns of a row that are no metadata.
+OWN = frozenset(("id", "embedding", "cluster", "dl", "tokens"))
 
 
 def compile_filter(query: dict | None, schema: T.StructType) -> Column | None:
     """The Column of a filter; None if there is nothing to filter by."""
     if query is None or query == {}:
         return None
-    fields = {f.name: f.dataType for f in schema}
-
-    def whole(e, negated: bool) -> Column:
-        if not isinstance(e, dict) or not e:
-            raise InvalidFilter("a filter is a dictionary with at least one entry")
-        parts = []
-        for name, condition in e.items():
-            if name in ("$and", "$or"):
-                if not isinstance(condition, list) or not condition:
-                    raise InvalidFilter(f"{name} takes a list with at least one filter")
-                parts.append(reduce(and_ if (name == "$and") != negated else or_, [whole(c, negated) for c in condition]))
-            elif name == "$not":
-                parts.append(whole(condition, not negated))
-            elif name.startswith("$"):
-                raise InvalidFilter(f"unknown operator {name}")
-            else:
-                parts.append(field(name, condition, negated))
-        return reduce(or_ if negated else and_, parts)
-
-    def field(name: str, condition, negated: bool) -> Column:
-        checks = condition if isinstance(condition, dict) else {"$eq": condition}
-        if not checks:
-            raise InvalidFilter(f"no condition for {name}")
-        for op, target in checks.items():
-            if op in ("$in", "$nin"):
-                if not isinstance(target, list):
-                    raise InvalidFilter(f"{op} takes a list")
-            elif op not in _COMPARE:
-                raise InvalidFilter(f"unknown comparison {op}")
-        if name not in fields:
-            return F.lit(negated)
-        c, kind = F.col(f"`{name}`"), fields[name]
-        p = reduce(and_, [leaf(c, kind, op, target) for op, target in checks.items()])
-        present = c.isNotNull() & ~F.isnan(c) if isinstance(kind, T.FloatType | T.DoubleType) else c.isNotNull()
-        nan_matters = isinstance(kind, T.FloatType | T.DoubleType) and any(op not in ("$ne", "$nin") for op in checks)
-        if negated:
-            return c.isNull() | (F.isnan(c) if nan_matters else F.lit(False)) | ~p
-        return p & present if nan_matters else p & c.isNotNull()
-
-    def leaf(c: Column, kind: T.DataType, op: str, target) -> Column:
-        own = _family(kind)
-        if isinstance(kind, T.BooleanType):
-            c = c.cast("int")
-        plain = lambda v: int(v) if isinstance(v, bool) else v
-        if op in ("$in", "$nin"):
-            alike = [plain(v) for v in target if _family(v) == own]
-            if op == "$in":
-                return c.isin(alike) if alike else F.lit(False)
-            return ~c.isin(alike) if alike else F.lit(True)
-        if _family(target) != own:
-            return F.lit(op == "$ne")
-        return _COMPARE[op](c, F.lit(plain(target)))
-
-    return whole(query, False)
+    tree = parse(query)
+    out = _compiled(tree, {f.name: f.dataType for f in schema}, False)
+    metadata = [F.col(f"`{f.name}`").isNotNull() for f in schema if f.name not in OWN]
+    return out & reduce(or_, metadata) if metadata and _has_negation(tree) else out

@@ -37,7 +37,7 @@ class Engine:
 
     def _changed(self) -> None:
         for x in self._derived.values():
-            for df in [x] if isinstance(x, DataFrame) else [x.postings] if isinstance(x, bm25.Index) else []:
+            for df in [x] if isinstance(x, DataFrame) else [x.texts] if isinstance(x, bm25.Index) else []:
                 df.unpersist()
         self._derived.clear()
         self.cache.clear()
@@ -101,7 +101,7 @@ class Engine:
     def lexical(self) -> bm25.Index:
         def make():
             index = bm25.build(self.rows(), [x for x in self.rows().columns if x not in ("id", "text", "embedding")])
-            index.postings = index.postings.persist()
+            index.texts = index.texts.persist()
             return index
 
         return self._once("lexical", make)

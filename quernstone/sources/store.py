@@ -1,19 +1,28 @@
-"""Versioned Parquet storage of a collection: an append-only log of rows, read as the latest row of each id.
+"""Versioned Parquet storage of a collection: a base of rows and the writes since, read as the latest row of each id.
 
-A write adds files with larger sequence numbers; nothing is changed in place, so a failed write leaves the earlier state whole. A delete is a
-row that says so. ``compact`` writes the active rows into a new generation and then points the manifest to it; readers keep the generation that
+A write adds a folder of its own; nothing is changed in place, so a failed write leaves the earlier state whole, and writers at the same time
+do not meet but in the manifest. A delete is a row that says so. ``compact`` writes the active rows into a new base; readers keep the files that
 they have planned against. All paths go through Spark's own file systems.
 """
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
+from datetime import UTC, datetime
 
+import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 
+#: Rows of writes whose ids are broadcast to the base.
+DELTA = 500_000
+
 
 class InvalidVectors(ValueError):
     """Rows that may not be stored; nothing has been written."""
@@ -25,67 +34,101 @@ def latest(log: DataFrame) -> DataFrame:
     return log.withColumn("_r", newest).filter("_r = 1 and not is_deleted").drop("_r", "seq", "is_deleted")
 
 
-def validate(rows: DataFrame, dim: int, metric: str = "cosine") -> None:
-    """Raises if an id comes twice or is null, or a vector may not be stored. One aggregate, whatever the number of rows."""
+def validate(rows: DataFrame, dim: int, metric: str = "cosine") -> int:
+    """Number of rows. Raises if an id comes twice or is null, or a vector may not be stored. One aggregate, whatever the number of rows."""
     checks = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.count_if(~V.valid(F.col("embedding"), dim, metric)).alias("bad")).first()
     if checks.ids != checks.n:
         raise InvalidVectors(f"{checks.n - checks.ids} rows repeat an id of the batch or have none")
     if checks.bad:
         raise InvalidVectors(f"{checks.bad} vectors do not have {dim} finite numbers" + " and a norm above zero" * (metric == "cosine"))
+    return checks.n
+
+
+class Conflict(RuntimeError):
+    """Someone else has committed in between, again and again."""
 
 
 class Store:
-    """One collection under a folder. Columns besides id and embedding are its metadata."""
+    """One collection under a folder. Columns besides id and embedding are its metadata.
+
+    A manifest, a numbered file that is never changed, names the folders of rows: a base, in which every id comes once, and the writes
+    since. Reading is the base without the ids of the writes, and the latest rows of these. Only the writes go through a window, and
+    filters reach both scans.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # The manifest is a one-line file, replaced by a rename.
+    def _path(self, name: str):
+        return self._hadoop.Path(name)
+
+    # Manifests are numbered; the largest number holds.
+    def _version(self) -> int:
+        found = self._fs.globStatus(self._path(f"{self.folder}/manifest/*.json")) or []
+        return max((int(x.getPath().getName().split(".")[0]) for x in found), default=-1)
+
     def config(self) -> dict | None:
-        p = self._path(f"{self.folder}/manifest.json")
-        if not self._fs.exists(p):
+        return self._read(self._version())
+
+    def _read(self, version: int) -> dict | None:
+        if version < 0:
             return None
-        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.folder}/manifest/{version:09d}.json", wholetext=True).first()[0])
 
-    def _commit(self, config: dict) -> None:
-        new, old = self._path(f"{self.folder}/manifest.json.new"), self._path(f"{self.folder}/manifest.json")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(config, sort_keys=True).encode()))
-        out.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        option = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = option
-        context.rename(new, old, options)
+    def _commit(self, change, attempts: int = 20) -> dict:
+        """Writes change(manifest) under the next number. A rename that does not overwrite decides between writers: who comes second
+        tries again on what the first has made."""
+        for _ in range(attempts):
+            version = self._version()
+            config = change(self._read(version))
+            new = self._path(f"{self.folder}/manifest/.{uuid.uuid4().hex}")
+            out = self._fs.create(new, False)
+            out.write(bytearray(json.dumps(config, sort_keys=True).encode()))
+            out.close()
+            context = self._hadoop.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            try:
+                context.rename(new, self._path(f"{self.folder}/manifest/{version + 1:09d}.json"), self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0))
+                return config
+            except Py4JJavaError as e:
+                self._fs.delete(new, False)
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+        raise Conflict(f"{attempts} attempts to commit to {self.folder} came second")
 
     def create(self, dim: int, metric: str = "cosine", index: str = "hnsw", **params) -> Store:
-        if index not in ("flat", "ivf", "hnsw"):
-            raise ValueError(f"unknown index {index!r}")
+        self._index(index)
         if metric not in V.METRICS:
             raise ValueError(f"unknown metric {metric!r}")
-        self._commit({"dim": dim, "metric": metric, "index": index, "params": params, "generation": 0, "writes": []})
+        self._commit(lambda _: {"dim": dim, "metric": metric, "index": index, "params": params, "base": None, "writes": [], "tables": {}})
         return self
 
-    def _log(self) -> DataFrame | None:
-        c = self.config()
-        if not c or not c["writes"]:
-            return None
-        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.folder}/{w}" for w in c["writes"]])
+    @staticmethod
+    def _index(index: str) -> None:
+        if index not in ("flat", "ivf", "hnsw"):
+            raise ValueError(f"unknown index {index!r}")
 
-    def _append(self, rows: DataFrame, deleted: bool) -> None:
-        c = self.config()
-        n = len(c["writes"])
-        name = f"g{c['generation']}/w{n:06d}"
-        rows.withColumn("seq", F.lit(n).cast("bigint")).withColumn("is_deleted", F.lit(deleted)).write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        self._commit(c | {"writes": [*c["writes"], name]})
+    def _write(self, rows: DataFrame, by: str | None = None) -> str:
+        name = f"rows/{uuid.uuid4().hex}"
+        (rows.write.partitionBy(by) if by else rows.write).parquet(f"{self.folder}/{name}")
+        return name
 
-    def upsert(self, rows: DataFrame) -> None:
+    def _append(self, rows: DataFrame, n: int, deleted: bool) -> None:
+        name = self._write(rows.withColumn("is_deleted", F.lit(deleted)))
+        entry = {"name": name, "rows": n}
+        # The first rows of all are the base; their ids have been seen to be distinct.
+        first = lambda c: c["base"] is None and not c["writes"] and not deleted
+        self._commit(lambda c: c | ({"base": entry} if first(c) else {"writes": [*c["writes"], entry]}))
+
+    def upsert(self, rows: DataFrame) -> int:
+        """How many rows were written."""
         c = self.config()
-        validate(rows, c["dim"], c["metric"])
-        self._append(rows, False)
+        n = validate(rows, c["dim"], c["metric"])
+        if n:
+            self._append(rows, n, False)
+            self.journal("upsert", {"rows": n})
+        return n
 
     def delete(self, ids: DataFrame) -> int:
         """How many active rows have gone. ids: id."""
@@ -95,35 +138,127 @@ class Store:
         gone = active.join(ids.select("id").distinct(), "id", "left_semi")
         n = gone.count()
         if n:
-            self._append(gone, True)
+            self._append(gone, n, True)
+            self.journal("delete", {"rows": n})
         return n
 
+    def _log(self, writes: list[dict]) -> DataFrame:
+        """The rows of some writes, with their place among these as seq."""
+        names = [w["name"].split("/")[-1] for w in writes]
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.folder}/{w['name']}" for w in writes])
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        return rows.withColumn("seq", F.array_position(F.lit(names), folder))
+
+    def replace_vectors(self, vectors: DataFrame) -> int:
+        """New embeddings (id, embedding) for active rows, whose other columns stay; ids that are not active are passed over."""
+        active = self.read()
+        return 0 if active is None else self.upsert(active.drop("embedding").join(vectors.select("id", "embedding"), "id"))
+
+    def _base(self, c: dict) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.folder}/{c['base']['name']}").drop("is_deleted") if c["base"] else None
+
+    def _over(self, base: DataFrame | None, writes: list[dict]) -> DataFrame | None:
+        """base (each id once) with the writes on top."""
+        if not writes:
+            return base
+        log = self._log(writes)
+        if base is None:
+            return latest(log)
+        ids = log.select("id").distinct()
+        ids = F.broadcast(ids) if sum(w["rows"] for w in writes) <= DELTA else ids
+        return base.join(ids, "id", "left_anti").unionByName(latest(log), allowMissingColumns=True)
+
     def read(self) -> DataFrame | None:
         """The active rows; None if nothing was ever written."""
-        log = self._log()
-        return None if log is None else latest(log)
+        c = self.config()
+        return self._over(self._base(c), c["writes"]) if c else None
 
     def get(self, id) -> DataFrame | None:
-        log = self._log()
-        return None if log is None else latest(log.filter(F.col("id") == id))
+        rows = self.read()
+        return None if rows is None else rows.filter(F.col("id") == id)
 
     def compact(self) -> None:
-        active, c = self.read(), self.config()
-        if active is None:
+        """Active rows become the base. Writes that come in meanwhile stay writes; tables of an index stay if they cover what was compacted."""
+        c = self.config()
+        active = self.read()
+        if active is None or not c["writes"]:
             return
-        name = f"g{c['generation'] + 1}/w000000"
-        active.withColumn("seq", F.lit(0).cast("bigint")).withColumn("is_deleted", F.lit(False)).write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        self._commit(c | {"generation": c["generation"] + 1, "writes": [name]})
+        entry = {"name": self._write(active.withColumn("is_deleted", F.lit(False))), "rows": active.count()}
+        done = [w["name"] for w in c["writes"]]
+
+        def change(now):
+            if now["base"] != c["base"]:
+                raise Conflict("the collection was compacted by someone else")
+            tables = {k: t | {"writes": [w for w in t["writes"] if w not in done]} for k, t in now["tables"].items() if set(done) <= set(t["writes"])}
+            return now | {"base": entry, "writes": [w for w in now["writes"] if w["name"] not in done], "tables": tables}
+
+        self._commit(change)
+        self.journal("compact", {"rows": entry["rows"]})
 
     def switch_index(self, index: str, **params) -> None:
         """Changes the access path; parameters of the former one go."""
-        if index not in ("flat", "ivf", "hnsw"):
-            raise ValueError(f"unknown index {index!r}")
-        self._commit(self.config() | {"index": index, "params": params})
+        self._index(index)
+        self._commit(lambda c: c | {"index": index, "params": params})
+        self.journal("switch_index", {"index": index, **params})
+
+    def keep(self, name: str, c: dict, by: dict[str, str] | None = None, **tables: DataFrame) -> None:
+        """Stores what was trained on the rows of the manifest c: cells, graphs, codebooks. by: the column that a table's folders are named by."""
+        by = by or {}
+        entry = {"tables": {k: self._write(t, by.get(k)) for k, t in tables.items()}, "writes": [w["name"] for w in c["writes"]]}
+        self._commit(lambda now: now | {"tables": now["tables"] | {name: entry}})
+        self.journal("keep", {"name": name})
+
+    def kept(self, name: str) -> dict[str, DataFrame] | None:
+        """The tables stored under a name; None if there are none."""
+        t = (self.config() or {"tables": {}})["tables"].get(name)
+        return {k: self.spark.read.parquet(f"{self.folder}/{f}") for k, f in t["tables"].items()} if t else None
+
+    def forget(self, name: str) -> None:
+        self._commit(lambda c: c | {"tables": {k: t for k, t in c["tables"].items() if k != name}})
+
+    def since(self, name: str) -> list[dict]:
+        """The writes that the tables stored under a name know nothing of."""
+        c = self.config()
+        covered = set(c["tables"][name]["writes"])
+        return [w for w in c["writes"] if w["name"] not in covered]
+
+    def on_top(self, rows: DataFrame, name: str, derive) -> DataFrame:
+        """rows of a kept table with later writes on top; derive adds to the rows of these what was derived for the table."""
+        writes = self.since(name)
+        if not writes:
+            return rows
+        log = self._log(writes)
+        ids = log.select("id").distinct()
+        ids = F.broadcast(ids) if sum(w["rows"] for w in writes) <= DELTA else ids
+        return rows.join(ids, "id", "left_anti").unionByName(derive(latest(log)), allowMissingColumns=True)
 
     def journal(self, op: str, data: dict) -> None:
         """A line for people to read; nothing is ever replayed from it."""
-        self.spark.createDataFrame([(op, json.dumps(data, sort_keys=True, default=str))], "op string, data string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{self.folder}/journal")
+        line = json.dumps({"at": datetime.now(UTC).isoformat(), "op": op, "data": data}, sort_keys=True, default=str)
+        out = self._fs.create(self._path(f"{self.folder}/journal/{uuid.uuid4().hex}.json"), False)
+        out.write(bytearray(line.encode() + b"\n"))
+        out.close()
+
+    def import_snapshot(self, folder: str) -> int:
+        """Upserts the active rows of a snapshot in the older layout: config.json, vectors.npy, deleted.npy and metadata.jsonl, a line
+        (id and metadata) for each vector. Its arrays are read on the driver, as its writer had them in memory."""
+        read = lambda name: io.BytesIO(self.spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{name}").select("content").first()[0])
+        vectors, gone = np.load(read("vectors.npy"), allow_pickle=False), np.load(read("deleted.npy"), allow_pickle=False)
+        lines = [json.loads(x) for x in read("metadata.jsonl").getvalue().decode().splitlines() if x.strip()]
+        if not len(vectors) == len(gone) == len(lines):
+            raise InvalidVectors(f"the snapshot has {len(vectors)} vectors, {len(gone)} marks and {len(lines)} lines of metadata")
+        rows = {}
+        for v, dead, line in zip(vectors.astype(np.float32), gone, lines, strict=True):
+            if not dead:
+                own = line.get("metadata", {k: x for k, x in line.items() if k != "id"})
+                rows[line["id"]] = {"id": line["id"], "embedding": v.tolist()} | {k: x for k, x in own.items() if x is not None}
+        if not rows:
+            return 0
+        known = {k: T.LongType() if isinstance(x, int) and not isinstance(x, bool) else T.BooleanType() if isinstance(x, bool) else T.DoubleType() if isinstance(x, float) else T.StringType() for r in rows.values() for k, x in r.items() if k not in ("id", "embedding")}
+        kind = T.LongType() if all(isinstance(i, int) for i in rows) else T.StringType()
+        schema = T.StructType([T.StructField("id", kind), T.StructField("embedding", T.ArrayType(T.FloatType())), *[T.StructField(k, t) for k, t in known.items()]])
+        cast = lambda k, x: x if k not in known or x is None or not isinstance(known[k], T.StringType) or isinstance(x, str) else json.dumps(x)
+        return self.upsert(self.spark.createDataFrame([tuple(cast(f.name, r.get(f.name)) for f in schema) for r in rows.values()], schema))
 
 
 def collection_stats(rows: DataFrame) -> DataFrame:

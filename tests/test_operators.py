@@ -33,8 +33,8 @@ def test_batch_search_in_blocks(spark):
     v = vectors(spark, x).repartition(3)
     q = v.filter("id < 7").select(F.col("id").alias("qid"), "embedding")
     want = {(i, int(j)) for i in range(7) for j in np.argsort(np.linalg.norm(x.astype(np.float32) - x[i].astype(np.float32), axis=1), kind="stable")[:5]}
-    for block in (2, 100):
-        assert {(r.qid, r.id) for r in knn.batch_search(v, q, 5, "l2", block=block).collect()} == want
+    for most in (128, 1 << 20):
+        assert {(r.qid, r.id) for r in knn.batch_search(v, q, 5, "l2", most_bytes=most).collect()} == want
     assert knn.batch_search(v, q.limit(0), 5).count() == 0
     assert knn.batch_search(v.limit(0), q, 5).count() == 0
 
