@@ -7,6 +7,7 @@ text, and no intermediate result is ever kept in an executor's own folder.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -18,9 +19,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of ids that may be broadcast; some 16 MB.
 LOOKUP = 500_000
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # not glibc
+    _LIBC = None
 _BATCH_LIMIT, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -75,7 +81,14 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns memory that is free to the system: workers stay, for tasks of other kinds, and would keep the most that they ever had."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, sliced so that a slice holds about ``most`` bytes of text (or one longer row)."""
     for batch in batches:
         if not batch.num_rows:
@@ -89,6 +102,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def keep_first(docs: DataFrame, found: DataFrame, key: Callable[[bytes], int]) -> DataFrame:

@@ -27,7 +27,7 @@ from .words import NEW_WORDS, Rows, Split, WordTable, gather
 BLOCK = 64
 SIZES = (2, 3, 4)
 #: Words that a task remembers the scores of before it forgets all.
-WORDS = 200_000
+WORDS = 500_000
 
 
 @dataclass
@@ -303,16 +303,17 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
 
     Whole rows pass through, repeated ones and nulls in other columns too, so no join puts texts and predictions together again.
     """
+    if docs.columns.count(text_col) != 1:
+        raise ValueError(f"two columns are called {text_col}")
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
         label = Labeller(sent.value)
-        for b in batches:
-            for part in pieces([b], b.schema.names[at]) if b.schema.names.count(b.schema.names[at]) == 1 else [b]:
-                names, share = label(raw(part.column(at)))
-                good = np.array([x != "und" for x in names], bool) & (share >= least)
-                yield part.filter(pa.array(good))
+        for part in pieces(batches, text_col):
+            names, share = label(raw(part.column(at)))
+            good = np.array([x != "und" for x in names], bool) & (share >= least)
+            yield part.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
