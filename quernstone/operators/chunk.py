@@ -61,52 +61,55 @@ def shifts(lengths: list[int], gaps: np.ndarray, percentile: float = 80.0, most:
     yield first, len(lengths), None
 
 
-def _chunks(docs: DataFrame, cut: Callable, strategy: str, short: str, with_sentences: bool) -> DataFrame:
+def _chunks(docs: DataFrame, cut: Callable, strategy: str, short: str, with_sentences: bool, keep: list[str] | None = None) -> DataFrame:
     extra = [X.sentences(F.col("text")).alias("sentences")] if with_sentences else []
-    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"), *extra)
-    kind = dict(docs.dtypes)["doc_id"]
+    keep = keep or []
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"), *extra, *keep)
+    kinds = dict(docs.dtypes)
+    end = 3 + len(extra)
 
     def run(batches):
         for b in batches:
             out: list[dict] = []
             columns = [c.to_pylist() for c in b.columns]
             for row in zip(*columns, strict=True):
-                for n, piece in enumerate(p for p in cut(*row[2:]) if p["text"]):
-                    out.append({"doc_id": row[0], "chunk_index": n, "chunk_id": f"{row[1]}_{short}_{n}", "strategy": strategy, "char_start": None, "char_end": None, "sentence_count": None, "shift_score": None} | piece)
+                own = dict(zip(keep, row[end:], strict=True))
+                for n, piece in enumerate(p for p in cut(*row[2:end]) if p["text"]):
+                    out.append(own | {"doc_id": row[0], "chunk_index": n, "chunk_id": f"{row[1]}_{short}_{n}", "strategy": strategy, "char_start": None, "char_end": None, "sentence_count": None, "shift_score": None} | piece)
                 if len(out) > 10_000:
-                    yield _batch(out, b.schema.field(0).type)
+                    yield _batch(out, b.schema, keep)
                     out = []
             if out:
-                yield _batch(out, b.schema.field(0).type)
+                yield _batch(out, b.schema, keep)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {FIELDS}")
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, {FIELDS}" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
-def _batch(rows: list[dict], kind: pa.DataType) -> pa.RecordBatch:
-    schema = pa.schema([("doc_id", kind), ("chunk_index", pa.int32()), ("chunk_id", pa.string()), ("strategy", pa.string()), ("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("sentence_count", pa.int32()), ("shift_score", pa.float64())])
+def _batch(rows: list[dict], given: pa.Schema, keep: list[str]) -> pa.RecordBatch:
+    schema = pa.schema([("doc_id", given.field(0).type), ("chunk_index", pa.int32()), ("chunk_id", pa.string()), ("strategy", pa.string()), ("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("sentence_count", pa.int32()), ("shift_score", pa.float64()), *[(c, given.field(c).type) for c in keep]])
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def fixed(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
-    """Chunks of docs (doc_id, text). char_start and char_end are those before the text is trimmed."""
+def fixed(docs: DataFrame, size: int = 500, overlap: int = 100, keep: list[str] | None = None) -> DataFrame:
+    """Chunks of docs (doc_id, text), with the columns to keep. char_start and char_end are those before the text is trimmed."""
 
     def cut(text):
         if text.strip():
             for a, b in fixed_windows(text, size, overlap):
                 yield {"text": text[a:b].strip(), "char_start": a, "char_end": b}
 
-    return _chunks(docs, cut, "fixed", "fixed", False)
+    return _chunks(docs, cut, "fixed", "fixed", False, keep)
 
 
-def by_sentence(docs: DataFrame, most: int = 600, overlap: int = 1) -> DataFrame:
+def by_sentence(docs: DataFrame, most: int = 600, overlap: int = 1, keep: list[str] | None = None) -> DataFrame:
     def cut(text, sentences):
         for a, b in packed([len(s) for s in sentences], most, overlap):
             yield {"text": " ".join(sentences[a:b]).strip(), "sentence_count": b - a}
 
-    return _chunks(docs, cut, "sentence", "sent", True)
+    return _chunks(docs, cut, "sentence", "sent", True, keep)
 
 
-def semantic(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, percentile: float = 80.0, most: int = 800, least: int = 100) -> DataFrame:
+def semantic(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, percentile: float = 80.0, most: int = 800, least: int = 100, keep: list[str] | None = None) -> DataFrame:
     """embed: sentences to a matrix; without it sentences are packed. A text of at most one sentence is one chunk."""
 
     def cut(text, sentences):
@@ -123,7 +126,7 @@ def semantic(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | None =
         for a, b, d in shifts([len(s) for s in sentences], 1.0 - (e[:-1] * e[1:]).sum(1), percentile, most, least):
             yield {"text": " ".join(sentences[a:b]).strip(), "shift_score": d}
 
-    return _chunks(docs, cut, "semantic", "sem" if embed else "sent", True)
+    return _chunks(docs, cut, "semantic", "sem" if embed else "sent", True, keep)
 
 
 def length_stats(chunks: DataFrame) -> DataFrame:

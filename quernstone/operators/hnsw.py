@@ -171,6 +171,7 @@ class Graph:
 
 
 NODES = "shard int, node int, id {id}, level int, is_deleted boolean, is_entry boolean, embedding array<double>"
+STEPS = "shard int, step int, layer int, type string, from_id {id}, to_id {id}, distance double"
 EDGES = "shard int, layer int, src int, dst int"
 
 
@@ -277,7 +278,7 @@ def trace(graph: DataFrame, query: list[float], k: int = 5, ef: int = 32, metric
         name = lambda n: None if n is None else ids[n]
         return pd.DataFrame([(key[0], i, layer, what, name(a), name(b), d) for i, (layer, what, a, b, d) in enumerate(steps)], columns=["shard", "step", "layer", "type", "from_id", "to_id", "distance"])
 
-    return graph.groupBy("shard").applyInPandas(run, f"shard int, step int, layer int, type string, from_id {kind}, to_id {kind}, distance double")
+    return graph.groupBy("shard").applyInPandas(run, STEPS.format(id=kind))
 
 
 def topology(graph: DataFrame, max_nodes: int = 40) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import OrderedDict
 from collections.abc import Callable
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +79,10 @@ def grounding(context: DataFrame, answered: DataFrame) -> DataFrame:
     return rows.select("qid", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.size(X.citations(F.col("answer"))).cast("bigint").alias("n_cited"), rounded(share, 3).alias("grounding"))
 
 
-def generate(prompt: str, providers: list[tuple[str, Callable[[str], object]]]) -> tuple[str | None, str | None]:
+Provider = tuple[str, Callable[[str], object]]
+
+
+def generate(prompt: str, providers: list[Provider]) -> tuple[str | None, str | None]:
     """(name, text) of the first provider that yields text; blanks, other types and errors pass on to the next. (None, None): use answers()."""
     for name, ask in providers:
         try:
@@ -90,6 +94,18 @@ def generate(prompt: str, providers: list[tuple[str, Callable[[str], object]]])
     return None, None
 
 
+def generated(asked: DataFrame, providers: list[Provider]) -> DataFrame:
+    """qid, provider, generated of each prompt (qid, prompt) that some provider answers. Prompts go out from the executors."""
+
+    def run(batches):
+        for b in batches:
+            got = [(q, *generate(p, providers)) for q, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            got = [x for x in got if x[1] is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((b.schema.field(0).type, pa.string(), pa.string()))], names=["qid", "provider", "generated"])
+
+    return asked.select("qid", "prompt").mapInArrow(run, f"qid {dict(asked.dtypes)['qid']}, provider string, generated string")
+
+
 class QueryCache:
     """Results by the SHA-256 of their canonical request; the least recently used goes first, and all go after ``ttl`` seconds."""
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import bm25, chunk, embed, fusion, hnsw, ivf, knn, metrics, project, quantize, rag, rerank
+from .operators import bm25, chunk, embed, fusion, hnsw, ivf, knn, metrics, project, quantize, rag, rerank, sweep
 from .plans.filters import compile_filter
+from .sources import corpus, files, synthetic
 from .sources.store import Store, collection_stats
 from .streaming.ingest import chunk_rows
 
@@ -29,7 +30,7 @@ class Engine:
         self.cache = rag.QueryCache()
         self._derived: dict = {}
 
-    # Tables derived from the rows; a write forgets them.
+    # What is derived from the rows for this session only; a write forgets it. Trained tables are kept in the store.
     def _once(self, name: str, make):
         if name not in self._derived:
             self._derived[name] = make()
@@ -48,12 +49,25 @@ class Engine:
             raise LookupError("the collection is empty")
         return rows
 
-    def ingest(self, docs: DataFrame, strategy: str = "sentence", size: int = 600, overlap: int = 1) -> None:
-        """docs: doc_id, text. Writing the same text again changes nothing."""
+    def ingest(self, docs: DataFrame, strategy: str = "semantic", size: int = 600, overlap: int = 1) -> int:
+        """docs: doc_id, text, and metadata. Writing the same text again changes nothing. How many rows were written."""
         if strategy == "fixed" and overlap >= size:
             raise ValueError("overlap must be less than size")
-        self.store.upsert(chunk_rows(docs, self.model, strategy, size, overlap))
+        n = self.store.upsert(chunk_rows(docs, self.model, strategy, size, overlap))
         self._changed()
+        return n
+
+    def ingest_files(self, path: str, strategy: str = "semantic", size: int = 600, overlap: int = 1) -> int:
+        """Files of the known kinds under a path or glob, at most 10 MB each; PDFs page by page."""
+        if not 50 <= size <= 10_000:
+            raise ValueError("size must be between 50 and 10,000")
+        docs = files.load_uploads(self.spark, path)
+        named = docs.select(F.col("source").alias("doc_id"), "text", "title", "file_path", "file_type", "page")
+        return self.ingest(named, strategy, size, overlap)
+
+    def seed(self) -> int:
+        """Ingests the bundled corpus."""
+        return self.ingest(corpus.documents(self.spark), "sentence", 300, 1)
 
     def upsert(self, rows: DataFrame) -> None:
         self.store.upsert(rows)
@@ -69,7 +83,10 @@ class Engine:
         self._changed()
 
     def switch_index(self, index: str, **params) -> None:
+        """Another access path; what was trained for one of other parameters is trained anew when it is next used."""
         self.store.switch_index(index, **params)
+        for name in ("ivf", "hnsw"):
+            self.store.forget(name)
         self._changed()
 
     def embed_queries(self, queries: DataFrame) -> DataFrame:
@@ -86,17 +103,49 @@ class Engine:
             n, total = rows.agg(F.count_if(f), F.count(F.lit(1))).first()
             index = "flat" if n <= FEW_ROWS or n < FEW_SHARE * total else index
         if index == "ivf":
-            cells = self._once("cells", lambda: ivf.train(rows, params.get("nlist", 16), metric))
-            assigned = self._once("assigned", lambda: ivf.assign(rows, cells, metric).persist())
+            cells, assigned = self.cells(metric, params.get("nlist", 16))
             return ivf.search(assigned, queries, cells, k, params.get("nprobe", 4), metric, query_filter).drop("cluster")
         if index == "hnsw":
-            return hnsw.search(self.graph(), queries, k, params.get("ef_search", 32), metric, query_filter, rows)
+            return self._walk(queries, k, params.get("ef_search", 32), metric, query_filter, rows)
         return knn.batch_search(rows, queries, k, metric, query_filter)
 
+    def dense_with_trace(self, query: list[float], k: int = 5, **params) -> tuple[DataFrame, DataFrame]:
+        """The rows nearest to one vector, and how the search went: the steps in the graph, none for other access paths."""
+        asked = self.spark.createDataFrame([(0, query)], "qid int, embedding array<double>")
+        steps = self.hnsw_trace(query, k, params.get("ef_search", 32)) if self.store.config()["index"] == "hnsw" else self.spark.createDataFrame([], hnsw.STEPS.format(id="string"))
+        return self.dense(asked, k, **params), steps
+
+    def cells(self, metric: str, nlist: int) -> tuple[DataFrame, DataFrame]:
+        """Cells, and the active rows with theirs. Cells are trained once and kept in the store, with the rows in folders by cell; rows
+        written later are assigned to them, and the cells never move."""
+        if self.store.kept("ivf") is None:
+            c = self.store.config()
+            rows = self.rows()
+            trained = ivf.train(rows, nlist, metric)
+            self.store.keep("ivf", c, {"rows": "cluster"}, cells=trained, rows=ivf.assign(rows, trained, metric))
+        kept = self.store.kept("ivf")
+        return kept["cells"], self.store.on_top(kept["rows"], "ivf", lambda later: ivf.assign(later, kept["cells"], metric))
+
     def graph(self) -> DataFrame:
-        c = self.store.config()
-        how = {x: c["params"][x] for x in ("m", "m0", "ef_build", "seed") if x in c["params"]}
-        return self._once("graph", lambda: hnsw.build(self.rows(), metric=c["metric"], **how).persist())
+        """The nodes of the graph, kept in the store. Rows written later are no part of it."""
+        if self.store.kept("hnsw") is None:
+            c = self.store.config()
+            how = {x: c["params"][x] for x in ("m", "m0", "ef_build", "seed", "select", "extend", "refill") if x in c["params"]}
+            self.store.keep("hnsw", c, nodes=hnsw.build(self.rows(), metric=c["metric"], **how))
+        return self.store.kept("hnsw")["nodes"]
+
+    def _walk(self, queries: DataFrame, k: int, ef: int, metric: str, query_filter: dict | None, rows: DataFrame) -> DataFrame:
+        """The graph's nearest rows and, exactly, those of later writes; nodes that these have replaced are walked over, not returned."""
+        graph = self.graph()
+        ids, later = self.store.later("hnsw")
+        if ids is not None:
+            graph = graph.join(ids.withColumn("_gone", F.lit(True)), "id", "left").withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone")
+        found = hnsw.search(graph, queries, k, ef, metric, query_filter, rows)
+        if ids is None:
+            return found
+        both = found.drop("rank").unionByName(knn.batch_search(later, queries, k, metric, query_filter).drop("rank"))
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
+        return both.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "id", "rank", "distance", "score")
 
     def lexical(self) -> bm25.Index:
         def make():
@@ -127,12 +176,19 @@ class Engine:
             found = found if min_score is None else found.filter(F.col("score") >= min_score)
         return found.withColumn("pos", F.col("rank"))
 
-    def ask(self, queries: DataFrame, **how) -> dict[str, DataFrame]:
-        """answers, citations and grounding of a batch of questions."""
+    def ask(self, queries: DataFrame, providers: list[rag.Provider] | None = None, **how) -> dict[str, DataFrame]:
+        """answers, citations and grounding of a batch of questions.
+
+        providers: (name, function from a prompt to text) of generators, tried in turn on the executors; questions that none of
+        them answers get sentences of the sources. The answer's provider is named, ``extractive`` for the latter.
+        """
         context = self.context(queries, **how).persist()
         found = queries.select("qid", F.col("text").alias("query")).join(rag.answers(context), "qid", "left")
         gate = F.concat(F.lit("Nothing relevant was found on '"), F.col("query"), F.lit("'."))
-        answered = found.select("qid", F.coalesce("answer", gate).alias("answer"))
+        answered = found.select("qid", F.coalesce("answer", gate).alias("answer"), F.lit("extractive").alias("provider"))
+        if providers:
+            made = rag.generated(rag.prompts(context), providers).withColumnRenamed("provider", "_by").persist()
+            answered = answered.join(made, "qid", "left").select("qid", F.coalesce("generated", "answer").alias("answer"), F.coalesce("_by", "provider").alias("provider"))
         return {"answers": answered, "citations": rag.citations(context, answered), "grounding": rag.grounding(context, answered)}
 
     def ask_one(self, question: str, **how) -> dict:
@@ -160,7 +216,10 @@ class Engine:
             raise ValueError(f"unknown quantizer {kind!r}")
         if dim % parts:
             raise ValueError(f"{parts} parts do not divide {dim} dimensions")
-        book = quantize.product_train(rows, parts, clusters)
+        name = f"codebook-{parts}-{clusters}"
+        if self.store.kept(name) is None:
+            self.store.keep(name, self.store.config(), book=quantize.product_train(rows, parts, clusters))
+        book = self.store.kept(name)["book"]
         return quantize.error_stats(quantize.product_decode(quantize.product_encode(rows, book), book), float(parts))
 
     def compare_chunking(self, docs: DataFrame) -> DataFrame:
@@ -170,12 +229,36 @@ class Engine:
         model = self._once("projection", lambda: project.fit(self.rows()))
         return (project.points(self.rows(), model) if model else self.rows()), model
 
-    def project_query(self, query: list[float]) -> tuple[float, float]:
-        model = self._once("projection", lambda: project.fit(self.rows()))
+    def project_query(self, query: list[float], k: int = 5) -> dict:
+        """x and y of a vector on the map, and its k nearest rows with their places."""
+        placed, model = self.project()
+        near = self.dense(self.spark.createDataFrame([(0, query)], "qid int, embedding array<double>"), k).drop("qid")
         if model is None:
-            return 0.0, 0.0
+            return {"x": 0.0, "y": 0.0, "neighbours": near}
         q = [sum((x - m) * a for x, m, a in zip(query, model.mean, axis, strict=True)) for axis in model.axes]
-        return tuple(round((x - mid) * model.scale, 2) for x, mid in zip(q, model.middle, strict=True))
+        x, y = (round((v - mid) * model.scale, 2) for v, mid in zip(q, model.middle, strict=True))
+        return {"x": x, "y": y, "neighbours": near.join(placed, "id")}
+
+    def benchmark(self, n: int = 1000, queries: int = 50, k: int = 10, nlist: int = 16, probes: tuple[int, ...] = (1, 4, 8, 16), efs: tuple[int, ...] = (16, 32, 64), m: int = 16, seed: int = 42) -> list[dict]:
+        """Recall, time and queries per second of exact, cell and graph search, over nprobe and ef, on made-up vectors of the store's
+        dimension and metric. The store is not touched."""
+        c = self.store.config()
+        dim, metric = c["dim"], c["metric"]
+        rows = synthetic.clustered(self.spark, n, dim, seed=seed).persist()
+        asked = synthetic.clustered(self.spark, queries, dim, seed=seed, first=n).select(F.col("id").alias("qid"), "embedding").persist()
+        exact = knn.batch_search(rows, asked, k, metric).persist()
+        exact.count()
+        cells = ivf.train(rows, nlist, metric)
+        assigned = ivf.assign(rows, cells, metric).persist()
+        graph = hnsw.build(rows, metric=metric, m=m, seed=seed).persist()
+        ways = {"exact": lambda: knn.batch_search(rows, asked, k, metric)}
+        ways |= {f"ivf nprobe={p}": lambda p=p: ivf.search(assigned, asked, cells, k, p, metric) for p in probes}
+        ways |= {f"hnsw ef={e}": lambda e=e: hnsw.search(graph, asked, k, e, metric) for e in efs}
+        assigned.count(), graph.count()
+        out = sweep.measure(ways, exact, queries, k)
+        for x in (rows, asked, exact, assigned, graph):
+            x.unpersist()
+        return out
 
     def hnsw_topology(self, max_nodes: int = 40) -> DataFrame:
         return hnsw.topology(self.graph(), max_nodes)

@@ -34,13 +34,22 @@ def load_files(spark: SparkSession, path: str, max_bytes: int | None = None) ->
     return _documents(df.filter("file_type <> 'pdf'").withColumn("raw", decoded))
 
 
+def load(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """All files under a path or glob, each by its kind: a PDF is a document per page, any other file is one. Files that are too large
+    are left out; PDFs without the package that reads them raise, they are not passed over."""
+    docs = load_files(spark, path, max_bytes)
+    pdfs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").endswith(".pdf")).drop("content")
+    pdfs = pdfs if max_bytes is None else pdfs.filter(F.col("length") <= max_bytes)
+    return docs.unionByName(load_pdf(spark, path, max_bytes)) if not pdfs.isEmpty() else docs
+
+
 def load_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """load_files() under the limits for uploads: known extensions, at most MAX_BYTES."""
-    docs = load_files(spark, path, MAX_BYTES)
+    """load() under the limits for uploads: known extensions, at most MAX_BYTES."""
+    docs = load(spark, path, MAX_BYTES)
     return docs.filter(F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1)).isin(sorted(ALLOWED)))
 
 
-def load_pdf(spark: SparkSession, path: str) -> DataFrame:
+def load_pdf(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """One document per page with text; needs pypdf on the executors."""
     try:
         import pypdf  # noqa: F401
@@ -62,7 +71,9 @@ def load_pdf(spark: SparkSession, path: str) -> DataFrame:
                         out.append((p, t, i))
             yield pd.DataFrame(out, columns=["path", "raw", "page"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(pages, "path string, raw string, page int")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").endswith(".pdf"))
+    files = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    raw = files.select("path", "content").mapInPandas(pages, "path string, raw string, page int")
     named = _named(raw)
     return named.select(F.substring(F.sha2(F.concat_ws(":", "path", "page", "raw"), 256), 1, 16).alias("doc_id"), X.clean(F.col("raw")).alias("text"), "source", F.col("path").alias("file_path"), F.lit("pdf").alias("file_type"), F.col("source").alias("title"), "page")
 

@@ -222,15 +222,19 @@ class Store:
         covered = set(c["tables"][name]["writes"])
         return [w for w in c["writes"] if w["name"] not in covered]
 
-    def on_top(self, rows: DataFrame, name: str, derive) -> DataFrame:
-        """rows of a kept table with later writes on top; derive adds to the rows of these what was derived for the table."""
+    def later(self, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+        """The ids of the writes that the tables stored under a name know nothing of, and the active rows of these; (None, None) without any."""
         writes = self.since(name)
         if not writes:
-            return rows
+            return None, None
         log = self._log(writes)
         ids = log.select("id").distinct()
-        ids = F.broadcast(ids) if sum(w["rows"] for w in writes) <= DELTA else ids
-        return rows.join(ids, "id", "left_anti").unionByName(derive(latest(log)), allowMissingColumns=True)
+        return F.broadcast(ids) if sum(w["rows"] for w in writes) <= DELTA else ids, latest(log)
+
+    def on_top(self, rows: DataFrame, name: str, derive) -> DataFrame:
+        """rows of a kept table with later writes on top; derive adds to the rows of these what was derived for the table."""
+        ids, later = self.later(name)
+        return rows if ids is None else rows.join(ids, "id", "left_anti").unionByName(derive(later), allowMissingColumns=True)
 
     def journal(self, op: str, data: dict) -> None:
         """A line for people to read; nothing is ever replayed from it."""

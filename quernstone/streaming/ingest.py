@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,12 +14,28 @@ from ..operators import chunk, embed
 from ..sources.store import Store
 
 
-def chunk_rows(docs: DataFrame, model: Callable[[list[str]], np.ndarray] | None = None, strategy: str = "sentence", size: int = 600, overlap: int = 1) -> DataFrame:
-    """Documents (doc_id, text) as rows of a store: id from the content, text, source, embedding. What is said twice is one row."""
-    clean = docs.select("doc_id", X.clean(F.col("text")).alias("text"))
-    cut = {"fixed": chunk.fixed, "sentence": chunk.by_sentence}[strategy](clean, size, overlap)
-    named = cut.select(X.content_id(F.col("doc_id"), strategy, size, overlap, F.col("text")).alias("id"), "text", F.col("doc_id").cast("string").alias("source"))
-    return embed.embed(named.dropDuplicates(["id"]), model=model).select("id", "embedding", "text", "source")
+STRATEGIES = ("semantic", "sentence", "fixed")
+
+
+def source(columns: list[str]) -> Column:
+    """What a document is called: the first of doc_id, source and title that is there and not empty, or doc."""
+    return F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "title") if c in columns], F.lit("doc"))
+
+
+def chunk_rows(docs: DataFrame, model: Callable[[list[str]], np.ndarray] | None = None, strategy: str = "semantic", size: int = 600, overlap: int = 1) -> DataFrame:
+    """Documents (doc_id, text, and what else there is) as rows of a store: id from the content, embedding, text, source, and the other
+    columns. What is said twice is one row."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
+    more = [c for c in docs.columns if c not in ("doc_id", "text", "source", "id", "embedding")]
+    named = docs.select(source(docs.columns).alias("doc_id"), X.clean(F.col("text")).alias("text"), *more)
+    cut = {
+        "fixed": lambda d: chunk.fixed(d, size, overlap, more), "sentence": lambda d: chunk.by_sentence(d, size, overlap, more),
+        "semantic": lambda d: chunk.semantic(d, model or embed.stand_in, most=size, keep=more),
+    }[strategy](named)
+    rows = cut.select(X.content_id(F.col("doc_id"), strategy, size, overlap, F.col("text")).alias("id"), "text", F.col("doc_id").alias("source"), *more)
+    once = rows.groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("text", "source", *more)])
+    return embed.embed(once, model=model).select("id", "embedding", "text", "source", *more)
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None, **how) -> StreamingQuery:
