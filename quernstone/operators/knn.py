@@ -7,13 +7,14 @@ and keeps the k nearest rows of each partition per query; only those, partitions
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField
 
 from ..functions import vectors as V
 from ..plans.filters import compile_filter
@@ -67,9 +68,10 @@ def _sortable(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), str)
 
 
-def top_rows(k: int, metric: str, asked, qid_type: pa.DataType):
-    """A kernel over batches of (id, embedding): the k nearest rows of the partition for each query. asked: a broadcast of qids and
-    their vectors; they are taken in blocks, so one pass over the rows serves all of them."""
+def top_rows(k: int, measure, asked, qid_type: pa.DataType):
+    """A kernel over batches of (id, value): the k nearest rows of the partition for each query. asked: a broadcast of qids and of what
+    measure(values, asked, from, to) needs for the distances (rows x queries) to a block of queries; so one pass over the rows serves
+    all of them."""
 
     def run(batches):
         qids, q = asked.value
@@ -89,10 +91,10 @@ def top_rows(k: int, metric: str, asked, qid_type: pa.DataType):
             id_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                m, own = _matrix(b.column(1)), _sortable(b.column(0))
+                own = _sortable(b.column(0))
                 few = min(k, len(own))
                 for start in range(0, len(qids), QUERY_BLOCK):
-                    d = distances(m, q[start : start + QUERY_BLOCK], metric)
+                    d = measure(b.column(1), q, start, min(start + QUERY_BLOCK, len(qids)))
                     # All rows up to the k-th distance of a query, equal ones included: ids decide among them.
                     near = np.minimum(np.partition(d, few - 1, axis=0)[few - 1] if few == k else np.inf, edge[start : start + QUERY_BLOCK])
                     row, query = np.nonzero(d <= near)
@@ -118,23 +120,28 @@ def passes(queries: DataFrame, most_bytes: int = PASS_BYTES) -> Iterator[tuple[l
         yield qids, np.array(rows)
 
 
+def nearest(rows: DataFrame, groups: Iterable[tuple[list, object]], measure, k: int, qid: StructField) -> DataFrame:
+    """qid, id, rank, distance of the k nearest rows (id, value) to each query; ties by id. groups: qids and what measure needs of them,
+    as top_rows() takes them; each group is a pass over the rows."""
+    kinds = dict(rows.dtypes)
+    schema = f"qid {qid.dataType.simpleString()}, id {kinds[rows.columns[0]]}, distance double"
+    local = None
+    for asked in groups:
+        part = rows.mapInArrow(top_rows(k, measure, rows.sparkSession.sparkContext.broadcast(asked), to_arrow_type(qid.dataType)), schema)
+        local = part if local is None else local.unionByName(part)
+    if local is None:
+        local = rows.sparkSession.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
+    return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "id", "rank", "distance")
+
+
 def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", query_filter: dict | None = None, most_bytes: int = PASS_BYTES) -> DataFrame:
     """The k rows nearest to each query: qid, id, rank, distance, score; ties by id.
 
     queries: qid, embedding. The rows are read once for every ``most_bytes`` of query vectors.
     """
     rows = _filtered(vectors, query_filter).select("id", "embedding")
-    kinds = dict(rows.dtypes) | {"qid": dict(queries.dtypes)["qid"]}
-    schema = f"qid {kinds['qid']}, id {kinds['id']}, distance double"
-    qid_type = to_arrow_type(queries.schema["qid"].dataType)
-    local = None
-    for asked in passes(queries, most_bytes):
-        part = rows.mapInArrow(top_rows(k, metric, rows.sparkSession.sparkContext.broadcast(asked), qid_type), schema)
-        local = part if local is None else local.unionByName(part)
-    if local is None:
-        return rows.sparkSession.createDataFrame([], schema + ", rank bigint, score double").select("qid", "id", "rank", "distance", "score")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
-    best = local.withColumn("rank", rank).filter(F.col("rank") <= k)
+    best = nearest(rows, passes(queries, most_bytes), lambda x, q, a, b: distances(_matrix(x), q[a:b], metric), k, queries.schema["qid"])
     return best.select("qid", "id", "rank", "distance", V.score(F.col("distance"), metric).alias("score"))
 
 

@@ -32,10 +32,10 @@ class Projection:
         return tuple(F.round((self.raw(v, i) - self.middle[i]) * self.scale, 2) for i in (0, 1))
 
 
-def fit(vectors: DataFrame) -> Projection | None:
-    """None without vectors. The sums that leave a partition are dim x dim. An axis points to where its largest loading is positive."""
+def moments(vectors: DataFrame, dim: int) -> DataFrame:
+    """i, n, t (sum of coordinate i), r0, r1, ... (sums of its products with each coordinate). dim x dim sums leave a partition."""
 
-    def moments(batches):
+    def add(batches):
         n, total, outer = 0, None, None
         for b in batches:
             if b.num_rows:
@@ -47,12 +47,17 @@ def fit(vectors: DataFrame) -> Projection | None:
             for i, row in enumerate(outer):
                 yield pa.RecordBatch.from_pydict({"i": [i], "n": [float(n)], "t": [float(total[i])], "row": [row.tolist()]})
 
-    parts = vectors.select("embedding").mapInArrow(moments, "i bigint, n double, t double, row array<double>")
+    parts = vectors.select("embedding").mapInArrow(add, "i bigint, n double, t double, row array<double>")
+    return parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), *[F.sum(F.element_at("row", j + 1)).alias(f"r{j}") for j in range(dim)])
+
+
+def fit(vectors: DataFrame) -> Projection | None:
+    """None without vectors. An axis points to where its largest loading is positive."""
     first = vectors.select(F.size("embedding")).first()
     if first is None:
         return None
     dim = first[0]
-    rows = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), *[F.sum(F.element_at("row", j + 1)).alias(f"r{j}") for j in range(dim)]).orderBy("i").collect()  # dim rows
+    rows = moments(vectors, dim).orderBy("i").collect()  # dim rows
     n = rows[0].n
     mean = np.array([r.t for r in rows]) / n
     if n < 2:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from . import kmeans
+from . import kmeans, knn
 
 
 def scalar_params(vectors: DataFrame, symmetric: bool = True) -> DataFrame:
@@ -103,10 +104,37 @@ def adc_table(queries: DataFrame, codebook: DataFrame) -> DataFrame:
     return queries.select("qid", "embedding").crossJoin(F.broadcast(_books(codebook))).select("qid", rows.alias("table"))
 
 
-def adc_distances(encoded: DataFrame, tables: DataFrame) -> DataFrame:
-    """qid, id, distance: squared distance of each query to each decoded vector, by table lookups only.
+def adc_search(encoded: DataFrame, queries: DataFrame, codebook: DataFrame, k: int = 10, most_bytes: int = knn.PASS_BYTES) -> DataFrame:
+    """qid, id, rank, distance: the k rows nearest to each query by the squared distance to the decoded vectors, by table lookups only.
 
-    tables: those of one block of queries; a larger set goes through in blocks.
+    encoded: id, code. Tables go to the scan, ``most_bytes`` of them at a time, and a partition keeps k rows per query.
     """
-    cells = F.transform(F.col("code"), lambda c, m: F.element_at(F.element_at(F.col("table"), m + 1), c.cast("int") + 1))
-    return encoded.select("id", "code").crossJoin(F.broadcast(tables)).select("qid", "id", F.aggregate(cells, F.lit(0.0), lambda s, x: s + x).alias("distance"))
+    books: list[list] = []
+    for r in codebook.orderBy("m", "code").collect():  # parts x clusters rows, a parameter of the index
+        books += [[]] if r.m == len(books) else []
+        books[r.m].append(r.centroid)
+    table_bytes = 8 * sum(map(len, books))
+    book = [np.array(b, np.float64) for b in books]
+
+    def groups():
+        for qids, q in knn.passes(queries, max(1, most_bytes * 8 * len(np.hstack([b[0] for b in book])) // table_bytes)):
+            parts = np.split(q, len(book), axis=1)
+            yield qids, [((p[:, None, :] - b[None]) ** 2).sum(2) for p, b in zip(parts, book, strict=True)]
+
+    def measure(codes, tables, a, b):
+        c = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), -1)
+        return sum(t[a:b][:, c[:, m]].T for m, t in enumerate(tables))
+
+    return knn.nearest(encoded.select("id", "code"), groups(), measure, k, queries.schema["qid"])
+
+
+def scalar_search(encoded: DataFrame, queries: DataFrame, params: DataFrame, k: int = 10) -> DataFrame:
+    """qid, id, rank, distance: the k rows nearest to each query by the squared distance to the decoded vectors. encoded: id, code."""
+    rows = params.orderBy("j").collect()  # one for each dimension
+    scale, zero = (np.array([r[c] for r in rows]) for c in ("scale", "zero"))
+
+    def measure(codes, q, a, b):
+        x = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), -1) * scale + zero
+        return knn.distances(x, q[a:b], "l2") ** 2
+
+    return knn.nearest(encoded.select("id", "code"), knn.passes(queries), measure, k, queries.schema["qid"])

@@ -5,16 +5,19 @@ Outputs are rounded half-up on the binary value to six places in both engines, s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vectors as V
-from .operators import bm25, chunk, embed, fusion, hnsw, ivf, knn, metrics, project, quantize, rag, rerank
+from .operators import bm25, chunk, embed, fusion, hnsw, ivf, knn, metrics, project, quantize, rag, rerank, sweep
 from .plans.filters import compile_filter
-from .sources.store import collection_stats, latest
+from .session import Engine
+from .sources.store import Store, collection_stats, latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -281,9 +284,30 @@ def chunk_compare(spark, sf):
     return chunk.compare(_texts(spark, sf), embed.bag_of_words)
 
 
+def by_length(texts: list[str]) -> np.ndarray:
+    """A model that SQL can follow: one of five directions, by the length of the text."""
+    return np.eye(5)[[len(t) % 5 for t in texts]]
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_SENT.format(t='text')} AS s FROM documents), l AS (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS n, len(s) AS m FROM d WHERE len(s) > 0),
+g AS (SELECT doc_id, i.i AS i, CASE WHEN n[i.i] % 5 = n[i.i - 1] % 5 THEN 0::DOUBLE ELSE 1::DOUBLE END AS gap FROM l, unnest(range(2, m + 1)) AS i(i)),
+p AS (SELECT doc_id, quantile_cont(gap, 0.8) AS top FROM g GROUP BY doc_id),
+w AS (SELECT doc_id, s, n, m, 1::BIGINT AS i, 1::BIGINT AS a, n[1] AS total, false AS cut, 0::BIGINT AS f, NULL::DOUBLE AS at_cut FROM l
+  UNION ALL SELECT w.doc_id, s, n, m, w.i + 1, CASE WHEN c THEN w.i + 1 ELSE a END, CASE WHEN c THEN n[w.i + 1] ELSE total + n[w.i + 1] + 1 END, c, a, gap
+  FROM (SELECT w.*, g.gap, (g.gap > p.top AND total >= 100) OR total + n[w.i + 1] > 800 AS c FROM w JOIN g ON g.doc_id = w.doc_id AND g.i = w.i + 1 JOIN p ON p.doc_id = w.doc_id WHERE w.i < m) AS w),
+o AS (SELECT doc_id, f AS a, i - 1 AS b, at_cut, s FROM w WHERE cut UNION ALL SELECT doc_id, a, m, NULL, s FROM w WHERE i = m)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INTEGER AS chunk_index, array_to_string(s[a : b], ' ') AS text, {q6('at_cut')} AS shift_score FROM o""")
+def chunk_semantic_given(spark, sf):
+    """Semantic chunks under a given model. A text without a sentence has no chunk."""
+    some = _texts(spark, sf).filter(F.size(X.sentences(F.col("text"))) > 0)
+    return _round(chunk.semantic(some, by_length).select("doc_id", "chunk_index", "text", "shift_score"), "shift_score")
+
+
 @query()
 def embed_stand_in(spark, sf):
-    return embed.embed(_questions(spark, sf)).select("qid", F.size("embedding").alias("dim"), r6(V.norm(F.col("embedding"))).alias("norm"))
+    """Whole documents; the vectors as digests of their coordinates to four places."""
+    digits = F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string"))
+    return embed.embed(_texts(spark, sf)).select("doc_id", F.size("embedding").alias("dim"), r6(V.norm(F.col("embedding"))).alias("norm"), F.sha2(F.array_join(digits, ","), 256).alias("embedding_sha256"))
 
 
 # ---------------------------------------------------------------- BM25
@@ -433,6 +457,26 @@ def extractive_answers(spark, sf):
     return rag.answers(_context(spark, sf))
 
 
+_PROMPT = _CAND + """, pr AS (SELECT qid, 'Answer from the numbered sources only and cite them as [n].' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(query) AS prompt
+FROM c WHERE rank <= 5 GROUP BY qid)"""
+
+
+@query(_PROMPT + " SELECT qid, length(prompt)::BIGINT AS n, sha256(prompt) AS prompt_sha256 FROM pr")
+def prompts_of_questions(spark, sf):
+    return rag.prompts(_context(spark, sf)).select("qid", F.length("prompt").cast("bigint").alias("n"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+def _down(prompt: str) -> str:
+    raise OSError("down")
+
+
+@query(_PROMPT + """ SELECT qid, CASE WHEN length(prompt) % 3 = 0 THEN 'even' ELSE 'any' END AS provider, CASE WHEN length(prompt) % 3 = 0 THEN 'Thirds of ' ELSE 'All of ' END || length(prompt) || ' characters [1].' AS generated FROM pr""")
+def generated_answers(spark, sf):
+    """A chain of text generators: one that is down, one that answers some prompts, one that answers all."""
+    chain = [("down", _down), ("even", lambda p: f"Thirds of {len(p)} characters [1]." if len(p) % 3 == 0 else " "), ("any", lambda p: f"All of {len(p)} characters [1].")]
+    return rag.generated(rag.prompts(_context(spark, sf)), chain)
+
+
 @query(_ANSWER + f""", ci AS (SELECT qid, list_distinct(list_transform(flatten(list_transform(regexp_extract_all(answer, '\\[(\\d+(?:,\\s*\\d+)*)\\]', 1), lambda g: string_split_regex(g, ',\\s*'))), lambda n: n::INTEGER)) AS cited FROM ans)
 SELECT c.qid, c.rank AS pos, c.id, c.source, {q6('floor(c.score * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE')} AS relevance, list_contains(cited, c.rank::INTEGER) AS is_cited,
 CASE WHEN length(c.text) > 180 THEN substr(c.text, 1, 180) || '...' ELSE c.text END AS snippet FROM c JOIN ci USING (qid) WHERE c.rank <= 5""")
@@ -525,14 +569,9 @@ def sq8_error(spark, sf):
 s AS (SELECT qid, id, sum((y - code * scale) ** 2) AS d FROM cd JOIN q USING (i) GROUP BY qid, id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM s)
 SELECT qid, id, rank, {q6('d')} AS distance FROM r WHERE rank <= 10""")
 def sq8_distance_topk(spark, sf):
-    from pyspark.sql import Window
-
     v = _vectors(spark, sf).select("id", "embedding")
     p = quantize.scalar_params(v)
-    back = quantize.scalar_decode(quantize.scalar_encode(v, p), p).select("id", "decoded")
-    pairs = back.crossJoin(F.broadcast(_asked(spark, sf))).select("qid", "id", V.euclidean(F.col("decoded"), F.col("embedding"), squared=True).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")).cast("bigint")
-    return _round(pairs.withColumn("rank", rank).filter("rank <= 10"), "distance").select("qid", "id", "rank", "distance")
+    return _round(quantize.scalar_search(quantize.scalar_encode(v, p), _asked(spark, sf), p, 10), "distance")
 
 
 _PQ = """fv AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS code, embedding::DOUBLE[] AS e FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 16)), bk AS (SELECT m, code, e[m * 16 + 1 : m * 16 + 16] AS c FROM fv, range(0, 4) AS t(m)),
@@ -563,12 +602,8 @@ tb AS (SELECT qid, q.m, code, list_sum(list_transform(range(1, 17), lambda i: (s
 s AS (SELECT qid, id, sum(tb.d) AS d FROM en JOIN tb ON tb.m = en.m AND tb.code = en.code GROUP BY qid, id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM s)
 SELECT qid, id, rank, {q6('d')} AS distance FROM r WHERE rank <= 10""")
 def pq_adc_topk(spark, sf):
-    from pyspark.sql import Window
-
     v, book, codes = _pq(spark, sf)
-    d = quantize.adc_distances(codes, quantize.adc_table(_asked(spark, sf), book))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 9), "id")).cast("bigint")
-    return _round(d.withColumn("rank", rank).filter("rank <= 10"), "distance").select("qid", "id", "rank", "distance")
+    return _round(quantize.adc_search(codes, _asked(spark, sf), book, 10), "distance")
 
 
 @query()
@@ -657,6 +692,28 @@ def ann_recall(spark, sf):
     return hits.groupBy("index").agg((F.count_if(F.col("true_rank") == 1) / n).alias("recall_1"), (F.count(F.lit(1)) / (10.0 * n)).alias("recall_10"))
 
 
+@query(f"""WITH {_CELLS}, qq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
+pr AS (SELECT q.qid, q.e, x.cluster, row_number() OVER (PARTITION BY q.qid ORDER BY round({_dist("cosine")}, 12), x.cluster) AS r FROM qq AS q, cl AS x),
+s AS (SELECT q.qid, x.id, {_dist("cosine")} AS d FROM asg AS x JOIN pr AS q ON q.cluster = x.cluster AND q.r <= 4), ap AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), id) AS rank FROM s),
+t AS (SELECT q.qid, x.id, {_dist("cosine")} AS d FROM x, qq AS q), ex AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), id) AS rank FROM t)
+SELECT {q6('(count(*) FILTER (ex.rank = 1 AND ap.rank = 1))::DOUBLE / count(*) FILTER (ex.rank = 1)')} AS recall_1, {q6('count(ap.id)::DOUBLE / count(*)')} AS recall_k
+FROM ex LEFT JOIN (SELECT * FROM ap WHERE rank <= 10) ap USING (qid, id) WHERE ex.rank <= 10""")
+def recall_given_cells(spark, sf):
+    """Recall of the search in the four nearest of the ten given cells."""
+    a, cells = _assigned(spark, sf)
+    return _round(sweep.recall(ivf.search(a, _asked(spark, sf), cells, 10, 4), knn.batch_search(_vectors(spark, sf), _asked(spark, sf), 10)), "recall_1", "recall_k")
+
+
+@query(f"""WITH e AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) AS t(i))
+SELECT a.i - 1 AS i, b.i - 1 AS j, count(*) AS n, {q6('sum(a.x) / count(*)')} AS mean, {q6('sum(a.x * b.x) / count(*) - sum(a.x) / count(*) * (sum(b.x) / count(*))')} AS cov FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
+def pca_moments(spark, sf):
+    """What the projection is computed from: means and covariances of all coordinates."""
+    m = project.moments(_vectors(spark, sf), 64)
+    each = m.select("i", F.col("n").cast("bigint").alias("n"), (F.col("t") / F.col("n")).alias("mean"), F.posexplode(F.array(*[F.col(f"r{j}") for j in range(64)])).alias("j", "s"))
+    other = each.filter("i = j").select(F.col("i").alias("j"), F.col("mean").alias("_mean"))
+    return _round(each.withColumn("j", F.col("j").cast("bigint")).join(other, "j").select("i", "j", "n", "mean", (F.col("s") / F.col("n") - F.col("mean") * F.col("_mean")).alias("cov")), "mean", "cov")
+
+
 @query()
 def pca_projection(spark, sf):
     v = _vectors(spark, sf).withColumn("source", F.concat(F.lit("label "), F.col("label").cast("string")))
@@ -685,3 +742,43 @@ def delete_tombstone(spark, sf):
 @query(f"SELECT count(*) AS count, max(len(embedding))::BIGINT AS dim, {q6('count(*) * max(len(embedding)) * 4 / 1024::DOUBLE')} AS raw_kb FROM embeddings")
 def collection_statistics(spark, sf):
     return _round(collection_stats(_vectors(spark, sf)), "raw_kb")
+
+
+# ---------------------------------------------------------------- through the engine
+
+
+def _engine(spark, rows: DataFrame, dim: int, metric: str, index: str = "flat", **params) -> Engine:
+    """An engine over a new store of these rows, in the warehouse."""
+    e = Engine(Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/store-{uuid.uuid4().hex}").create(dim, metric, index, **params))
+    e.upsert(rows)
+    return e
+
+
+@query(_batch_sql("l2"))
+def engine_dense(spark, sf):
+    return _round(_engine(spark, _vectors(spark, sf), 64, "l2").dense(_asked(spark, sf), 10), "distance", "score")
+
+
+@query(_batch_sql("cosine", "label >= 2 AND label < 7"))
+def engine_cells_filtered(spark, sf):
+    """All of the trained cells are probed, so the result is exact; the filter is applied inside them."""
+    e = _engine(spark, _vectors(spark, sf), 64, "cosine", "ivf", nlist=8, nprobe=8)
+    return _round(e.dense(_asked(spark, sf), 10, {"label": {"$gte": 2, "$lt": 7}}), "distance", "score")
+
+
+@query(_bm25_sql(_EN) + f"SELECT qid, id, rank, {q6('raw')} AS raw, {q6('raw / best')} AS score FROM r WHERE rank <= 10")
+def engine_bm25(spark, sf):
+    rows = _docs(spark, sf).select("id", F.array(F.lit(1.0).cast("float")).alias("embedding"), "text", "lang")
+    return _round(_engine(spark, rows, 1, "l2").bm25(_questions(spark, sf), 10, {"lang": "en"}), "raw", "score")
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN label + 100 ELSE label END::INTEGER AS label FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 7 = 3")
+def engine_writes(spark, sf):
+    """Rows written, some written again, some deleted, compacted, and some of the deleted ones written once more."""
+    v = _vectors(spark, sf)
+    e = _engine(spark, v, 64, "cosine")
+    e.upsert(v.filter("id % 7 = 0").withColumn("label", (F.col("label") + 100).cast("int")))
+    e.delete(v.filter("id % 5 = 0").select("id"))
+    e.compact()
+    e.upsert(v.filter("id % 5 = 0 and id % 7 = 3"))
+    return e.rows().select("id", F.col("label").cast("int").alias("label"))
