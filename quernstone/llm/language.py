@@ -25,6 +25,8 @@ from .features import subwords, total
 from .words import NEW_WORDS, Rows, Split, WordTable, gather
 
 BLOCK = 64
+#: Bytes of text that are labelled at once; a word takes some 200 bytes meanwhile.
+SLICE = 1 << 19
 SIZES = (2, 3, 4)
 #: Words that a task remembers the scores of before it forgets all.
 WORDS = 500_000
@@ -110,7 +112,7 @@ def _through(score: np.ndarray, length: np.ndarray, step: np.ndarray) -> tuple[n
     return m, scale
 
 
-def chain(score: np.ndarray, n: np.ndarray, step: np.ndarray, start: np.ndarray, at_once: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def chain(score: np.ndarray, n: np.ndarray, step: np.ndarray, start: np.ndarray, at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Posteriors of the labels of all words: (first word, length, text, posteriors) of some blocks at a time.
 
     score: log-potentials of the words of all texts; n: words of each text.
@@ -291,7 +293,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         label = Labeller(sent.value)
-        for b in pieces(batches):
+        for b in pieces(batches, most=SLICE):
             names, share = label(raw(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(share)], names=["doc_id", "lang_pred", "score"])
 
@@ -311,7 +313,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
 
     def run(batches):
         label = Labeller(sent.value)
-        for part in pieces(batches, text_col):
+        for part in pieces(batches, text_col, SLICE):
             names, share = label(raw(part.column(at)))
             good = np.array([x != "und" for x in names], bool) & (share >= least)
             yield part.filter(pa.array(good))

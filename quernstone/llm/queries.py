@@ -23,7 +23,9 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.quality_rules(_table(spark, sf_dir, "documents"))
+    done = suffix.quality_rules(_table(spark, sf_dir, "documents"))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
+    return done.select(*columns, (F.col("longest_repeat") > 100).alias("long_repeat"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+def _covered(name: str, n: int) -> str:
+    """Words of each text in windows of n words that it holds twice or more."""
+    return f"""{name}w AS (SELECT id, t.i AS i, array_to_string(ws[t.i : t.i + {n - 1}], ' ') AS k FROM w, unnest(range(1, len(ws) - {n - 2})) AS t(i)),
+{name}k AS (SELECT id, k FROM {name}w GROUP BY id, k HAVING count(*) > 1),
+{name} AS (SELECT id, count(DISTINCT i + d.j) AS n FROM {name}w JOIN {name}k USING (id, k), range({n}) AS d(j) GROUP BY id)"""
+
+
+_OP3_SQL = rf"""
+WITH w AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+{_covered("three", 3)},
+{_covered("ten", 10)},
+{_covered("much", 101)},
+b AS (SELECT w.id, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(three.n, 0)::BIGINT AS n_repeat_words, coalesce(ten.n, 0)::BIGINT AS covered_words, much.n IS NOT NULL AS long_repeat
+      FROM w JOIN l USING (id) LEFT JOIN three USING (id) LEFT JOIN ten USING (id) LEFT JOIN much USING (id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT * EXCLUDE (id), NOT base_failed AND covered_words <= 0.3::DOUBLE * n_words AND NOT long_repeat AS kept FROM f
+"""
+
 _OP4_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, t.i AS i, array_to_string(ws[t.i : t.i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) AS t(i)),
@@ -99,4 +121,4 @@ FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": _OP4_SQL, "op9_decontamination": _OP9_SQL}
+    return {"op3_suffix_quality": _OP3_SQL, "op4_substring_dedup": _OP4_SQL, "op9_decontamination": _OP9_SQL}
