@@ -614,7 +614,10 @@ def pq_trained(spark, sf):
 
 
 # ---------------------------------------------------------------- inverted file
-# The given centroids are the means of the ten labels.
+# The given centroids are the means of the ten labels. These vectors are noise around a few centres, so their neighbours lie in many cells.
+
+#: Of 16 trained cells; the least number with a measured recall@10 of 0.9 and a margin (0.96 at sf0.01, 0.95 at sf0.1).
+PROBES = 12
 
 
 def _label_cells(spark, sf) -> DataFrame:
@@ -648,18 +651,18 @@ def ivf_cluster_stats(spark, sf):
 
 @query(f"""WITH {_CELLS}, qq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
 pr AS (SELECT q.qid, q.e, x.cluster, row_number() OVER (PARTITION BY q.qid ORDER BY round({_dist("cosine")}, 12), x.cluster) AS r FROM qq AS q, cl AS x),
-s AS (SELECT q.qid, x.id, x.cluster, {_dist("cosine")} AS d FROM asg AS x JOIN pr AS q ON q.cluster = x.cluster AND q.r <= 4), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), id) AS rank FROM s)
+s AS (SELECT q.qid, x.id, x.cluster, {_dist("cosine")} AS d FROM asg AS x JOIN pr AS q ON q.cluster = x.cluster AND q.r <= 8), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), id) AS rank FROM s)
 SELECT qid, id, rank, {q6('d')} AS distance, {q6(_score('cosine'))} AS score, cluster FROM r WHERE rank <= 10""")
 def ivf_search_nprobe(spark, sf):
     a, cells = _assigned(spark, sf)
-    return _round(ivf.search(a, _asked(spark, sf), cells, 10, 4), "distance", "score")
+    return _round(ivf.search(a, _asked(spark, sf), cells, 10, 8), "distance", "score")
 
 
 @query()
 def ivf_trained_search(spark, sf):
     v = _vectors(spark, sf)
     cells = ivf.train(v, 16, steps=10)
-    return ivf.search(ivf.assign(v, cells), _asked(spark, sf), cells, 10, 4)
+    return ivf.search(ivf.assign(v, cells), _asked(spark, sf), cells, 10, PROBES)
 
 
 # ---------------------------------------------------------------- graphs, recall, projection
@@ -686,7 +689,7 @@ def ann_recall(spark, sf):
     v, q = _vectors(spark, sf), _asked(spark, sf)
     exact = knn.batch_search(v, q, 10).select("qid", "id", F.col("rank").alias("true_rank"))
     cells = ivf.train(v, 16, steps=10)
-    found = hnsw.search(hnsw.build(v, seed=7), q, 10).select("qid", "id", F.lit("hnsw").alias("index")).unionByName(ivf.search(ivf.assign(v, cells), q, cells, 10, 8).select("qid", "id", F.lit("ivf").alias("index")))
+    found = hnsw.search(hnsw.build(v, seed=7), q, 10).select("qid", "id", F.lit("hnsw").alias("index")).unionByName(ivf.search(ivf.assign(v, cells), q, cells, 10, PROBES).select("qid", "id", F.lit("ivf").alias("index")))
     hits = exact.join(found, ["qid", "id"])
     n = q.count()
     return hits.groupBy("index").agg((F.count_if(F.col("true_rank") == 1) / n).alias("recall_1"), (F.count(F.lit(1)) / (10.0 * n)).alias("recall_10"))
@@ -694,14 +697,14 @@ def ann_recall(spark, sf):
 
 @query(f"""WITH {_CELLS}, qq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
 pr AS (SELECT q.qid, q.e, x.cluster, row_number() OVER (PARTITION BY q.qid ORDER BY round({_dist("cosine")}, 12), x.cluster) AS r FROM qq AS q, cl AS x),
-s AS (SELECT q.qid, x.id, {_dist("cosine")} AS d FROM asg AS x JOIN pr AS q ON q.cluster = x.cluster AND q.r <= 4), ap AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), id) AS rank FROM s),
+s AS (SELECT q.qid, x.id, {_dist("cosine")} AS d FROM asg AS x JOIN pr AS q ON q.cluster = x.cluster AND q.r <= 8), ap AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), id) AS rank FROM s),
 t AS (SELECT q.qid, x.id, {_dist("cosine")} AS d FROM x, qq AS q), ex AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), id) AS rank FROM t)
 SELECT {q6('(count(*) FILTER (ex.rank = 1 AND ap.rank = 1))::DOUBLE / count(*) FILTER (ex.rank = 1)')} AS recall_1, {q6('count(ap.id)::DOUBLE / count(*)')} AS recall_k
 FROM ex LEFT JOIN (SELECT * FROM ap WHERE rank <= 10) ap USING (qid, id) WHERE ex.rank <= 10""")
 def recall_given_cells(spark, sf):
-    """Recall of the search in the four nearest of the ten given cells."""
+    """Recall of the search in the eight nearest of the ten given cells."""
     a, cells = _assigned(spark, sf)
-    return _round(sweep.recall(ivf.search(a, _asked(spark, sf), cells, 10, 4), knn.batch_search(_vectors(spark, sf), _asked(spark, sf), 10)), "recall_1", "recall_k")
+    return _round(sweep.recall(ivf.search(a, _asked(spark, sf), cells, 10, 8), knn.batch_search(_vectors(spark, sf), _asked(spark, sf), 10)), "recall_1", "recall_k")
 
 
 @query(f"""WITH e AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) AS t(i))
