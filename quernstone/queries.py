@@ -146,6 +146,13 @@ def distance_scores(spark, sf):
     return _vectors(spark, sf).select("id", *[r6(d[m]).alias(m) for m in V.METRICS], *[r6(V.score(d[m], m)).alias(f"{m}_score") for m in V.METRICS])
 
 
+@query(f"""WITH x AS ({_E}), q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT x.id, {q6("greatest(0::DOUBLE, " + _dist("cosine") + ")")} AS distance FROM x, q""")
+def cosine_clipped(spark, sf):
+    """As graph search has it: never below 0."""
+    q = F.array(*[F.lit(x) for x in _one(spark, sf)])
+    return _vectors(spark, sf).select("id", r6(V.cosine_distance(F.col("embedding"), q, clipped=True)).alias("distance"))
+
+
 @query(f"""WITH x AS ({_E}), n AS (SELECT id, e, greatest(sqrt(list_dot_product(e, e)), 1e-10::DOUBLE) AS n FROM x)
 SELECT id, (t.j - 1)::INTEGER AS j, {q6("e[t.j] / n")} AS value FROM n, unnest(range(1, len(e) + 1)) AS t(j)""")
 def normalize_vectors(spark, sf):
@@ -264,12 +271,16 @@ def content_hash_ids(spark, sf):
     return c.select("doc_id", "chunk_index", X.content_id(F.col("doc_id"), "fixed", 500, 100, F.col("text")).alias("id"))
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_SENT.format(t='text')} AS s FROM documents),
+def _sentence_sql(most: int) -> str:
+    """The chunks are w, with their sentences in l."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {_SENT.format(t='text')} AS s FROM documents),
 l AS (SELECT doc_id, s, list_transform(s, lambda x: length(x) + 1) AS n FROM d WHERE len(s) > 0),
 ends AS (SELECT doc_id, i.i AS i, max(j.j) AS j FROM (SELECT doc_id, n, len(n) AS m FROM l), unnest(range(1, m + 1)) AS i(i), unnest(range(i.i, least(m, i.i + 300) + 1)) AS j(j)
-         WHERE j.j = i.i OR list_sum(n[i.i : j.j]) <= 600 GROUP BY doc_id, i.i),
-w AS (SELECT doc_id, i, j FROM ends WHERE i = 1 UNION ALL SELECT w.doc_id, e.i, e.j FROM w JOIN ends e ON e.doc_id = w.doc_id AND e.i = greatest(w.j, w.i + 1) JOIN l ON l.doc_id = w.doc_id WHERE w.j < len(l.s))
-SELECT w.doc_id, (row_number() OVER (PARTITION BY w.doc_id ORDER BY w.i) - 1)::INTEGER AS chunk_index, array_to_string(s[w.i : w.j], ' ') AS text, (w.j - w.i + 1)::INTEGER AS sentence_count FROM w JOIN l USING (doc_id)""")
+         WHERE j.j = i.i OR list_sum(n[i.i : j.j]) <= {most} GROUP BY doc_id, i.i),
+w AS (SELECT doc_id, i, j FROM ends WHERE i = 1 UNION ALL SELECT w.doc_id, e.i, e.j FROM w JOIN ends e ON e.doc_id = w.doc_id AND e.i = greatest(w.j, w.i + 1) JOIN l ON l.doc_id = w.doc_id WHERE w.j < len(l.s))"""
+
+
+@query(_sentence_sql(600) + " SELECT w.doc_id, (row_number() OVER (PARTITION BY w.doc_id ORDER BY w.i) - 1)::INTEGER AS chunk_index, array_to_string(s[w.i : w.j], ' ') AS text, (w.j - w.i + 1)::INTEGER AS sentence_count FROM w JOIN l USING (doc_id)")
 def chunk_sentence(spark, sf):
     return chunk.by_sentence(_texts(spark, sf)).select("doc_id", "chunk_index", "text", "sentence_count")
 
@@ -279,30 +290,39 @@ def chunk_semantic(spark, sf):
     return chunk.semantic(_texts(spark, sf), embed.bag_of_words).select("doc_id", "chunk_index", "text", "shift_score")
 
 
-@query()
-def chunk_compare(spark, sf):
-    return chunk.compare(_texts(spark, sf), embed.bag_of_words)
-
-
 def by_length(texts: list[str]) -> np.ndarray:
     """A model that SQL can follow: one of five directions, by the length of the text."""
     return np.eye(5)[[len(t) % 5 for t in texts]]
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_SENT.format(t='text')} AS s FROM documents), l AS (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS n, len(s) AS m FROM d WHERE len(s) > 0),
+def _semantic_sql(most: int) -> str:
+    """The chunks are o, with their sentences."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {_SENT.format(t='text')} AS s FROM documents), l AS (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS n, len(s) AS m FROM d WHERE len(s) > 0),
 g AS (SELECT doc_id, i.i AS i, CASE WHEN n[i.i] % 5 = n[i.i - 1] % 5 THEN 0::DOUBLE ELSE 1::DOUBLE END AS gap FROM l, unnest(range(2, m + 1)) AS i(i)),
 p AS (SELECT doc_id, quantile_cont(gap, 0.8) AS top FROM g GROUP BY doc_id),
 w AS (SELECT doc_id, s, n, m, 1::BIGINT AS i, 1::BIGINT AS a, n[1] AS total, false AS cut, 0::BIGINT AS f, NULL::DOUBLE AS at_cut FROM l
   UNION ALL SELECT w.doc_id, s, n, m, w.i + 1, CASE WHEN c THEN w.i + 1 ELSE a END, CASE WHEN c THEN n[w.i + 1] ELSE total + n[w.i + 1] + 1 END, c, a, gap
-  FROM (SELECT w.*, g.gap, (g.gap > p.top AND total >= 100) OR total + n[w.i + 1] > 800 AS c FROM w JOIN g ON g.doc_id = w.doc_id AND g.i = w.i + 1 JOIN p ON p.doc_id = w.doc_id WHERE w.i < m) AS w),
-o AS (SELECT doc_id, f AS a, i - 1 AS b, at_cut, s FROM w WHERE cut UNION ALL SELECT doc_id, a, m, NULL, s FROM w WHERE i = m)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INTEGER AS chunk_index, array_to_string(s[a : b], ' ') AS text, {q6('at_cut')} AS shift_score FROM o""")
+  FROM (SELECT w.*, g.gap, (g.gap > p.top AND total >= 100) OR total + n[w.i + 1] > {most} AS c FROM w JOIN g ON g.doc_id = w.doc_id AND g.i = w.i + 1 JOIN p ON p.doc_id = w.doc_id WHERE w.i < m) AS w),
+o AS (SELECT doc_id, f AS a, i - 1 AS b, at_cut, s FROM w WHERE cut UNION ALL SELECT doc_id, a, m, NULL, s FROM w WHERE i = m)"""
+
+
+@query(_semantic_sql(800) + f" SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INTEGER AS chunk_index, array_to_string(s[a : b], ' ') AS text, {q6('at_cut')} AS shift_score FROM o")
 def chunk_semantic_given(spark, sf):
     """Semantic chunks under a given model. A text without a sentence has no chunk."""
     some = _texts(spark, sf).filter(F.size(X.sentences(F.col("text"))) > 0)
     return _round(chunk.semantic(some, by_length).select("doc_id", "chunk_index", "text", "shift_score"), "shift_score")
 
 
+_STATS = f"count(*) AS count, {q6('avg(length(text))')} AS avg_length, min(length(text))::INTEGER AS min_length, max(length(text))::INTEGER AS max_length, {q6('stddev_pop(length(text))')} AS std_length"
+
+
+@query(f"""SELECT 'fixed' AS strategy, {_STATS} FROM ({_fixed_sql(400, 80)} SELECT text FROM f)
+UNION ALL SELECT 'sentence' AS strategy, {_STATS} FROM ({_sentence_sql(450)} SELECT array_to_string(s[w.i : w.j], ' ') AS text FROM w JOIN l USING (doc_id))
+UNION ALL SELECT 'semantic' AS strategy, {_STATS} FROM ({_semantic_sql(500)} SELECT array_to_string(s[a : b], ' ') AS text FROM o)""")
+def chunk_compare(spark, sf):
+    return _round(chunk.compare(_texts(spark, sf), by_length), "avg_length", "std_length")
+
+
 @query()
 def embed_stand_in(spark, sf):
     """Whole documents; the vectors as digests of their coordinates to four places."""
@@ -785,3 +805,35 @@ def engine_writes(spark, sf):
     e.compact()
     e.upsert(v.filter("id % 5 = 0 and id % 7 = 3"))
     return e.rows().select("id", F.col("label").cast("int").alias("label"))
+
+
+@query(f"SELECT 'flat' AS index, 'l2' AS metric, count(*) AS count, max(len(embedding))::BIGINT AS dim, {q6('count(*) * max(len(embedding)) * 4 / 1024::DOUBLE')} AS raw_kb, 0::BIGINT AS cached FROM embeddings")
+def engine_status(spark, sf):
+    s = _engine(spark, _vectors(spark, sf), 64, "l2").stats()
+    row = (s["index"], s["metric"], s["count"], s["dim"], s["raw_kb"], s["cache"]["entries"])
+    return _round(spark.createDataFrame([row], "index string, metric string, count bigint, dim bigint, raw_kb double, cached bigint"), "raw_kb")
+
+
+@query(SQL["sq8_error"])
+def engine_quantize(spark, sf):
+    return _engine(spark, _vectors(spark, sf), 64, "l2").quantize("scalar").withColumn("mse", r6(F.col("mse"), 12))
+
+
+@query(_batch_sql("cosine", k=5))
+def engine_switch_index(spark, sf):
+    """From a flat collection to cells, all of which are probed."""
+    e = _engine(spark, _vectors(spark, sf), 64, "cosine")
+    e.switch_index("ivf", nlist=5, nprobe=5)
+    return _round(e.dense(_asked(spark, sf), 5), "distance", "score")
+
+
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en' AND text IS NOT NULL AND length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 0 AND NOT contains(text, '&'))
+SELECT DISTINCT substr(sha256(doc_id || ':fixed:10000:0:' || t), 1, 16) AS id, doc_id::VARCHAR AS source FROM t WHERE length(t) <= 10000""")
+def engine_ingest(spark, sf):
+    """Documents cut, embedded and written; those of one chunk, so that SQL can follow. White space is put in order beforehand."""
+    one = F.trim(F.regexp_replace("text", r"\s+", " "))
+    docs = _t(spark, sf, "documents").filter("lang = 'en'").select("doc_id", one.alias("text")).filter(F.length("text").between(1, 10000) & ~F.col("text").contains("&"))
+    e = _engine(spark, _vectors(spark, sf).limit(0).select(F.col("id").cast("string").alias("id"), "embedding"), 64, "cosine")
+    e.model = embed.bag_of_words
+    e.ingest(docs, "fixed", 10_000, 0)
+    return e.rows().select("id", "source")
