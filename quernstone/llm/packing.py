@@ -59,8 +59,9 @@ def pack(lengths: DataFrame, longest: int = 2048, buckets: int = 8, budget: int
     """One row for each piece of each document: doc_id, piece, n_tokens, bucket (length that it is padded to), batch_id, slot.
 
     lengths: doc_id, n_tokens. A batch holds up to max(1, budget // bucket) pieces of one bucket, ordered by doc_id and
-    piece; every batch of a bucket but its last is full. Documents of no tokens have no piece. An empty table gives an
-    empty one. Row numbers come from the sizes of sorted ranges, so no bucket meets in one task however full it is.
+    piece; every batch of a bucket but its last is full. Documents of no tokens, or of null, have no piece. Rows that repeat a
+    doc_id have pieces each, ordered by their tokens; a null doc_id comes first. Of equally good boundaries the first are
+    taken. An empty table gives an empty one; other columns are ignored whatever their names. Row numbers come from the sizes of sorted ranges, so no bucket meets in one task however full it is.
     """
     spark = lengths.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -72,7 +73,7 @@ def pack(lengths: DataFrame, longest: int = 2048, buckets: int = 8, budget: int
     bucket = F.lit(None).cast("bigint")
     for b in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b).cast("bigint")).otherwise(bucket)
-    sorted_ = rows.withColumn("bucket", bucket).repartitionByRange(parts, "bucket", "doc_id", "piece").sortWithinPartitions("bucket", "doc_id", "piece")
+    sorted_ = rows.withColumn("bucket", bucket).repartitionByRange(parts, "bucket", "doc_id", "piece", "n_tokens").sortWithinPartitions("bucket", "doc_id", "piece", "n_tokens")
     placed = cut(sorted_.withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     sizes = placed.groupBy("bucket", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).orderBy("bucket", "part").collect()  # parts + buckets rows at most

@@ -84,7 +84,9 @@ def quality_rules(docs: DataFrame, min_words: int = 50, min_repeat: int = 10, ma
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     covered_words, longest_repeat, kept.
 
-    A null or empty text has no words and fails the base rules. One row out for each row in, whatever repeats.
+    A null or empty text has no words and fails the base rules. One row out for each row in, whatever repeats; a null doc_id stays
+    null, an empty table gives an empty one, other columns are ignored whatever their names. A very long text is an array of its own,
+    in time n log n, however often its words repeat.
     """
 
     def run(batches):
