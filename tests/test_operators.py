@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as X
 from quernstone.functions import vectors as V
 from quernstone.operators import bm25, chunk, embed, fusion, hnsw, ivf, kmeans, knn, metrics, project, quantize, rag, rerank
-from quernstone.sources import files
+from quernstone.sources import files, synthetic
 
 
 def vectors(spark, x, extra="", rows=()):
@@ -204,3 +204,40 @@ def test_files(spark, tmp_path):
     assert files.from_text(spark, "hi", "s", {"title": "T"}).first().title == "T"
     with pytest.raises(RuntimeError, match="pypdf"):
         files.load_pdf(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("how", [{}, {"select": "nearest"}, {"extend": True}, {"refill": False}])
+def test_graph_switches(spark, how):
+    x = np.random.default_rng(9).normal(size=(150, 16))
+    v = vectors(spark, x)
+    g = hnsw.build(v, metric="l2", m=8, m0=16, ef_build=48, seed=3, **how).cache()
+    assert g.select(F.max(F.size(F.element_at("links", 1)))).first()[0] <= 16
+    q = v.filter("id % 10 = 0").select(F.col("id").alias("qid"), "embedding")
+    exact = {(r.qid, r.id) for r in knn.batch_search(v, q, 10, "l2").collect()}
+    found = {(r.qid, r.id) for r in hnsw.search(g, q, 10, 64, "l2").collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    assert {tuple(r) for r in hnsw.edges(hnsw.build(v, metric="l2", m=8, m0=16, ef_build=48, seed=3, **how)).collect()} == {tuple(r) for r in hnsw.edges(g).collect()}
+
+
+def test_unknown_selection():
+    with pytest.raises(ValueError, match="unknown selection"):
+        hnsw.Graph(dim=2, select="farthest")
+
+
+def test_made_up_vectors(spark):
+    a = {r.id: tuple(r.embedding) for r in synthetic.clustered(spark, 50, 4, seed=1).collect()}
+    b = {r.id: tuple(r.embedding) for r in synthetic.clustered(spark, 50, 4, seed=1).repartition(7).filter("id < 50").collect()}
+    assert a == b and len(set(a.values())) == 50
+    later = synthetic.clustered(spark, 50, 4, seed=1, first=50).first()
+    assert later.id >= 50 and min(np.linalg.norm(np.array(later.embedding) - np.array(x)) for x in a.values()) < 2
+
+
+def test_batch_search_of_text_ids(spark):
+    """Ids of text, ties among them, and more queries than a block has."""
+    v = spark.createDataFrame([(f"é{i:03d}" if i % 2 else f"z{i:03d}", [float(i % 5), 1.0]) for i in range(40)], "id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(j, [float(j % 5), 1.0]) for j in range(1100)], "qid int, embedding array<float>")
+    got = {}
+    for r in knn.batch_search(v, q, 3, "l2").collect():
+        got.setdefault(r.qid, []).append((r.rank, r.id))
+    ids = {c: sorted(f"é{i:03d}" if i % 2 else f"z{i:03d}" for i in range(40) if i % 5 == c)[:3] for c in range(5)}
+    assert len(got) == 1100 and all([i for _, i in sorted(x)] == ids[j % 5] for j, x in got.items())
