@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -257,13 +256,33 @@ def leaf_blocks(html: str, weight: dict[str, float] | None = None) -> list[Block
     return out
 
 
-_CUES = re.compile(
-    r"(?P<rights>©|\(c\)|copyright|all rights reserved|tous droits|alle rechte|derechos reservados)|(?P<cookie>cookie|gdpr|consent|privacy|datenschutz|confidentialité|privacidad)"
-    r"|(?P<share>\bshare\b|tweet|facebook|twitter|follow us|teilen|partager|compartir)|(?P<mail>subscri|newsletter|sign up|sign in|log ?in|abonn|suscr|register)"
-    r"|(?P<more>read more|related|see also|most read|popular|recommended|you may|weiterlesen|lire aussi|leer más)|(?P<ad>advert|sponsor|promo|anzeige|publicit|publicidad|buy now)"
-    r"|(?P<reply>\breply\b|\bcomments?\b|antwort|répondre|responder|kommentar|commentaire|comentario)|(?P<date>\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{4}-\d\d-\d\d\b)",
-    re.I,
-)
+#: What notices, adverts and the like say, by kind. A word between bars stands alone.
+_CUES = {
+    "rights": "©;(c);copyright;all rights reserved;tous droits;alle rechte;derechos reservados",
+    "cookie": "cookie;gdpr;consent;privacy;datenschutz;confidentialité;privacidad",
+    "share": "|share|;tweet;facebook;twitter;follow us;teilen;partager;compartir",
+    "mail": "subscri;newsletter;sign up;sign in;log in;login;abonn;suscr;register",
+    "more": "read more;related;see also;most read;popular;recommended;you may;weiterlesen;lire aussi;leer más",
+    "ad": "advert;sponsor;promo;anzeige;publicit;publicidad;buy now",
+    "reply": "|reply|;|comment|;|comments|;antwort;répondre;responder;kommentar;commentaire;comentario",
+}
+_DATE = re.compile(r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{4}-\d\d-\d\d\b")
+#: Of each kind the texts one of which must be there, and the pattern that is counted then.
+_CUE_TESTS = [(k, [x.strip("|") for x in c.split(";")], re.compile("|".join(re.escape(x.strip("|")).join((r"\b", r"\b") if x[0] == "|" else ("", "")) for x in c.split(";")))) for k, c in _CUES.items()]
+
+
+def cues(text: str) -> dict[str, int]:
+    """How often cues of each kind stand in the text."""
+    low, out = text.lower(), {}
+    for kind, literals, pattern in _CUE_TESTS:
+        for x in literals:
+            if x in low:
+                if k := len(pattern.findall(low)):
+                    out[kind] = k
+                break
+    if k := len(_DATE.findall(low)):
+        out["date"] = k
+    return out
 
 
 def text_features(b: Block, i: int, n: int) -> list[str]:
@@ -276,11 +295,11 @@ def text_features(b: Block, i: int, n: int) -> list[str]:
         out.append("first")
     if i == n - 1:
         out.append("last")
-    cues = Counter(m.lastgroup for m in _CUES.finditer(t))
-    for cue, k in cues.items():
+    found = cues(t)
+    for cue, k in found.items():
         out += (f"cue-{cue}", f"cue-{cue}-{min(4, (64 * k // words).bit_length() // 2)}")
-    if cues:
-        out.append(f"cues{min(4, (64 * cues.total() // words).bit_length() // 2)}")
+    if found:
+        out.append(f"cues{min(4, (64 * sum(found.values()) // words).bit_length() // 2)}")
     return out
 
 
