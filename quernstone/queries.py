@@ -837,3 +837,26 @@ def engine_ingest(spark, sf):
     e.model = embed.bag_of_words
     e.ingest(docs, "fixed", 10_000, 0)
     return e.rows().select("id", "source")
+
+
+_BOTH = "WITH ed AS (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), " + _hybrid_sql(_RRF).replace(f"x AS ({_E})", f"x AS ({_E} WHERE vec_id IN (SELECT doc_id FROM ed))").replace("documents", "ed").removeprefix("WITH ")
+
+
+@query(_BOTH + _FUSED)
+def engine_hybrid(spark, sf):
+    """Over the documents that have a vector."""
+    v = _vectors(spark, sf).select("id", "embedding")
+    e = _engine(spark, v.join(_docs(spark, sf).select("id", "text", "source"), "id"), 64, "cosine")
+    asked = _questions(spark, sf).join(v.withColumnRenamed("id", "qid"), "qid")
+    columns = ("qid", "id", "rank", "score", "dense_rank", "sparse_rank", "dense_score", "sparse_score")
+    return _round(e.hybrid(asked, 10).select(*columns), "score", "dense_score", "sparse_score")
+
+
+@query(f"SELECT vec_id AS id, label, {q6('CASE WHEN vec_id % 3 = 0 THEN embedding[64] ELSE embedding[1] END::DOUBLE')} AS first, {q6('list_sum(embedding::DOUBLE[])')} AS total FROM embeddings")
+def engine_replaced_vectors(spark, sf):
+    """Every third vector is replaced by its own coordinates in reverse; what else a row has stays."""
+    v = _vectors(spark, sf)
+    e = _engine(spark, v, 64, "cosine")
+    e.store.replace_vectors(v.filter("id % 3 = 0").select("id", F.reverse("embedding").alias("embedding")))
+    total = F.aggregate(V.as_double(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
+    return e.rows().select("id", "label", r6(F.element_at("embedding", 1).cast("double")).alias("first"), r6(total).alias("total"))
