@@ -75,7 +75,11 @@ class Store:
     def _read(self, version: int) -> dict | None:
         if version < 0:
             return None
-        return json.loads(self.spark.read.text(f"{self.folder}/manifest/{version:09d}.json", wholetext=True).first()[0])
+        stream = self._fs.open(self._path(f"{self.folder}/manifest/{version:09d}.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _commit(self, change, attempts: int = 20) -> dict:
         """Writes change(manifest) under the next number. A rename that does not overwrite decides between writers: who comes second
