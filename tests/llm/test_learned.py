@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quernstone.llm import html, html_pages, language, pii, quality_model
 from quernstone.llm import queries as Q
 
@@ -152,17 +151,3 @@ def test_feistel_is_a_permutation(spark):
 def test_only_builtin_expressions(spark, data):
     plan = pii.pseudonymise(spark.read.parquet(f"{data}/documents.parquet"), "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|MapPartitions|Exchange", plan)
-
-
-def test_pipeline(spark, data, tmp_path, docs, texts):
-    docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "en").alias("lang"), "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, texts[9][:120])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, rows = rows, stage(spark, rows, str(tmp_path)).cache()
-        assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        assert rows.count() <= before.count()
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in packed}
-    assert 3 in ids and not ids & {20, 21, 40, 41, 42, 54}
-    assert ids == {r.doc_id for r in rows.collect()}
