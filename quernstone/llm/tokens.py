@@ -25,6 +25,7 @@ from .words import Rows, Split, WordTable, gather
 
 MEMO_PIECES = 600_000
 END_ID = 2
+FILE_BYTES = 128 << 20
 #: Bytes that end a piece: all ASCII white space, NUL (which joins nothing) and the separators U+001C to U+001F.
 _ODD_SPACE = np.zeros(256, bool)
 _ODD_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -186,12 +187,15 @@ def write_tokens(docs: DataFrame, folder: str | None = None, length: int = 2048,
     Rows are dealt out by ranges of doc_id; rows of one doc_id are ordered by their text and stay in one file. A task
     writes under a name of its own and only the names of tasks that ended well are listed, so tasks that are lost or run
     twice leave nothing that is read. A null doc_id counts as the smallest. An empty table gives an empty list.
-    folder: any URI that pyarrow.fs and all executors can reach; a new one in the shared folder if not given.
+    folder: any URI that pyarrow.fs and all executors can reach; a new one in the shared folder if not given. files: one for every
+    ``FILE_BYTES`` of text if not given, or as many as there are cores if they have a MB each.
     """
     spark = docs.sparkSession
     docs = docs_of(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     folder = folder or f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not files:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(1, -(-size // FILE_BYTES), min(spark.sparkContext.defaultParallelism, size >> 20))
 
     def run(batches):
         from pyspark import TaskContext
@@ -263,7 +267,7 @@ class TokenFile:
 
 def read_tokens(listed: DataFrame) -> DataFrame:
     """Per document of the listed files: doc_id, start (ids in all documents before it), n_tokens, ids_crc32."""
-    files = listed.select("file", "start").repartition(max(1, listed.count()), "file")
+    files = listed.select("file", "start").repartitionByRange(max(1, listed.count()), "start")  # one for each task
 
     def run(batches):
         for b in batches:
