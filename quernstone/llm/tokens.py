@@ -25,7 +25,7 @@ from .words import Rows, Split, WordTable, gather
 
 MEMO_PIECES = 600_000
 END_ID = 2
-FILE_BYTES = 128 << 20
+FILE_BYTES = 32 << 20
 #: Bytes that end a piece: all ASCII white space, NUL (which joins nothing) and the separators U+001C to U+001F.
 _ODD_SPACE = np.zeros(256, bool)
 _ODD_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
