@@ -96,7 +96,17 @@ def test_quantizers(spark):
     book = quantize.product_train(v, 4, 16, 5).cache()
     codes = quantize.product_encode(v, book).cache()
     q = v.filter("id < 2").select(F.col("id").alias("qid"), "embedding")
-    adc = {(r.qid, r.id): r.distance for r in quantize.adc_distances(codes, quantize.adc_table(q, book)).collect()}
+    adc = {(r.qid, r.id): r.distance for r in quantize.adc_search(codes, q, book, 200).collect()}
+    assert len(adc) == 400 == quantize.adc_search(codes, q, book, 200, most_bytes=1).count()
+    tables, code = {r.qid: r.table for r in quantize.adc_table(q, book).collect()}, {r.id: r.code for r in codes.collect()}
+    assert all(d == pytest.approx(sum(tables[a][m][c] for m, c in enumerate(code[b])), abs=1e-6) for (a, b), d in adc.items())
+    p = quantize.scalar_params(v)
+    encoded = quantize.scalar_encode(v, p)
+    near = {(r.qid, r.id): r.distance for r in quantize.scalar_search(encoded, q, p, 5).collect()}
+    exact = quantize.scalar_decode(encoded, p).select("id", "decoded").crossJoin(q).select("qid", "id", V.euclidean(F.col("decoded"), F.col("embedding"), squared=True).alias("d")).collect()
+    for a in (0, 1):
+        best = sorted((r.d, r.id) for r in exact if r.qid == a)[:5]
+        assert [near[a, i] for _, i in best] == pytest.approx([d for d, _ in best], abs=1e-6)
     back = quantize.product_decode(codes, book).select("id", "decoded").crossJoin(q)
     for r in back.select("qid", "id", V.euclidean(F.col("decoded"), F.col("embedding"), squared=True).alias("d")).collect():
         assert adc[r.qid, r.id] == pytest.approx(r.d, abs=1e-6)
