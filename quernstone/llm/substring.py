@@ -131,14 +131,15 @@ def twice(slices: DataFrame, size: int, gram: int, log_width: int) -> DataFrame:
             new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])))
             again = np.concatenate(([False], (cell[1:] == cell[:-1]) & (part[1:] == part[:-1]) & (text[1:] != text[:-1])))
             first = np.flatnonzero(new)
-            yield _batch(["cell", "slice", "n"], cell[first], part[first], 1 + (np.add.reduceat(again, first) > 0))
+            yield _batch(["cell", "slice_n"], cell[first], 2 * part[first] + (np.add.reduceat(again, first) > 0))
 
     def merge(batches):
         last, seen, pending = -1, 0, None  # the cell that the previous batch ended in, its count, and its slice if that is one
         for b in batches:
-            cell, part, n = (c.to_numpy() for c in b.columns)
+            cell, part = (c.to_numpy() for c in b.columns)
             if not len(cell):
                 continue
+            part, n = part >> 1, 1 + (part & 1)
             first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             total = np.add.reduceat(n, first)
             out_part, out_cell = [], []
@@ -156,8 +157,8 @@ def twice(slices: DataFrame, size: int, gram: int, log_width: int) -> DataFrame:
             yield _batch(["slice", "cell"], np.concatenate(out_part), np.concatenate(out_cell))
 
     # All columns go in, so that the exchange is the one that the other passes use.
-    counts = slices.mapInArrow(count, "cell bigint, slice bigint, n bigint")
-    return counts.repartition("cell").sortWithinPartitions("cell", "slice").mapInArrow(merge, "slice bigint, cell bigint")
+    counts = slices.mapInArrow(count, "cell bigint, slice_n bigint")  # the count less one is the lowest bit
+    return counts.repartition("cell").sortWithinPartitions("cell", "slice_n").mapInArrow(merge, "slice bigint, cell bigint")
 
 
 def repeated_windows(slices: DataFrame, size: int, gram: int, log_width: int) -> DataFrame:
