@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
 
 import pandas as pd
@@ -15,9 +16,13 @@ WORD = r"[\p{L}\p{N}_]+"
 SENTENCE_GAP = r"""(?<=[.?!])\s+(?=[A-Z0-9"'(\[])"""
 
 
+#: Leading zeros of numeric references, and numbers beyond all characters: unescape() fails at more digits than Python makes numbers of.
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?+")
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unescape(x) if x is not None else None)
+    return s.map(lambda x: unescape(_HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", x)) if "&#" in x else x) if x is not None else None)
 
 
 def strip(t: Column) -> Column:

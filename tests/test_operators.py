@@ -251,3 +251,9 @@ def test_batch_search_of_text_ids(spark):
         got.setdefault(r.qid, []).append((r.rank, r.id))
     ids = {c: sorted(f"é{i:03d}" if i % 2 else f"z{i:03d}" for i in range(40) if i % 5 == c)[:3] for c in range(5)}
     assert len(got) == 1100 and all([i for _, i in sorted(x)] == ids[j % 5] for j, x in got.items())
+
+
+def test_clean_of_odd_references(spark):
+    texts = ["a &amp; b &#65;&#x42;", "&#" + "9" * 5000 + "; x", "&#" + "0" * 5000 + "65; y", "&#x" + "f" * 9 + ";", "&nosuch; &", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(1).orderBy("i").select(X.clean(F.col("text"))).collect()]
+    assert got == ["a & b AB", "\ufffd x", "A y", "\ufffd", "&nosuch; &", ""]
