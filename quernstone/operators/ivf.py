@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..plans.filters import compile_filter
-from . import kmeans
+from . import kmeans, knn
 
 #: Cells are a parameter of the index and never grow with the data, so the centroid side of a join is bounded.
 MAX_CELLS = 65_536
-#: Queries whose probes may be broadcast: some 16 MB of them at four probes of 64 dimensions.
-MAX_QUERIES = 8_192
 
 
 def train(vectors: DataFrame, nlist: int = 16, metric: str = "cosine", steps: int = 25, seed: int = 42) -> DataFrame:
@@ -45,20 +44,41 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int = 4, metric: st
 
 
 def search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 4, metric: str = "cosine", query_filter: dict | None = None) -> DataFrame:
-    """qid, id, rank, distance, score, cluster. Of rows stored in folders by cluster only those of the probed cells are read: the probes
-    are few, so they are sent to the scan, and Spark prunes it while the query runs.
+    """qid, id, rank, distance, score, cluster. Queries go to the scan in passes, as in exact search; of a slice of rows, those of a cell
+    meet the queries that probe it, as two matrices. Of rows stored in folders by cluster only those of probed cells are read.
 
     The filter works inside the probed cells, so fewer than k rows may come back though more match elsewhere.
     """
     c = compile_filter(query_filter, assigned.schema)
     rows = (assigned if c is None else assigned.filter(c)).select("id", "embedding", "cluster")
-    asked = probes(queries, centroids, nprobe, metric)
-    # Each probe carries its query's vector.
-    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
-    pairs = rows.join(F.broadcast(asked) if few else asked, "cluster")
-    scored = pairs.select("qid", "id", "cluster", V.distance(F.col("embedding"), F.col("q"), metric).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "id", "rank", "distance", V.score(F.col("distance"), metric).alias("score"), "cluster")
+    cells = centroids.orderBy("cluster").collect()  # at most MAX_CELLS, a parameter of the index
+    numbers, places = np.array([r.cluster for r in cells], np.int64), np.array([r.centroid for r in cells], np.float64)
+    few, probed = min(max(1, nprobe), len(cells)), set()
+
+    def groups():
+        for qids, q in knn.passes(queries):
+            asks: dict[int, list[int]] = {}
+            for a in range(0, len(qids), knn.QUERY_BLOCK):
+                near = np.argsort(np.round(knn.distances(q[a : a + knn.QUERY_BLOCK], places, metric), 12), axis=1, kind="stable")[:, :few]
+                for i, own in enumerate(numbers[near].tolist(), a):
+                    for cell in own:
+                        asks.setdefault(cell, []).append(i)
+            probed.update(asks)
+            yield qids, (q, {cell: np.array(x) for cell, x in asks.items()})
+
+    def parts(batch, asked):
+        q, asks = asked
+        x, cluster = knn.matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+        order = np.argsort(cluster, kind="stable")
+        found, first = np.unique(cluster[order], return_index=True)
+        for cell, own in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+            for a in range(0, len(asks.get(cell, ())), knn.QUERY_BLOCK):
+                some = asks[cell][a : a + knn.QUERY_BLOCK]
+                yield own, some, knn.distances(x[own], q[some], metric), np.full(len(own), cell)
+
+    asked = list(groups())
+    best = knn.nearest(rows.filter(F.col("cluster").isin(sorted(probed))), asked, parts, k, queries.schema["qid"])
+    return best.select("qid", "id", "rank", "distance", V.score(F.col("distance"), metric).alias("score"), F.col("tag").cast(assigned.schema["cluster"].dataType).alias("cluster"))
 
 
 def cell_stats(assigned: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knn import _matrix, distances
+from .knn import distances, matrix
 
 SAMPLE = 10_000
 
@@ -45,7 +45,7 @@ def train(vectors: DataFrame, k: int, parts: int = 1, metric: str = "l2", steps:
         def add(batches, now=now):
             total, count = np.zeros(now.shape), np.zeros(now.shape[:2])
             for b in batches:
-                for m, s in enumerate(np.split(_matrix(b.column(0)), parts, axis=1) if b.num_rows else ()):
+                for m, s in enumerate(np.split(matrix(b.column(0)), parts, axis=1) if b.num_rows else ()):
                     label = distances(s, now[m], metric).argmin(1)
                     np.add.at(total[m], label, s)
                     count[m] += np.bincount(label, minlength=k)

@@ -56,7 +56,7 @@ def distances(m: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}; one of {', '.join(V.METRICS)}")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -68,45 +68,58 @@ def _sortable(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), str)
 
 
-def top_rows(k: int, measure, asked, qid_type: pa.DataType):
-    """A kernel over batches of (id, value): the k nearest rows of the partition for each query. asked: a broadcast of qids and of what
-    measure(values, asked, from, to) needs for the distances (rows x queries) to a block of queries; so one pass over the rows serves
-    all of them."""
+def top_rows(k: int, parts, asked, qid_type: pa.DataType):
+    """A kernel over batches of rows whose first column is their id: the k nearest rows of the partition for each query.
+
+    asked: a broadcast of qids and of what parts() needs of them, so one pass over the rows serves all of them. parts(batch, asked)
+    yields (rows, queries, distances, tags): numbers of rows of the batch and of queries, a matrix, and a number to keep for each row.
+    """
 
     def run(batches):
         qids, q = asked.value
         edge = np.full(len(qids), np.inf)  # the k-th distance of each query so far
-        ids, dist, who, id_type = None, np.zeros(0), np.zeros(0, np.int64), None
-
-        def best():
-            nonlocal ids, dist, who
-            order = np.lexsort((ids, dist, who))
-            ids, dist, who = ids[order], dist[order], who[order]
-            place = np.arange(len(who)) - np.searchsorted(who, who, "left")
-            last = place == k - 1
-            edge[who[last]] = dist[last]
-            ids, dist, who = ids[place < k], dist[place < k], who[place < k]
+        kept, id_type = None, None  # ids, distances, queries, tags
 
         for batch in batches:
             id_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                own = _sortable(b.column(0))
-                few = min(k, len(own))
-                for start in range(0, len(qids), QUERY_BLOCK):
-                    d = measure(b.column(1), q, start, min(start + QUERY_BLOCK, len(qids)))
+                own, found = _sortable(b.column(0)), []
+                for rows, queries, d, tags in parts(b, q):
+                    few = min(k, len(rows))
                     # All rows up to the k-th distance of a query, equal ones included: ids decide among them.
-                    near = np.minimum(np.partition(d, few - 1, axis=0)[few - 1] if few == k else np.inf, edge[start : start + QUERY_BLOCK])
+                    near = np.minimum(np.partition(d, few - 1, axis=0)[few - 1] if few == k else np.inf, edge[queries])
                     row, query = np.nonzero(d <= near)
-                    ids = own[row] if ids is None else np.concatenate((ids, own[row]))
-                    dist, who = np.concatenate((dist, d[row, query])), np.concatenate((who, query + start))
-                best()
-        if ids is not None and len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in who.tolist()], qid_type), pa.array(ids.tolist(), id_type), pa.array(dist)], names=["qid", "id", "distance"])
+                    found.append((own[rows[row]], d[row, query], queries[query], tags[row]))
+                if not found:
+                    continue
+                ids, dist, who, tag = (np.concatenate(x) for x in zip(*([kept] if kept else []), *found, strict=True))
+                order = np.lexsort((ids, dist, who))
+                ids, dist, who, tag = ids[order], dist[order], who[order], tag[order]
+                place = np.arange(len(who)) - np.searchsorted(who, who, "left")
+                last = place == k - 1
+                edge[who[last]] = dist[last]
+                kept = tuple(x[place < k] for x in (ids, dist, who, tag))
+        if kept and len(kept[0]):
+            ids, dist, who, tag = kept
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in who.tolist()], qid_type), pa.array(ids.tolist(), id_type), pa.array(dist), pa.array(tag, pa.int64())], names=["qid", "id", "distance", "tag"])
 
     return run
 
 
+def in_blocks(measure):
+    """parts() for top_rows: all rows (id, value) against all queries, in blocks. measure(values, asked, from, to) has the distances."""
+
+    def parts(batch, asked):
+        rows = np.arange(batch.num_rows)
+        total = len(asked[0]) if isinstance(asked, list) else len(asked)
+        for a in range(0, total, QUERY_BLOCK):
+            b = min(a + QUERY_BLOCK, total)
+            yield rows, np.arange(a, b), measure(batch.column(1), asked, a, b), np.zeros(len(rows), np.int64)
+
+    return parts
+
+
 def passes(queries: DataFrame, most_bytes: int = PASS_BYTES) -> Iterator[tuple[list, np.ndarray]]:
     """The queries (qid, embedding), ids and vectors, in groups of at most most_bytes."""
     qids, rows = [], []
@@ -120,19 +133,19 @@ def passes(queries: DataFrame, most_bytes: int = PASS_BYTES) -> Iterator[tuple[l
         yield qids, np.array(rows)
 
 
-def nearest(rows: DataFrame, groups: Iterable[tuple[list, object]], measure, k: int, qid: StructField) -> DataFrame:
-    """qid, id, rank, distance of the k nearest rows (id, value) to each query; ties by id. groups: qids and what measure needs of them,
-    as top_rows() takes them; each group is a pass over the rows."""
+def nearest(rows: DataFrame, groups: Iterable[tuple[list, object]], parts, k: int, qid: StructField) -> DataFrame:
+    """qid, id, rank, distance, tag of the k nearest rows to each query; ties by id. groups: qids and what parts() needs of them, as
+    top_rows() takes them; each group is a pass over the rows."""
     kinds = dict(rows.dtypes)
-    schema = f"qid {qid.dataType.simpleString()}, id {kinds[rows.columns[0]]}, distance double"
+    schema = f"qid {qid.dataType.simpleString()}, id {kinds[rows.columns[0]]}, distance double, tag bigint"
     local = None
     for asked in groups:
-        part = rows.mapInArrow(top_rows(k, measure, rows.sparkSession.sparkContext.broadcast(asked), to_arrow_type(qid.dataType)), schema)
+        part = rows.mapInArrow(top_rows(k, parts, rows.sparkSession.sparkContext.broadcast(asked), to_arrow_type(qid.dataType)), schema)
         local = part if local is None else local.unionByName(part)
     if local is None:
         local = rows.sparkSession.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
-    return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "id", "rank", "distance")
+    return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "id", "rank", "distance", "tag")
 
 
 def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", query_filter: dict | None = None, most_bytes: int = PASS_BYTES) -> DataFrame:
@@ -141,7 +154,7 @@ def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     queries: qid, embedding. The rows are read once for every ``most_bytes`` of query vectors.
     """
     rows = _filtered(vectors, query_filter).select("id", "embedding")
-    best = nearest(rows, passes(queries, most_bytes), lambda x, q, a, b: distances(_matrix(x), q[a:b], metric), k, queries.schema["qid"])
+    best = nearest(rows, passes(queries, most_bytes), in_blocks(lambda x, q, a, b: distances(matrix(x), q[a:b], metric)), k, queries.schema["qid"])
     return best.select("qid", "id", "rank", "distance", V.score(F.col("distance"), metric).alias("score"))
 
 

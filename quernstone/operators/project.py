@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double
-from .knn import _matrix
+from .knn import matrix
 
 SPAN, FILL = 800.0, 0.85
 
@@ -39,7 +39,7 @@ def moments(vectors: DataFrame, dim: int) -> DataFrame:
         n, total, outer = 0, None, None
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column(0))
+                x = matrix(b.column(0))
                 total = x.sum(0) + (0 if total is None else total)
                 outer = x.T @ x + (0 if outer is None else outer)
                 n += len(x)

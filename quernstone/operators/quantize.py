@@ -125,7 +125,7 @@ def adc_search(encoded: DataFrame, queries: DataFrame, codebook: DataFrame, k: i
         c = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), -1)
         return sum(t[a:b][:, c[:, m]].T for m, t in enumerate(tables))
 
-    return knn.nearest(encoded.select("id", "code"), groups(), measure, k, queries.schema["qid"])
+    return knn.nearest(encoded.select("id", "code"), groups(), knn.in_blocks(measure), k, queries.schema["qid"]).drop("tag")
 
 
 def scalar_search(encoded: DataFrame, queries: DataFrame, params: DataFrame, k: int = 10) -> DataFrame:
@@ -137,4 +137,4 @@ def scalar_search(encoded: DataFrame, queries: DataFrame, params: DataFrame, k:
         x = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), -1) * scale + zero
         return knn.distances(x, q[a:b], "l2") ** 2
 
-    return knn.nearest(encoded.select("id", "code"), knn.passes(queries), measure, k, queries.schema["qid"])
+    return knn.nearest(encoded.select("id", "code"), knn.passes(queries), knn.in_blocks(measure), k, queries.schema["qid"]).drop("tag")
