@@ -20,6 +20,8 @@ from ..plans.filters import compile_filter
 from . import knn
 
 SHARD_ROWS = 50_000
+#: Queries that are worth loading a shard for.
+LEAST_QUERIES = 256
 
 
 @dataclass
@@ -252,7 +254,10 @@ def search(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int = 32, metr
 
         return run
 
-    for block in knn.passes(queries):
+    # A shard's task walks for all queries it is given; where there are few shards the queries are dealt to as many tasks as there are cores.
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    each = max(LEAST_QUERIES, -(-n // graph.sparkSession.sparkContext.defaultParallelism))
+    for block in knn.passes(queries, min(knn.PASS_BYTES, each * 8 * (dim or 1))):
         asked = graph.sparkSession.sparkContext.broadcast(block)
         part = graph.groupBy("shard").applyInPandas(walk(asked), f"qid {kinds['qid']}, id {kinds['id']}, distance double")
         local = part if local is None else local.unionByName(part)
