@@ -9,7 +9,7 @@ that hold them. So no sketch is ever in one place, broadcast or of a fixed size,
 A window is counted under its anchor, the smallest hash of the ``gram``-word sequences in it. Equal windows have equal anchors, so
 the count of the anchor is never below that of the window, and a document needs about a quarter as many counts as it has windows.
 
-Second pass: only windows estimated repeated are grouped, exactly, by 128-bit digest. A task first settles what its own documents
+Second pass: only windows estimated repeated are grouped, exactly but for equal 96-bit digests. A task first settles what its own documents
 share and passes on only those of the smallest doc_id, so a window that half of all documents hold comes to the shuffle once for
 every few MB of text, and its group is streamed.
 
@@ -30,6 +30,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _STEP = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
 #: Bytes of text of a slice, on average, and those within which a task settles what its own documents share.
 SLICE, PIECE = 8 << 20, 4 << 20
+SETTLED = 1 << 31
 #: Cells of the sketch for each byte of text. A text has about a count for every 20 bytes, so some one cell in 300 is taken.
 CELLS = 16
 
@@ -163,7 +164,8 @@ def twice(slices: DataFrame, size: int, gram: int, log_width: int) -> DataFrame:
 
 def repeated_windows(slices: DataFrame, size: int, gram: int, log_width: int) -> DataFrame:
     """slice, at, n: the n windows from the place ``at`` on (number of the row in its slice, word) start in a document with a smaller id, too."""
-    names = ["hi", "lo", "id", "slice", "at"]
+    # lo: 32 more bits of the digest, then whether the row is settled (its id is then a number of windows), then the slice in 31 bits.
+    names = ["hi", "lo", "id", "at"]
     schema = pa.schema([(x, pa.int64()) for x in names])
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -185,7 +187,7 @@ def repeated_windows(slices: DataFrame, size: int, gram: int, log_width: int) ->
                 out.append((None, b.num_rows))
                 continue
             hi = _grams(h, size, _STEP[0])[starts].view(np.int64)
-            lo = _grams(g, size, _STEP[1])[starts].view(np.int64)
+            lo = (_grams(g, size, _STEP[1])[starts] >> np.uint64(32)).view(np.int64)
             doc, place = ids[text], ((at + text) << 32) + starts - (np.cumsum(n) - n)[text]
             order = np.lexsort((doc, lo, hi))
             hi, lo, doc, place = hi[order], lo[order], doc[order], place[order]
@@ -193,17 +195,17 @@ def repeated_windows(slices: DataFrame, size: int, gram: int, log_width: int) ->
             first = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
             gone = doc > first
             p, k = _runs(doc[gone] * 0, place[gone])[1:] if gone.any() else (place[:0], place[:0])
-            # What is settled has a negative slice and its number in lo; it is dealt out at random.
-            own = np.concatenate((np.full((~gone).sum(), part), np.full(len(p), -1 - part)))
-            out.append((_batch(names, np.concatenate((hi[~gone], p * 0x9E3779B1)), np.concatenate((lo[~gone], k)), np.concatenate((doc[~gone], p * 0)), own, np.concatenate((place[~gone], p))), b.num_rows))
+            # What is settled is dealt out at random.
+            low = np.concatenate((lo[~gone] << 32 | part, np.full(len(p), SETTLED | part)))
+            out.append((_batch(names, np.concatenate((hi[~gone], p * 0x9E3779B1)), low, np.concatenate((doc[~gone], k)), np.concatenate((place[~gone], p))), b.num_rows))
         return pa.Table.from_batches([x for x, _ in out if x is not None], schema)
 
     def settle(batches):
         last = None  # digest and smallest id of the group that the previous batch ended in
         for b in batches:
-            hi, lo, doc, part, at = (c.to_numpy() for c in b.columns)
-            done = part < 0
-            found = [(-1 - part[done], at[done], lo[done])]
+            hi, lo, doc, at = (c.to_numpy() for c in b.columns)
+            part, done, lo = lo & (SETTLED - 1), lo & SETTLED > 0, lo >> 32
+            found = [(part[done], at[done], doc[done])]
             hi, lo, doc, part, at = hi[~done], lo[~done], doc[~done], part[~done], at[~done]
             if len(hi):
                 new = np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
@@ -218,7 +220,7 @@ def repeated_windows(slices: DataFrame, size: int, gram: int, log_width: int) ->
 
     cells = twice(slices, size, gram, log_width)
     found = slices.groupBy("slice").cogroup(cells.groupBy("slice")).applyInArrow(candidates, ", ".join(f"{x} bigint" for x in names))
-    return found.repartition("hi").sortWithinPartitions("hi", "lo", "id").mapInArrow(settle, "slice bigint, at bigint, n bigint")
+    return found.repartition("hi").sortWithinPartitions("hi", F.shiftright("lo", 32), "id").mapInArrow(settle, "slice bigint, at bigint, n bigint")
 
 
 def substring_dedup(docs: DataFrame, size: int = 13, gram: int = 8, slice_bytes: int = SLICE, log_width: int | None = None) -> DataFrame:
