@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import threading
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Rows of ids that may be broadcast; some 16 MB.
 LOOKUP = 500_000
 try:
@@ -50,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Limits Arrow batches of this session to ``BATCH_BYTES``, unless it has a limit of its own: a batch of ten thousand long
     texts would have to be in memory at once, on both sides."""
-    if spark.conf.get(_BATCH_LIMIT) == _BATCH_DEFAULT:
+    if spark.conf.get(_BATCH_LIMIT, None) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
 
 
@@ -88,8 +89,16 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+#: What tasks of one operator have learnt in this worker and leave to the next; tasks of other operators drop it.
+LEARNT: dict[str, object] = {}
+
+
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 19, operator: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches, sliced so that a slice holds about ``most`` bytes of text (or one longer row)."""
+    for other in [x for x in LEARNT if x != operator]:
+        del LEARNT[other]
+    give_back()
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -102,7 +111,13 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
-    give_back()
+            done += 1
+            if done % 4 == 0:
+                give_back()
+    # What the task itself still holds is free a moment later, when the worker is idle.
+    later = threading.Timer(1.0, give_back)
+    later.daemon = True
+    later.start()
 
 
 def keep_first(docs: DataFrame, found: DataFrame, key: Callable[[bytes], int]) -> DataFrame:

@@ -52,12 +52,6 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _own_exchange(least: DataFrame, column: str) -> DataFrame:
-    """The same under the key k, an expression: a join on it does not lean on the exchange of the aggregation below, and an
-    exchange of its own is one whose partitions Spark can split where a node has a great part of the edges."""
-    return least.select((F.col("a") + F.lit(0)).alias("k"), F.col(column).alias("m"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it can reach) for every node that differs from its label.
 
@@ -72,8 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.filter("b > a").join(_own_exchange(least, "m"), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(_own_exchange(small, "m"), F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct().mapInArrow(_shortened, "a bigint, b bigint"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

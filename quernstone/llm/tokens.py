@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, pieces, raw, shared_folder
+from .common import LEARNT, cut, docs_of, pieces, raw, shared_folder
 from .words import Rows, Split, WordTable, gather
 
 MEMO_PIECES = 600_000
@@ -125,14 +125,12 @@ class Encoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-_OPEN: dict = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
     """This process's encoder: workers serve many tasks, and what one has learnt serves the next."""
-    if path not in _OPEN:
-        _OPEN[path] = Encoder(path)
-    return _OPEN[path]
+    open_ = LEARNT.setdefault("tokens", {})
+    if path not in open_:
+        open_[path] = Encoder(path)
+    return open_[path]
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -141,7 +139,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         encode = encoder(path)
-        for b in pieces(batches):
+        for b in pieces(batches, operator="tokens"):
             _, n = encode(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n + 1)], names=["doc_id", "n_tokens"])
 
@@ -203,7 +201,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, length: int = 2048,
         part = TaskContext.get().partitionId()
         encode, writer, out, name = encoder(path), None, None, None
         index_ids, index_n, total = [], [], 0
-        for b in pieces(batches):
+        for b in pieces(batches, operator="tokens"):
             if writer is None:
                 fs, base = _open(folder)
                 fs.create_dir(base, recursive=True)

@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontam, graph, packing, simhash, substring, suffix, tokens
+from quernstone.llm import common, decontam, graph, packing, simhash, substring, suffix, tokens
 from quernstone.llm import queries as Q
 
 from ..oracle import compare
@@ -230,6 +231,14 @@ def test_encoder_forgets(texts):
         assert e([t or ""])[0].tolist() == full.tok.encode(t or "", add_special_tokens=False).ids
 
 
+def test_other_operators_drop_what_tokens_learnt():
+    """An encoder serves the next task of its own operators only."""
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None]})
+    kept = tokens.encoder()
+    assert sum(b.num_rows for b in common.pieces([batch], operator="tokens")) == 2 and tokens.encoder() is kept
+    assert sum(b.num_rows for b in common.pieces([batch])) == 2 and tokens.encoder() is not kept
+
+
 def test_boundaries():
     from itertools import combinations
 
