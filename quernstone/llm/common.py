@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 BATCH_BYTES = 1 << 20
 #: Rows of ids that may be broadcast; some 16 MB.
 LOOKUP = 500_000
+#: A key is heavy if it has over one ``HEAVY_MOST``-th of all rows, and ``HEAVY_LEAST`` rows.
+HEAVY_MOST, HEAVY_LEAST = 100_000, 500
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.malloc_trim  # noqa: B018
@@ -78,6 +80,21 @@ def lookup(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(LOOKUP + 1).count() <= LOOKUP else ids
 
 
+def spread_join(rows: DataFrame, counted: DataFrame, *keys: str) -> DataFrame:
+    """rows joined with counted (already computed: one row a key, n: how many of rows have it) without sending a heavy key to one task.
+
+    Rows of heavy keys stay where they are and meet a broadcast: each has over one ``HEAVY_MOST``-th of the rows, so there are fewer than
+    ``HEAVY_MOST`` of them, whatever the size of the table. All other rows are shuffled.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") > max(HEAVY_LEAST, total // HEAVY_MOST)
+    hot = counted.filter(heavy)
+    if hot.isEmpty():
+        return rows.join(counted, list(keys))
+    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(counted.filter(~heavy), list(keys))
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(rest)
+
+
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, as doc_id and text; a null text becomes the empty one."""
     small_batches(df.sparkSession)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 #: Edges that a task joins into trees at once.
 EDGES = 1 << 20
@@ -57,7 +57,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: a, b (bigint; loops, repeats and either order allowed). Each step only moves every edge to the
     smallest neighbour of one of its ends, so the number of edges never grows; the steps are logarithmic in
-    the number of nodes. No edge list or label ever reaches the driver, only counts do.
+    the number of nodes. No edge list or label ever reaches the driver, only counts do. A node with a great part of all edges is
+    joined by a broadcast, so its edges stay dealt out (spread_join).
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = cut(edges.mapInArrow(_shortened, "a bigint, b bigint"))
@@ -65,9 +66,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _mark(edges)) != before and now[0]:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = cut(spread_join(both, least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        small = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        moved = spread_join(large, small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct().mapInArrow(_shortened, "a bigint, b bigint"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, keep_first, lookup, pieces, raw
+from .common import cut, docs_of, keep_first, lookup, pieces, raw, spread_join
 from .graph import components
 from .simhash import SEED
 
@@ -36,8 +36,8 @@ BANDS, ROWS = 25, 5
 SIMILAR = (4, 5)
 #: Positional bytes of the 125 that two sketches share at least.
 AGREE = 70
-#: Places that the set or sketch of a hub is sent to.
-SALTS = 8
+#: Members of a hub that are compared in one task.
+SLICE = 1000
 _RNG = np.random.default_rng(SEED)
 _FACTOR, _SHIFT = _RNG.integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -103,21 +103,36 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "set_id bigint, hashes array<bigint>").groupBy("set_id").agg(F.first("hashes").alias("hashes"))
 
 
-def _agreeing(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) that share enough positional bytes. sketched: set_id, keys of the sets in them.
+def enough(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Whether two sketches (band_keys) share ``AGREE`` positional bytes, of each pair."""
+    x, y = (z.flatten().to_numpy().view(np.uint8).reshape(-1, BANDS, 8)[:, :, :ROWS] for z in (x, y))
+    return (x == y).sum((1, 2)) >= AGREE
 
-    One b may have a great part of all pairs, so its sketch is sent to ``SALTS`` places.
+
+def _dealt(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows with _salt, and each key with the salts that its rows have: one for every ``SLICE`` of them, however many that are."""
+    slices = lambda: F.floor(F.col("n") / SLICE) + 1
+    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    salted = spread_join(rows, counts, key).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), slices())).drop("n")
+    return salted, counts.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), slices() - 1)).alias("_salt"))
+
+
+def _agreeing(pairs: DataFrame, sketched: DataFrame, keep) -> DataFrame:
+    """The pairs (a, b, ...) whose sketches may belong to similar sets. sketched: set_id, sketch of the sets in them.
+
+    One b may have a great part of all pairs, so its sketch is sent to as many places as its pairs are dealt to.
     """
 
     def run(batches):
         for p in batches:
-            x, y = (p.column(i).flatten().to_numpy().view(np.uint8).reshape(-1, BANDS, 8)[:, :, :ROWS] for i in (p.num_columns - 2, p.num_columns - 1))
-            rest = p.select(range(p.num_columns - 2))
-            yield rest.filter(pa.array((x == y).sum((1, 2)) >= AGREE))
-
-    left = sketched.select(F.col("set_id").alias("a"), F.col("keys").alias("_x"))
-    right = pairs.select("b").distinct().join(sketched.withColumnRenamed("set_id", "b"), "b").select("b", F.col("keys").alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    both = pairs.join(left, "a").withColumn("_salt", F.pmod("a", F.lit(SALTS)).cast("int")).join(right, ["b", "_salt"])
+            n = p.num_columns - 2
+            if p.num_rows:
+                yield p.select(range(n)).filter(pa.array(keep(p.column(n), p.column(n + 1))))
+
+    salted, places = _dealt(pairs, "b")
+    left = sketched.select(F.col("set_id").alias("a"), F.col("sketch").alias("_x"))
+    right = places.join(sketched.select(F.col("set_id").alias("b"), F.col("sketch").alias("_y")), "b")
+    both = salted.join(left, "a").join(right, ["b", "_salt"])
     return both.select(*pairs.columns, "_x", "_y").mapInArrow(run, pairs.schema)
 
 
@@ -138,20 +153,21 @@ def _near_size(x: str, y: str):
 
 
 def _hubs(lists: DataFrame) -> DataFrame:
-    """key, hub, hub_size: of each list the member whose lists are longest in all."""
+    """key, n, hub, hub_size: of each list the number of members, and the one whose lists are longest in all."""
     long = lists.groupBy("set_id").agg(F.sum("n").alias("long"))
     first = F.struct(-F.col("long"), "set_id", "size")
-    hubs = lists.join(long, "set_id").groupBy("key").agg(F.min(first).alias("h"))
-    return hubs.select("key", F.col("h.set_id").alias("hub"), F.col("h.size").alias("hub_size"))
+    hubs = lists.join(long, "set_id").groupBy("key").agg(F.min(first).alias("h"), F.count(F.lit(1)).alias("n"))
+    return hubs.select("key", "n", F.col("h.set_id").alias("hub"), F.col("h.size").alias("hub_size"))
 
 
 def _held(members: DataFrame, sets: DataFrame) -> DataFrame:
     """members (hub, set_id, size, ...) with c, the size of the hub's set, and d, the shingles that the two do not share.
 
-    A hub may have a great part of all sets for members, so its set is sent to ``SALTS`` places.
+    A hub may have a great part of all sets for members, so its set is sent to as many places as these are dealt to.
     """
-    hubs = members.select("hub").distinct().join(sets.withColumnRenamed("set_id", "hub"), "hub").select("hub", F.col("hashes").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    both = members.join(sets, "set_id").withColumn("_salt", F.pmod("set_id", F.lit(SALTS)).cast("int")).join(hubs, ["hub", "_salt"])
+    salted, places = _dealt(members, "hub")
+    hubs = places.join(sets.select(F.col("set_id").alias("hub"), F.col("hashes").alias("_c")), "hub")
+    both = salted.join(sets, "set_id").join(hubs, ["hub", "_salt"])
     return both.select(*members.columns, F.size("_c").alias("c"), F.concat(F.array_except("hashes", "_c"), F.array_except("_c", "hashes")).alias("d"))
 
 
@@ -159,7 +175,7 @@ def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different parts that may be similar, all of those that are and share a hub, given that no set is similar to
     its hub but in another part. members: hub, set_id, size, part."""
     each = cut(_held(members, sets).select("hub", "set_id", "size", "part", "c", F.explode("d").alias("e")))
-    ranked = each.join(each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("n")), ["hub", "e"])
+    ranked = spread_join(each, cut(each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("n"))), "hub", "e")
     ranked = ranked.groupBy("hub", "set_id").agg(F.first("size").alias("size"), F.first("part").alias("part"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("n", "e"))).alias("d"))
     d = F.size("d")
     far = 9 * d > F.col("size") + F.col("c")
@@ -173,31 +189,41 @@ def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 
-def links(groups: DataFrame, sets_of) -> DataFrame:
-    """Links (a, b) of set ids that connect just what similar pairs with a common key, and enough positional bytes, connect.
+def links(groups: DataFrame, sets_of, keep=enough) -> DataFrame:
+    """Links (a, b) of set ids that connect just what similar pairs with a common key, whose sketches ``keep`` lets pass, connect.
 
-    groups: set_id (distinct), size, keys. sets_of: from a frame of set_id to set_id, hashes.
+    groups: set_id (distinct), size, keys, sketch. sets_of: from a frame of set_id to set_id, hashes.
     """
     posts = groups.select("set_id", "size", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lists = cut(posts.join(shared, "key").select("key", "set_id", "size", "n"))
+    shared = cut(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    lists = cut(spread_join(posts, shared, "key").select("key", "set_id", "size", "n"))
     if lists.isEmpty():
         return groups.sparkSession.createDataFrame([], "a bigint, b bigint")
     listed = cut(lists.select("set_id").distinct())
     sets = cut(sets_of(listed))
-    sketched = cut(groups.join(lookup(listed), "set_id", "left_semi").select("set_id", "keys"))
-    members = cut(lists.join(_hubs(lists), "key").select("hub", "hub_size", "set_id", "size").distinct())
+    sketched = cut(groups.join(lookup(listed), "set_id", "left_semi").select("set_id", "sketch"))
+    members = cut(spread_join(lists.drop("n"), cut(_hubs(lists)), "key").select("hub", "hub_size", "set_id", "size").distinct())
     near = members.filter((F.col("set_id") != F.col("hub")) & _near_size("size", "hub_size")).select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "size")
-    near = cut(_agreeing(near, sketched)).select(F.col("b").alias("hub"), F.col("a").alias("set_id"), "size")
+    near = cut(_agreeing(near, sketched, keep)).select(F.col("b").alias("hub"), F.col("a").alias("set_id"), "size")
     alike = _held(near, sets).filter(9 * F.size("d") <= F.col("size") + F.col("c"))
     found = cut(alike.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct())
     labels = components(found)
-    parts = members.join(labels, members.set_id == labels.node, "left").select("hub", "set_id", "size", F.coalesce("label", "set_id").alias("part"))
-    apart = parts.groupBy("hub").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p < _q").select("hub")
-    rest = cut(parts.join(apart, "hub"))
+    parts = cut(members.join(labels, members.set_id == labels.node, "left").select("hub", "set_id", "size", F.coalesce("label", "set_id").alias("part")))
+    apart = cut(parts.groupBy("hub").agg(F.min("part").alias("_p"), F.max("part").alias("_q"), F.count(F.lit(1)).alias("n")).filter("_p < _q").select("hub", "n"))
+    rest = cut(spread_join(parts, apart, "hub").drop("n"))
     if rest.isEmpty():
         return found
-    return cut(found.unionByName(_similar(cut(_agreeing(_by_differences(rest, sets), sketched)), sets)))
+    return cut(found.unionByName(_similar(cut(_agreeing(_by_differences(rest, sets), sketched, keep)), sets)))
+
+
+def sets_by(docs: DataFrame, groups: DataFrame, words: int):
+    """From a frame of set_id to set_id, hashes: read again from the texts of the groups' documents (rep)."""
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        reps = groups.join(wanted, "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        return _sets(docs.join(lookup(cut(reps)), "doc_id", "left_semi").select("doc_id", "text"), words)
+
+    return sets_of
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -210,13 +236,9 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     prints = cut(sketches(docs, words))
     named = prints.filter("doc_id is not null")
     groups = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    groups = cut(groups)
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        reps = groups.join(wanted, "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        return _sets(docs.join(lookup(cut(reps)), "doc_id", "left_semi").select("doc_id", "text"), words)
+    groups = cut(groups).withColumn("sketch", F.col("keys"))
 
-    labels = components(links(groups, sets_of))
+    labels = components(links(groups, sets_by(docs, groups, words)))
     joined = prints.join(labels, prints.set_id == labels.node, "left")
     return joined.select("doc_id", "set_id", F.coalesce("label", "set_id").alias("component_id"))
 
