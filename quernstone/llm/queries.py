@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, language, packing, pii, quality_model, simhash, substring, suffix, tokens
+from . import align, bayes, decontam, html, language, packing, periodic, pii, quality_model, simhash, substring, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.token_counts(_table(spark, sf_dir, "documents")))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in which a tenth of the texts repeats a stretch from one word on: where h, the CRC-32 of the doc_id as text, is a
+    multiple of 10, and g is h / 10 rounded down, each word from a = g % n on is word a + (i - a) % p, with p = 1 + (n - a) / (3 + g % 8)
+    rounded down."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("chosen"), F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("ws"))
+    placed = split.withColumn("n", F.size("ws")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    return placed.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic.periodic_runs(planted_runs(_table(spark, sf_dir, "documents")))
+    return done.withColumn("collapsed_sha256", F.sha2("collapsed", 256)).drop("collapsed")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"))
+
+
+def op13_bayes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash, op2_main_text, op3_suffix_quality, op4_substring_dedup, op5_quality_classifier, op6_pseudonyms, op7_token_files, op8_language, op9_decontamination, op10_packing)
+    ops = (op1_simhash, op2_main_text, op3_suffix_quality, op4_substring_dedup, op5_quality_classifier, op6_pseudonyms, op7_token_files, op8_language, op9_decontamination, op10_packing, op11_periodic_runs, op12_tokenizer_alignment, op13_bayes_dedup)
     return {f.__name__: f for f in ops}
 
 
