@@ -5,10 +5,17 @@ so does a value that cannot be compared. A filter is first read into a tree of t
 are refused. The tree is then compiled, and negation carried down to the leaves: under an even number of $not a leaf is the
 bare predicate, which a scan understands, and under an odd number it is ``field is null or not predicate``. A row without any
 metadata at all passes no filter, not even a negated one.
+
+A field is a column of its own or, where there is none of that name, an entry of a VARIANT column: metadata of any keys, whose values may
+be of another type in each row. There, a comparison looks at the type of the row's value first: whole numbers and booleans are compared exactly,
+other numbers as doubles, texts with texts, lists and dictionaries for equality of their JSON. Values are asked for by path and type, so
+Spark reads only these entries from the files and pushes what can be pushed.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -102,13 +109,78 @@ def _test(c: Column, kind: T.DataType, op: str, value) -> Column:
     return operator.build(c, alike if operator.many else F.lit(alike[0]))
 
 
-def _compiled(node, fields: dict[str, T.DataType], negated: bool) -> Column:
+_LONGS = range(-(1 << 63), 1 << 63)
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A key of a VARIANT column. Its predicates are never null: a value of another kind makes them false."""
+
+    column: Column
+    name: str
+
+    def get(self, kind: str) -> Column:
+        quotes = [q for q in "'\"" if q not in self.name]
+        if quotes:
+            return F.try_variant_get(self.column, f"$[{quotes[0]}{self.name}{quotes[0]}]", kind)
+        return F.try_variant_get(F.try_variant_get(self.column, "$", "map<string,variant>")[self.name], "$", kind)
+
+    @property
+    def kind(self) -> Column:
+        return F.schema_of_variant(self.get("variant"))
+
+    def present(self) -> Column:
+        return F.coalesce(self.kind != "VOID", F.lit(False))
+
+    def _of(self, cases: dict[str, Column]) -> Column:
+        """The case of the value's kind, false for other kinds. Kinds: whole, real, STRING, nested."""
+        kind = self.kind
+        found = {"whole": kind.isin("BIGINT", "BOOLEAN"), "real": kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "STRING": kind == "STRING", "nested": kind.rlike("^(ARRAY|OBJECT)<")}
+        return F.coalesce(reduce(or_, [found[k] & x for k, x in cases.items()], F.lit(False)), F.lit(False))
+
+    def _whole(self) -> Column:
+        return F.coalesce(self.get("bigint"), self.get("boolean").cast("bigint"))
+
+    def test(self, op: str, value) -> Column:
+        if op in ("$ne", "$nin"):
+            return ~self.any_of(value if op == "$nin" else [value])
+        if op in ("$eq", "$in"):
+            return self.any_of(value if op == "$in" else [value])
+        build, kind = OPERATORS[op].build, _kind(value)
+        if kind == "text":
+            return self._of({"STRING": build(self.get("string"), F.lit(value))})
+        if kind != "number":
+            return F.lit(False)
+        exact = F.lit(int(value)) if isinstance(value, int) and value in _LONGS else F.lit(float(value))
+        real = build(self.get("double"), F.lit(float(value))) & ~F.isnan(self.get("double"))
+        return F.lit(False) if math.isnan(value) else self._of({"whole": build(self._whole(), exact), "real": real})
+
+    def any_of(self, values: list) -> Column:
+        """Whether the value is one of these."""
+        numbers = [x for x in values if _kind(x) == "number" and not math.isnan(x)]
+        whole = [int(x) for x in numbers if math.isfinite(x) and int(x) == x and int(x) in _LONGS]
+        cases = {
+            "whole": (self._whole().isin(whole), whole),
+            "real": (self.get("double").isin([float(x) for x in numbers]), numbers),
+            "STRING": (self.get("string").isin([x for x in values if _kind(x) == "text"]), [x for x in values if _kind(x) == "text"]),
+        }
+        nested = [F.to_json(F.parse_json(F.lit(json.dumps(x)))) for x in values if isinstance(x, list | dict)]
+        if nested:
+            cases["nested"] = (reduce(or_, [F.to_json(self.get("variant")) == x for x in nested]), nested)
+        return self._of({k: p for k, (p, some) in cases.items() if some})
+
+
+def _compiled(node, fields: dict[str, T.DataType], negated: bool, free: Column | None = None) -> Column:
     if isinstance(node, Negated):
-        return _compiled(node.part, fields, not negated)
+        return _compiled(node.part, fields, not negated, free)
     if isinstance(node, Group):
-        return reduce(and_ if node.every != negated else or_, [_compiled(p, fields, negated) for p in node.parts])
+        return reduce(and_ if node.every != negated else or_, [_compiled(p, fields, negated, free) for p in node.parts])
     if node.name not in fields:
-        return F.lit(negated)
+        if free is None:
+            return F.lit(negated)
+        entry = Entry(free, node.name)
+        found = reduce(and_, [entry.test(op, value) for op, value in node.tests], entry.present())
+        return ~found if negated else found
     c, kind = F.col(f"`{node.name}`"), fields[node.name]
     p = reduce(and_, [_test(c, kind, op, value) for op, value in node.tests])
     # Spark takes NaN for equal to itself and larger than all numbers; here it compares with nothing.
@@ -126,11 +198,19 @@ def _has_negation(node) -> bool:
 OWN = frozenset(("id", "embedding", "cluster", "dl", "tokens"))
 
 
+def _some(f: T.StructField) -> Column:
+    """Whether a column has metadata."""
+    c = F.col(f"`{f.name}`")
+    return F.coalesce(F.schema_of_variant(c).rlike("^OBJECT<.+>$"), F.lit(False)) if isinstance(f.dataType, T.VariantType) else c.isNotNull()
+
+
 def compile_filter(query: dict | None, schema: T.StructType) -> Column | None:
-    """The Column of a filter; None if there is nothing to filter by."""
+    """The Column of a filter; None if there is nothing to filter by. Fields that are no columns are looked up in the first VARIANT
+    column, if there is one; a name with dots in it is one key."""
     if query is None or query == {}:
         return None
     tree = parse(query)
-    out = _compiled(tree, {f.name: f.dataType for f in schema}, False)
-    metadata = [F.col(f"`{f.name}`").isNotNull() for f in schema if f.name not in OWN]
+    free = next((F.col(f"`{f.name}`") for f in schema if isinstance(f.dataType, T.VariantType)), None)
+    out = _compiled(tree, {f.name: f.dataType for f in schema if not isinstance(f.dataType, T.VariantType)}, False, free)
+    metadata = [_some(f) for f in schema if f.name not in OWN]
     return out & reduce(or_, metadata) if metadata and _has_negation(tree) else out

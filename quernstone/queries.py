@@ -209,6 +209,29 @@ def filter_typed_metadata(spark, sf):
     return rows.filter(compile_filter(f, rows.schema)).select("p_partkey")
 
 
+_MARKS = """SELECT doc_id AS id, n_chars, source, doc_id % 6 AS c FROM documents"""
+_MARKED = """((c = 0 AND n_chars >= 1500) OR (c = 3 AND n_chars + 0.5::DOUBLE >= 1500) OR (c = 1 AND source >= 'src5')) AND NOT (c = 1 AND source IN ('src7', 'src8')) OR c = 5 AND (id // 6) % 2 = 0"""
+
+
+def _marked(spark, sf) -> DataFrame:
+    """Documents with free-form metadata: mark is a whole number, a text, a boolean, another number, null, a list or missing, row by row."""
+    t = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "source", (F.col("doc_id") % 6).alias("c"))
+    mark = lambda x: F.to_json(F.struct(x.alias("mark"), F.lit("x").alias("of")), {"ignoreNullFields": "false"})
+    kinds = [F.col("n_chars"), F.col("source"), F.col("id") % 12 == 2, F.col("n_chars") + 0.5, F.lit(None).cast("int"), F.array(F.floor(F.col("id") / 6) % 2)]
+    text = F.coalesce(*[F.when(F.col("c") == i, mark(x)) for i, x in enumerate(kinds)])
+    return t.select("id", F.parse_json(text).alias("metadata"))
+
+
+_MARK_FILTER = {"$or": [{"$and": [{"$or": [{"mark": {"$gte": 1500}}, {"mark": {"$gte": "src5"}}]}, {"$not": {"mark": {"$in": ["src7", "src8", True]}}}]}, {"mark": [0]}]}
+
+
+@query(f"SELECT id FROM ({_MARKS}) WHERE {_MARKED}")
+def filter_variant(spark, sf):
+    """One field that holds values of six kinds, against numbers, texts, a boolean and a list."""
+    rows = _marked(spark, sf)
+    return rows.filter(compile_filter(_MARK_FILTER, rows.schema)).select("id")
+
+
 # ---------------------------------------------------------------- text
 
 _STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
@@ -782,6 +805,13 @@ def engine_dense(spark, sf):
     return _round(_engine(spark, _vectors(spark, sf), 64, "l2").dense(_asked(spark, sf), 10), "distance", "score")
 
 
+@query(_batch_sql("l2", f"vec_id IN (SELECT id FROM ({_MARKS}) WHERE {_MARKED})"))
+def engine_variant(spark, sf):
+    """Vectors stored with metadata of mixed types, searched under a filter over it."""
+    e = _engine(spark, _vectors(spark, sf).select("id", "embedding").join(_marked(spark, sf), "id", "left"), 64, "l2")
+    return _round(e.dense(_asked(spark, sf), 10, _MARK_FILTER), "distance", "score")
+
+
 @query(_batch_sql("cosine", "label >= 2 AND label < 7"))
 def engine_cells_filtered(spark, sf):
     """All of the trained cells are probed, so the result is exact; the filter is applied inside them."""
