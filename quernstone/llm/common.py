@@ -86,11 +86,12 @@ def spread_join(rows: DataFrame, counted: DataFrame, *keys: str) -> DataFrame:
     Rows of heavy keys stay where they are and meet a broadcast: each has over one ``HEAVY_MOST``-th of the rows, so there are fewer than
     ``HEAVY_MOST`` of them, whatever the size of the table. All other rows are shuffled.
     """
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    heavy = F.col("n") > max(HEAVY_LEAST, total // HEAVY_MOST)
-    hot = counted.filter(heavy)
-    if hot.isEmpty():
+    sizes = counted.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    bound = max(HEAVY_LEAST, (sizes["all"] or 0) // HEAVY_MOST)
+    if (sizes["most"] or 0) <= bound:
         return rows.join(counted, list(keys))
+    heavy = F.col("n") > bound
+    hot = counted.filter(heavy)
     rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(counted.filter(~heavy), list(keys))
     return rows.join(F.broadcast(hot), list(keys)).unionByName(rest)
 

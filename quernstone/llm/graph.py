@@ -11,6 +11,8 @@ from .common import cut, spread_join
 
 #: Edges that a task joins into trees at once.
 EDGES = 1 << 20
+#: Up to so many edges in all, a node may have all of them in one task (2 MB); beyond, edges of heavy nodes stay dealt out.
+PLAIN = 1 << 17
 
 
 def spanning(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +49,13 @@ def _shortened(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(left, right)], names=["a", "b"])
 
 
+def _with_least(edges: DataFrame, spread: bool) -> DataFrame:
+    """a, b and m, the smallest b of each a."""
+    if not spread:
+        return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+    return spread_join(edges, cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))), "a")
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -65,10 +74,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _mark(edges)) != before and now[0]:
         before = now
+        spread = now[0] > PLAIN
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = cut(spread_join(both, least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        small = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        moved = spread_join(large, small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both, spread).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
+        large = cut(large) if spread else large
+        moved = _with_least(large, spread).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct().mapInArrow(_shortened, "a bigint, b bigint"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

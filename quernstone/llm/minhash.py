@@ -110,17 +110,17 @@ def enough(x: pa.Array, y: pa.Array) -> np.ndarray:
 
 
 def _dealt(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """rows with _salt, and each key with the salts that its rows have: one for every ``SLICE`` of them, however many that are."""
+    """rows with _salt, and each key with the salts that its rows may have: one for every ``SLICE`` of the n rows that the key has at
+    most, however many that are. rows: key, n and others."""
     slices = lambda: F.floor(F.col("n") / SLICE) + 1
-    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-    salted = spread_join(rows, counts, key).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), slices())).drop("n")
-    return salted, counts.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), slices() - 1)).alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), slices()))
+    return salted, rows.select(key, "n").distinct().select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), slices() - 1)).alias("_salt"))
 
 
 def _agreeing(pairs: DataFrame, sketched: DataFrame, keep) -> DataFrame:
-    """The pairs (a, b, ...) whose sketches may belong to similar sets. sketched: set_id, sketch of the sets in them.
+    """The pairs (a, b, n, ...) whose sketches may belong to similar sets. sketched: set_id, sketch of the sets in them.
 
-    One b may have a great part of all pairs, so its sketch is sent to as many places as its pairs are dealt to.
+    One b may have a great part of all pairs, so its sketch is sent to as many places as its pairs (n) are dealt to.
     """
 
     def run(batches):
@@ -161,7 +161,7 @@ def _hubs(lists: DataFrame) -> DataFrame:
 
 
 def _held(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members (hub, set_id, size, ...) with c, the size of the hub's set, and d, the shingles that the two do not share.
+    """members (hub, n, set_id, size, ...) with c, the size of the hub's set, and d, the shingles that the two do not share.
 
     A hub may have a great part of all sets for members, so its set is sent to as many places as these are dealt to.
     """
@@ -203,17 +203,20 @@ def links(groups: DataFrame, sets_of, keep=enough) -> DataFrame:
     sets = cut(sets_of(listed))
     sketched = cut(groups.join(lookup(listed), "set_id", "left_semi").select("set_id", "sketch"))
     members = cut(spread_join(lists.drop("n"), cut(_hubs(lists)), "key").select("hub", "hub_size", "set_id", "size").distinct())
-    near = members.filter((F.col("set_id") != F.col("hub")) & _near_size("size", "hub_size")).select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "size")
-    near = cut(_agreeing(near, sketched, keep)).select(F.col("b").alias("hub"), F.col("a").alias("set_id"), "size")
+    members = spread_join(members, cut(members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))), "hub")
+    near = members.filter((F.col("set_id") != F.col("hub")) & _near_size("size", "hub_size")).select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "n", "size")
+    near = cut(_agreeing(near, sketched, keep)).select(F.col("b").alias("hub"), "n", F.col("a").alias("set_id"), "size")
     alike = _held(near, sets).filter(9 * F.size("d") <= F.col("size") + F.col("c"))
     found = cut(alike.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct())
     labels = components(found)
-    parts = cut(members.join(labels, members.set_id == labels.node, "left").select("hub", "set_id", "size", F.coalesce("label", "set_id").alias("part")))
-    apart = cut(parts.groupBy("hub").agg(F.min("part").alias("_p"), F.max("part").alias("_q"), F.count(F.lit(1)).alias("n")).filter("_p < _q").select("hub", "n"))
-    rest = cut(spread_join(parts, apart, "hub").drop("n"))
-    if rest.isEmpty():
+    parts = cut(members.join(labels, members.set_id == labels.node, "left").select("hub", "n", "set_id", "size", F.coalesce("label", "set_id").alias("part")))
+    apart = cut(parts.groupBy("hub").agg(F.min("part").alias("_p"), F.max("part").alias("_q"), F.max("n").alias("n")).filter("_p < _q").select("hub", "n"))
+    if apart.isEmpty():
         return found
-    return cut(found.unionByName(_similar(cut(_agreeing(_by_differences(rest, sets), sketched, keep)), sets)))
+    rest = cut(spread_join(parts.drop("n"), apart, "hub"))
+    pairs = cut(_by_differences(rest, sets))
+    pairs = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b").select("a", "b", "n")
+    return cut(found.unionByName(_similar(cut(_agreeing(pairs, sketched, keep)), sets)))
 
 
 def sets_by(docs: DataFrame, groups: DataFrame, words: int):
