@@ -125,9 +125,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, chance: float = MISS) -> Da
     named = groups.filter("rep is not null and size > 0")
     labels = components(links(named, sets_by(docs, named, words), sieve(bounds(up / down, chance))))
     parts = named.join(labels, named.set_id == labels.node, "left").select("set_id", "rep", F.coalesce("label", "set_id").alias("part"))
-    parts = cut(parts)
-    sizes = cut(parts.groupBy("part").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    least = spread_join(parts, sizes, "part").select("set_id", "component_id")
-    found = spread_join(prints.select("doc_id", "set_id", "size"), cut(groups.select("set_id", "n").join(least, "set_id", "left")), "set_id")
+    least = parts.groupBy("part").agg(F.min("rep").alias("component_id"))
+    ids = parts.join(least, "part").select("set_id", "component_id")
+    found = spread_join(prints.select("doc_id", "set_id", "size"), cut(groups.select("set_id", "n").join(ids, "set_id", "left")), "set_id")
     component = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -49,13 +49,6 @@ def _shortened(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(left, right)], names=["a", "b"])
 
 
-def _with_least(edges: DataFrame, spread: bool) -> DataFrame:
-    """a, b and m, the smallest b of each a."""
-    if not spread:
-        return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
-    return spread_join(edges, cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))), "a")
-
-
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -66,19 +59,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: a, b (bigint; loops, repeats and either order allowed). Each step only moves every edge to the
     smallest neighbour of one of its ends, so the number of edges never grows; the steps are logarithmic in
-    the number of nodes. No edge list or label ever reaches the driver, only counts do. A node with a great part of all edges is
-    joined by a broadcast, so its edges stay dealt out (spread_join).
+    the number of nodes. No edge list or label ever reaches the driver, only counts do. Beyond ``PLAIN`` edges, those of a node that
+    has a great part of them stay dealt out and meet a broadcast (spread_join).
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = cut(edges.mapInArrow(_shortened, "a bigint, b bigint"))
     before = None
     while (now := _mark(edges)) != before and now[0]:
         before = now
-        spread = now[0] > PLAIN
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, spread).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
-        large = cut(large) if spread else large
-        moved = _with_least(large, spread).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = spread_join(both, cut(least), "a") if now[0] > PLAIN else both.join(least, "a")
+        large = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = cut(large) if now[0] > PLAIN else large
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = (spread_join(large, cut(small), "a") if now[0] > PLAIN else large.join(small, "a")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct().mapInArrow(_shortened, "a bigint, b bigint"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quernstone.llm import bayes, common, graph, minhash
+from quernstone.llm import bayes, common, graph
 from quernstone.llm import queries as Q
 
 from .test_exact import WORD, classes, lowered
@@ -71,7 +71,6 @@ def test_large_group_is_dealt_out(spark, monkeypatch):
     """A third of all rows are near copies of one text: their components are those of all pairs."""
     monkeypatch.setattr(common, "HEAVY_LEAST", 20)
     monkeypatch.setattr(common, "HEAVY_MOST", 50)
-    monkeypatch.setattr(minhash, "SLICE", 16)
     rng = np.random.default_rng(7)
     base = [f"w{x}" for x in rng.integers(0, 3000, 160)]
     texts = {0: " ".join(base)}
