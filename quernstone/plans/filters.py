@@ -195,7 +195,7 @@ def _has_negation(node) -> bool:
 
 
 #: Columns of a row that are no metadata.
-OWN = frozenset(("id", "embedding", "cluster", "dl", "tokens"))
+OWN = frozenset(("id", "embedding", "cluster", "dl", "tokens", "_range", "_slot", "_dl", "_terms", "_tfs"))
 
 
 def _some(f: T.StructField) -> Column:

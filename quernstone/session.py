@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import bm25, chunk, embed, fusion, hnsw, ivf, knn, metrics, project, quantize, rag, rerank, sweep
+from .operators import chunk, embed, fusion, hnsw, ivf, knn, metrics, postings, project, quantize, rag, rerank, sweep
 from .plans.filters import compile_filter
 from .sources import corpus, files, synthetic
 from .sources.store import Store, collection_stats
@@ -16,6 +16,8 @@ from .streaming.ingest import chunk_rows
 
 #: From this share (or number) of matching rows down, an exact scan of the matches beats an index.
 FEW_ROWS, FEW_SHARE = 50, 0.01
+#: The first range of documents that are indexed beside the stored lexical index.
+LATER = 1 << 40
 
 
 class Engine:
@@ -38,8 +40,9 @@ class Engine:
 
     def _changed(self) -> None:
         for x in self._derived.values():
-            for df in [x] if isinstance(x, DataFrame) else [x.texts] if isinstance(x, bm25.Index) else []:
-                df.unpersist()
+            for df in x if isinstance(x, tuple) else [x]:
+                if isinstance(df, DataFrame):
+                    df.unpersist()
         self._derived.clear()
         self.cache.clear()
 
@@ -147,16 +150,37 @@ class Engine:
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 12), "id")).cast("bigint")
         return both.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "id", "rank", "distance", "score")
 
-    def lexical(self) -> bm25.Index:
+    def lexical(self) -> tuple[postings.Postings, DataFrame | None]:
+        """The lexical index, and which of its documents are no longer there. It is built once and kept in the store; rows written later are
+        indexed beside it, for this session."""
+        if self.store.kept("lexical") is None:
+            c, rows, names = self.store.config(), self.rows(), {}
+
+            def write(name: str, df: DataFrame, by: str | None) -> DataFrame:
+                names[name], written = self.store.write_table(df, by)
+                return written
+
+            made = postings.stored(rows, [x for x in rows.columns if x not in ("id", "text", "embedding")], write)
+            about = self.spark.createDataFrame([(made.k1, made.b, made.reference)], "k1 double, b double, reference double")
+            self.store.keep("lexical", c, about=about, **names)
+
         def make():
-            index = bm25.build(self.rows(), [x for x in self.rows().columns if x not in ("id", "text", "embedding")])
-            index.texts = index.texts.persist()
-            return index
+            kept = self.store.kept("lexical")
+            about = kept["about"].first()
+            index = postings.Postings(kept["docs"], kept["blocks"], about.k1, about.b, about.reference)
+            ids, later = self.store.later("lexical")
+            if ids is None:
+                return index, None
+            gone = index.docs.join(ids, "id", "left_semi").select("_range", "_slot").persist()
+            docs = postings.documents(later, [x for x in later.columns if x not in ("id", "text", "embedding")]).persist()
+            return index.union(postings.Postings(docs, postings.blocks(docs, about.reference, about.k1, about.b)), LATER), gone
 
         return self._once("lexical", make)
 
-    def bm25(self, queries: DataFrame, k: int = 10, query_filter: dict | None = None) -> DataFrame:
-        return bm25.search(self.lexical(), queries, k, query_filter=query_filter)
+    def bm25(self, queries: DataFrame, k: int = 10, query_filter: dict | None = None, prune: bool = False) -> DataFrame:
+        """prune: for few queries over many documents; see postings."""
+        index, gone = self.lexical()
+        return postings.search(index, queries, k, query_filter=query_filter, gone=gone, prune=prune)
 
     def hybrid(self, queries: DataFrame, k: int = 10, method: str = "rrf", alpha: float = fusion.ALPHA, rrf_k: int = fusion.RRF_K, multiplier: int = 2, query_filter: dict | None = None) -> DataFrame:
         pool = fusion.pool_size(k, multiplier)

@@ -205,10 +205,16 @@ class Store:
         self._commit(lambda c: c | {"index": index, "params": params})
         self.journal("switch_index", {"index": index, **params})
 
-    def keep(self, name: str, c: dict, by: dict[str, str] | None = None, **tables: DataFrame) -> None:
-        """Stores what was trained on the rows of the manifest c: cells, graphs, codebooks. by: the column that a table's folders are named by."""
+    def write_table(self, rows: DataFrame, by: str | None = None) -> tuple[str, DataFrame]:
+        """A table for keep(): its name, and what was written."""
+        name = self._write(rows, by)
+        return name, self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def keep(self, name: str, c: dict, by: dict[str, str] | None = None, **tables: DataFrame | str) -> None:
+        """Stores what was made of the rows of the manifest c: cells, graphs, codebooks, or names of tables that have been written.
+        by: the column that a table's folders are named by."""
         by = by or {}
-        entry = {"tables": {k: self._write(t, by.get(k)) for k, t in tables.items()}, "writes": [w["name"] for w in c["writes"]]}
+        entry = {"tables": {k: t if isinstance(t, str) else self._write(t, by.get(k)) for k, t in tables.items()}, "writes": [w["name"] for w in c["writes"]]}
         self._commit(lambda now: now | {"tables": now["tables"] | {name: entry}})
         self.journal("keep", {"name": name})
 
