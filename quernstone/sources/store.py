@@ -1,7 +1,7 @@
 """Versioned Parquet storage of a collection: a base of rows and the writes since, read as the latest row of each id.
 
 A write adds a folder of its own; nothing is changed in place, so a failed write leaves the earlier state whole, and writers at the same time
-do not meet but in the manifest. A delete is a row that says so. ``compact`` writes the active rows into a new base; readers keep the files that
+do not meet but in the manifest. A delete writes bitmaps of places in the files of rows, nothing of the rows themselves. ``compact`` writes the active rows into a new base; readers keep the files that
 they have planned against. All paths go through Spark's own file systems.
 """
 
@@ -22,6 +22,8 @@ from ..functions import vectors as V
 
 #: Rows of writes whose ids are broadcast to the base.
 DELTA = 500_000
+#: Rows of a file that one bitmap is for, and bitmaps (8 KB each) that are broadcast.
+PAGE, PAGES = 1 << 16, 8_000
 
 
 class InvalidVectors(ValueError):
@@ -53,7 +55,8 @@ class Store:
 
     A manifest, a numbered file that is never changed, names the folders of rows: a base, in which every id comes once, and the writes
     since. Reading is the base without the ids of the writes, and the latest rows of these. Only the writes go through a window, and
-    filters reach both scans.
+    filters reach both scans. Deleted rows are told by bitmaps (file, page of the file, 64-bit words), each state of which is a
+    table of its own; they meet the scans by a broadcast join of files and pages, or beyond ``PAGES`` a shuffled one, never by ids.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -105,7 +108,7 @@ class Store:
         self._index(index)
         if metric not in V.METRICS:
             raise ValueError(f"unknown metric {metric!r}")
-        self._commit(lambda _: {"dim": dim, "metric": metric, "index": index, "params": params, "base": None, "writes": [], "tables": {}})
+        self._commit(lambda _: {"dim": dim, "metric": metric, "index": index, "params": params, "base": None, "writes": [], "gone": None, "tables": {}})
         return self
 
     @staticmethod
@@ -118,11 +121,11 @@ class Store:
         (rows.write.partitionBy(by) if by else rows.write).parquet(f"{self.folder}/{name}")
         return name
 
-    def _append(self, rows: DataFrame, n: int, deleted: bool) -> None:
-        name = self._write(rows.withColumn("is_deleted", F.lit(deleted)))
+    def _append(self, rows: DataFrame, n: int) -> None:
+        name = self._write(rows.withColumn("is_deleted", F.lit(False)))
         entry = {"name": name, "rows": n}
         # The first rows of all are the base; their ids have been seen to be distinct.
-        first = lambda c: c["base"] is None and not c["writes"] and not deleted
+        first = lambda c: c["base"] is None and not c["writes"]
         self._commit(lambda c: c | ({"base": entry} if first(c) else {"writes": [*c["writes"], entry]}))
 
     def upsert(self, rows: DataFrame) -> int:
@@ -130,42 +133,94 @@ class Store:
         c = self.config()
         n = validate(rows, c["dim"], c["metric"])
         if n:
-            self._append(rows, n, False)
+            self._append(rows, n)
             self.journal("upsert", {"rows": n})
         return n
 
-    def delete(self, ids: DataFrame) -> int:
-        """How many active rows have gone. ids: id."""
-        active = self.read()
-        if active is None:
-            return 0
-        gone = active.join(ids.select("id").distinct(), "id", "left_semi")
-        n = gone.count()
-        if n:
-            self._append(gone, n, True)
+    def delete(self, ids: DataFrame, attempts: int = 20) -> int:
+        """How many active rows have gone. ids: id. Only bitmaps are written."""
+        for _ in range(attempts):
+            c = self.config()
+            active = self._active(c, places=True)
+            if active is None:
+                return 0
+            found = active.join(ids.select("id").distinct(), "id", "left_semi").select("_file", "_at")
+            name = self._write(self._bits(found, c.get("gone")))
+            written = self.spark.read.parquet(f"{self.folder}/{name}")
+            pages, rows = written.agg(F.count(F.lit(1)), F.sum(F.aggregate("words", F.lit(0), lambda n, w: n + F.bit_count(w)))).first()
+            n = (rows or 0) - (c["gone"]["rows"] if c.get("gone") else 0)
+            if not n:
+                return 0
+            entry = {"name": name, "rows": rows, "pages": pages}
+            try:
+                self._commit(lambda now, c=c, entry=entry: self._unmoved(now, c) | {"gone": entry})
+            except Conflict:
+                continue  # someone else has deleted, or compacted the files
             self.journal("delete", {"rows": n})
-        return n
+            return n
+        raise Conflict(f"{attempts} attempts to delete from {self.folder} came second")
 
-    def _log(self, writes: list[dict]) -> DataFrame:
+    @staticmethod
+    def _unmoved(now: dict, c: dict) -> dict:
+        """The manifest, if bitmaps made on c still hold: writes may have come in meanwhile."""
+        if now["base"] != c["base"] or now.get("gone") != c.get("gone") or any(w not in now["writes"] for w in c["writes"]):
+            raise Conflict("files were compacted, or rows deleted, by someone else")
+        return now
+
+    def _bits(self, places: DataFrame, old: dict | None) -> DataFrame:
+        """file, page, words: the bitmaps of some places, with those that are there."""
+        bit = (F.col("_at") % PAGE).cast("int")
+        each = places.select(F.col("_file").alias("file"), F.floor(F.col("_at") / PAGE).cast("int").alias("page"), F.floor(bit / 64).cast("int").alias("w"), (bit % 64).alias("b"))
+        words = each.groupBy("file", "page", "w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("x"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(PAGE // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint")))
+        new = words.groupBy("file", "page").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m")).select("file", "page", dense.alias("words"))
+        if not old:
+            return new
+        both = self.spark.read.parquet(f"{self.folder}/{old['name']}").withColumnRenamed("words", "_old").join(new, ["file", "page"], "full_outer")
+        return both.select("file", "page", F.coalesce(F.zip_with("words", "_old", lambda x, y: x.bitwiseOR(y)), "words", "_old").alias("words"))
+
+    def _gone(self, rows: DataFrame, entry: dict | None, name: str = "_gone") -> DataFrame:
+        """rows (read from files, with _file and _at) with a column that says whether their bit is set."""
+        if not entry:
+            return rows.withColumn(name, F.lit(False))
+        bits = self.spark.read.parquet(f"{self.folder}/{entry['name']}").select(F.col("file").alias("_file"), F.col("page").alias("_page"), F.col("words").alias("_words"))
+        bits = F.broadcast(bits) if entry["pages"] <= PAGES else bits
+        keyed = rows.withColumn("_page", F.floor(F.col("_at") / PAGE).cast("int")).join(bits, ["_file", "_page"], "left")
+        bit = (F.col("_at") % PAGE).cast("int")
+        word = F.element_at("_words", F.floor(bit / 64).cast("int") + 1)
+        return keyed.withColumn(name, F.coalesce(F.getbit(word, bit % 64) == 1, F.lit(False))).drop("_page", "_words")
+
+    def _files(self, names: list[str], merge: bool) -> DataFrame:
+        """The rows of some folders, with the names of their files and their places in them."""
+        rows = self.spark.read.option("mergeSchema", str(merge).lower()).parquet(*[f"{self.folder}/{n}" for n in names])
+        return rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+    def _log(self, writes: list[dict], gone: dict | None, places: bool = False) -> DataFrame:
         """The rows of some writes, with their place among these as seq."""
         names = [w["name"].split("/")[-1] for w in writes]
-        rows = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.folder}/{w['name']}" for w in writes])
-        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        return rows.withColumn("seq", F.array_position(F.lit(names), folder))
+        rows = self._gone(self._files([w["name"] for w in writes], True), gone)
+        rows = rows.withColumn("seq", F.array_position(F.lit(names), F.element_at(F.split("_path", "/"), -2))).withColumn("is_deleted", F.col("is_deleted") | F.col("_gone"))
+        return rows.drop("_gone", "_path", *(() if places else ("_file", "_at")))
 
     def replace_vectors(self, vectors: DataFrame) -> int:
         """New embeddings (id, embedding) for active rows, whose other columns stay; ids that are not active are passed over."""
         active = self.read()
         return 0 if active is None else self.upsert(active.drop("embedding").join(vectors.select("id", "embedding"), "id"))
 
-    def _base(self, c: dict) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/{c['base']['name']}").drop("is_deleted") if c["base"] else None
-
-    def _over(self, base: DataFrame | None, writes: list[dict]) -> DataFrame | None:
-        """base (each id once) with the writes on top."""
+    def _base(self, c: dict, places: bool = False) -> DataFrame | None:
+        if not c["base"]:
+            return None
+        if not places and not c.get("gone"):
+            return self.spark.read.parquet(f"{self.folder}/{c['base']['name']}").drop("is_deleted")
+        rows = self._gone(self._files([c["base"]["name"]], False), c.get("gone")).filter(~F.col("_gone"))
+        return rows.drop("is_deleted", "_gone", "_path", *(() if places else ("_file", "_at")))
+
+    def _active(self, c: dict, places: bool = False) -> DataFrame | None:
+        """The base (each id once) with the writes on top. places: with _file and _at."""
+        base, writes = self._base(c, places), c["writes"]
         if not writes:
             return base
-        log = self._log(writes)
+        log = self._log(writes, c.get("gone"), places)
         if base is None:
             return latest(log)
         ids = log.select("id").distinct()
@@ -175,7 +230,7 @@ class Store:
     def read(self) -> DataFrame | None:
         """The active rows; None if nothing was ever written."""
         c = self.config()
-        return self._over(self._base(c), c["writes"]) if c else None
+        return self._active(c) if c else None
 
     def get(self, id) -> DataFrame | None:
         rows = self.read()
@@ -185,16 +240,16 @@ class Store:
         """Active rows become the base. Writes that come in meanwhile stay writes; tables of an index stay if they cover what was compacted."""
         c = self.config()
         active = self.read()
-        if active is None or not c["writes"]:
+        if active is None or not (c["writes"] or c.get("gone")):
             return
         entry = {"name": self._write(active.withColumn("is_deleted", F.lit(False))), "rows": active.count()}
         done = [w["name"] for w in c["writes"]]
 
         def change(now):
-            if now["base"] != c["base"]:
-                raise Conflict("the collection was compacted by someone else")
-            tables = {k: t | {"writes": [w for w in t["writes"] if w not in done]} for k, t in now["tables"].items() if set(done) <= set(t["writes"])}
-            return now | {"base": entry, "writes": [w for w in now["writes"] if w["name"] not in done], "tables": tables}
+            self._unmoved(now, c)
+            covered = lambda t: set(done) <= set(t["writes"]) and t.get("gone") == c.get("gone")
+            tables = {k: t | {"writes": [w for w in t["writes"] if w not in done], "gone": None} for k, t in now["tables"].items() if covered(t)}
+            return now | {"base": entry, "writes": [w for w in now["writes"] if w["name"] not in done], "gone": None, "tables": tables}
 
         self._commit(change)
         self.journal("compact", {"rows": entry["rows"]})
@@ -214,7 +269,7 @@ class Store:
         """Stores what was made of the rows of the manifest c: cells, graphs, codebooks, or names of tables that have been written.
         by: the column that a table's folders are named by."""
         by = by or {}
-        entry = {"tables": {k: t if isinstance(t, str) else self._write(t, by.get(k)) for k, t in tables.items()}, "writes": [w["name"] for w in c["writes"]]}
+        entry = {"tables": {k: t if isinstance(t, str) else self._write(t, by.get(k)) for k, t in tables.items()}, "writes": [w["name"] for w in c["writes"]], "gone": c.get("gone")}
         self._commit(lambda now: now | {"tables": now["tables"] | {name: entry}})
         self.journal("keep", {"name": name})
 
@@ -233,13 +288,22 @@ class Store:
         return [w for w in c["writes"] if w["name"] not in covered]
 
     def later(self, name: str) -> tuple[DataFrame | None, DataFrame | None]:
-        """The ids of the writes that the tables stored under a name know nothing of, and the active rows of these; (None, None) without any."""
-        writes = self.since(name)
-        if not writes:
+        """The ids that writes and deletes have touched since the tables stored under a name were made, and the active rows of the writes;
+        (None, None) if there are none."""
+        c, writes = self.config(), self.since(name)
+        old, new = c["tables"][name].get("gone"), c.get("gone")
+        if not writes and old == new:
             return None, None
-        log = self._log(writes)
-        ids = log.select("id").distinct()
-        return F.broadcast(ids) if sum(w["rows"] for w in writes) <= DELTA else ids, latest(log)
+        n = sum(w["rows"] for w in writes)
+        log = self._log(writes, new) if writes else None
+        ids = log.select("id") if writes else None
+        if old != new:
+            names = [w["name"] for w in ([c["base"]] if c["base"] else []) + c["writes"]]
+            dead = self._gone(self._gone(self._files(names, True).select("id", "_file", "_at"), new), old, "_before").filter("_gone and not _before").select("id")
+            ids = dead if ids is None else ids.unionByName(dead)
+            n += new["rows"] - (old["rows"] if old else 0)
+        ids = ids.distinct()
+        return F.broadcast(ids) if n <= DELTA else ids, latest(log) if writes else self.read().limit(0)
 
     def on_top(self, rows: DataFrame, name: str, derive) -> DataFrame:
         """rows of a kept table with later writes on top; derive adds to the rows of these what was derived for the table."""

@@ -97,7 +97,7 @@ def test_concurrent_writes(spark, store, tmp_path):
     store.upsert(rows(spark, ("a", (1, 0), "x")))
     version = other._version()
     other._version = iter([version - 1, version, version, version + 1, version + 1]).__next__  # as if it had looked before
-    other._append(rows(spark, ("b", (0, 1), "y")), 1, False)
+    other._append(rows(spark, ("b", (0, 1), "y")), 1)
     assert {r.id for r in store.read().collect()} == {"a", "b"}
     late, write = Store(spark, store.folder), store._write
 
