@@ -7,18 +7,17 @@ they have planned against. All paths go through Spark's own file systems.
 
 from __future__ import annotations
 
-import io
 import json
 import uuid
 from datetime import UTC, datetime
 
-import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from . import vectors
 
 #: Rows of writes whose ids are broadcast to the base.
 DELTA = 500_000
@@ -50,6 +49,10 @@ class Conflict(RuntimeError):
     """Someone else has committed in between, again and again."""
 
 
+class Repeated(RuntimeError):
+    """The batch has been committed before."""
+
+
 class Store:
     """One collection under a folder. Columns besides id and embedding are its metadata.
 
@@ -121,22 +124,43 @@ class Store:
         (rows.write.partitionBy(by) if by else rows.write).parquet(f"{self.folder}/{name}")
         return name
 
-    def _append(self, rows: DataFrame, n: int) -> None:
+    def _append(self, rows: DataFrame, n: int, batch: tuple[str, int] | None = None) -> None:
         name = self._write(rows.withColumn("is_deleted", F.lit(False)))
         entry = {"name": name, "rows": n}
-        # The first rows of all are the base; their ids have been seen to be distinct.
-        first = lambda c: c["base"] is None and not c["writes"]
-        self._commit(lambda c: c | ({"base": entry} if first(c) else {"writes": [*c["writes"], entry]}))
 
-    def upsert(self, rows: DataFrame) -> int:
-        """How many rows were written."""
+        def change(c):
+            if batch and self._seen(c, batch):
+                raise Repeated(f"batch {batch[1]} of {batch[0]} is there")
+            # The first rows of all are the base; their ids have been seen to be distinct.
+            first = c["base"] is None and not c["writes"]
+            done = {"batches": c.get("batches", {}) | {batch[0]: batch[1]}} if batch else {}
+            return c | done | ({"base": entry} if first else {"writes": [*c["writes"], entry]})
+
+        try:
+            self._commit(change)
+        except Repeated:
+            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+            raise
+
+    def upsert(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """How many rows were written. batch: an application's name and the number of its batch; a number that is not above the last one
+        that the application has committed is passed over, before anything is written and again at the commit."""
         c = self.config()
+        if batch and self._seen(c, batch):
+            return 0
         n = validate(rows, c["dim"], c["metric"])
         if n:
-            self._append(rows, n)
+            try:
+                self._append(rows, n, batch)
+            except Repeated:
+                return 0
             self.journal("upsert", {"rows": n})
         return n
 
+    @staticmethod
+    def _seen(c: dict, batch: tuple[str, int]) -> bool:
+        return c.get("batches", {}).get(batch[0], -1) >= batch[1]
+
     def delete(self, ids: DataFrame, attempts: int = 20) -> int:
         """How many active rows have gone. ids: id. Only bitmaps are written."""
         for _ in range(attempts):
@@ -318,25 +342,42 @@ class Store:
         out.close()
 
     def import_snapshot(self, folder: str) -> int:
-        """Upserts the active rows of a snapshot in the older layout: config.json, vectors.npy, deleted.npy and metadata.jsonl, a line
-        (id and metadata) for each vector. Its arrays are read on the driver, as its writer had them in memory."""
-        read = lambda name: io.BytesIO(self.spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{name}").select("content").first()[0])
-        vectors, gone = np.load(read("vectors.npy"), allow_pickle=False), np.load(read("deleted.npy"), allow_pickle=False)
-        lines = [json.loads(x) for x in read("metadata.jsonl").getvalue().decode().splitlines() if x.strip()]
-        if not len(vectors) == len(gone) == len(lines):
-            raise InvalidVectors(f"the snapshot has {len(vectors)} vectors, {len(gone)} marks and {len(lines)} lines of metadata")
-        rows = {}
-        for v, dead, line in zip(vectors.astype(np.float32), gone, lines, strict=True):
-            if not dead:
-                own = line.get("metadata", {k: x for k, x in line.items() if k != "id"})
-                rows[line["id"]] = {"id": line["id"], "embedding": v.tolist()} | {k: x for k, x in own.items() if x is not None}
-        if not rows:
+        """Upserts the active rows of a snapshot in the older layout: vectors.npy, deleted.npy and metadata.jsonl, a line (id and
+        metadata) for each vector. All three are read in ranges and joined by their place; of an id that comes twice the last row stays.
+        Values of a key that differ in type become texts, nested ones JSON."""
+        folder = folder.rstrip("/")
+        path = {x: f"{folder}/{x}" for x in ("vectors.npy", "deleted.npy", "metadata.jsonl")}
+        lines = numbered_lines(self.spark, path["metadata.jsonl"])
+        counts = [vectors.layout(path["vectors.npy"]).rows, vectors.layout(path["deleted.npy"]).rows, lines.count()]
+        if len(set(counts)) > 1:
+            raise InvalidVectors("the snapshot has {} vectors, {} marks and {} lines of metadata".format(*counts))
+        if not counts[0]:
             return 0
-        known = {k: T.LongType() if isinstance(x, int) and not isinstance(x, bool) else T.BooleanType() if isinstance(x, bool) else T.DoubleType() if isinstance(x, float) else T.StringType() for r in rows.values() for k, x in r.items() if k not in ("id", "embedding")}
-        kind = T.LongType() if all(isinstance(i, int) for i in rows) else T.StringType()
-        schema = T.StructType([T.StructField("id", kind), T.StructField("embedding", T.ArrayType(T.FloatType())), *[T.StructField(k, t) for k, t in known.items()]])
-        cast = lambda k, x: x if k not in known or x is None or not isinstance(known[k], T.StringType) or isinstance(x, str) else json.dumps(x)
-        return self.upsert(self.spark.createDataFrame([tuple(cast(f.name, r.get(f.name)) for f in schema) for r in rows.values()], schema))
+        schema = self.spark.read.option("mode", "FAILFAST").json(path["metadata.jsonl"]).schema
+        row = lines.select("pos", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x"))
+        own = schema["metadata"].dataType.fields if "metadata" in schema.names and isinstance(schema["metadata"].dataType, T.StructType) else []
+        top = [f for f in schema if f.name not in ("id", "metadata")]
+        columns = {}
+        for where, fields in (("x.metadata", own), ("x", top)):
+            for f in fields:
+                c = F.col(f"{where}.`{f.name}`")
+                c = F.to_json(c) if isinstance(f.dataType, T.StructType | T.ArrayType) else c
+                columns.setdefault(f.name, []).append(F.when(F.col("x.metadata").isNotNull() == (where != "x"), c) if own else c)
+        columns = {k: F.coalesce(*some) if len(some) < 2 or own else some[0] for k, some in columns.items() if k not in ("id", "embedding")}
+        matrix = vectors.load(self.spark, path["vectors.npy"]).select("pos", "embedding")
+        alive = vectors.load(self.spark, path["deleted.npy"]).filter(F.col("embedding")[0] == 0).select("pos")
+        rows = matrix.join(alive, "pos").join(row.select("pos", F.col("x.id").alias("id"), *[c.alias(k) for k, c in columns.items()]), "pos")
+        last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("pos")))
+        return self.upsert(rows.withColumn("_r", last).filter("_r = 1").select("id", "embedding", *[f"`{k}`" for k in columns]))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """pos, value of the lines of one file that are not blank. Lines are numbered within the blocks that tasks read; what is added up in
+    order are only the blocks' counts."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
+    blocks = lines.groupBy("_block").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(F.broadcast(blocks.withColumn("_before", before)), "_block").select((F.col("_before") + F.col("_n") - F.col("_first")).alias("pos"), "value")
 
 
 def collection_stats(rows: DataFrame) -> DataFrame:

@@ -39,11 +39,11 @@ def chunk_rows(docs: DataFrame, model: Callable[[list[str]], np.ndarray] | None
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None, **how) -> StreamingQuery:
-    """Ids come from the content and a write's place from the number of writes, so a micro-batch that runs twice changes nothing."""
+    """A micro-batch is committed with its number, under the name of the checkpoint, so one that runs twice adds nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = chunk_rows(batch, **how)
         if not rows.isEmpty():
-            store.upsert(rows)
+            store.upsert(rows, (checkpoint, epoch))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

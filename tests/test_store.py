@@ -143,6 +143,51 @@ def test_older_snapshot(spark, store, tmp_path):
     assert {(r.id, tuple(r.embedding), r.tag, r.n) for r in store.read().collect()} == {("a", (2.0, 1.0), "z", 2), ("c", (1.0, 1.0), None, None)}
 
 
+def test_large_snapshot_in_ranges(spark, store, tmp_path, monkeypatch):
+    """Lines without a metadata entry, nested and mixed values, blank lines, and files that many tasks read."""
+    n = 3000
+    x = np.random.default_rng(1).normal(size=(n, 2)).astype(np.float32)
+    np.save(tmp_path / "vectors.npy", x)
+    np.save(tmp_path / "deleted.npy", np.arange(n) % 5 == 0)
+    lines = [{"id": i, "tag": f"t{i}"} if i % 2 else {"id": i, "metadata": {"tag": f"m{i}", "list": [i], "any": i if i % 4 else "x"}} for i in range(n)]
+    (tmp_path / "metadata.jsonl").write_text("\n".join(json.dumps(v) + "\n" * (i % 3 == 0) for i, v in enumerate(lines)))
+    monkeypatch.setattr("quernstone.sources.vectors.PART_BYTES", 1000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert store.import_snapshot(str(tmp_path)) == n - n // 5
+        got = {r.id: r for r in store.read().collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got.keys() == {i for i in range(n) if i % 5}
+    for i, r in got.items():
+        assert tuple(r.embedding) == tuple(x[i].tolist()) and r.tag == (f"t{i}" if i % 2 else f"m{i}")
+        assert r.list == (None if i % 2 else f"[{i}]") and r.any == (None if i % 2 else str(i) if i % 4 else "x")
+    np.save(tmp_path / "deleted.npy", np.zeros(n - 1, bool))
+    with pytest.raises(InvalidVectors, match="2999 marks"):
+        store.import_snapshot(str(tmp_path))
+
+
+def test_a_batch_is_written_once(spark, store, tmp_path):
+    a, b = rows(spark, ("a", (1, 0), "x")), rows(spark, ("a", (1, 1), "y"))
+    assert store.upsert(a, ("app", 0)) == 1 and store.upsert(b, ("app", 0)) == 0 and store.upsert(b, ("other", 0)) == 1
+    folders = lambda: len(list((tmp_path / "s" / "rows").iterdir()))
+    n = folders()
+    assert store.upsert(a, ("app", 0)) == 0 and folders() == n
+    late, write = Store(spark, store.folder), store._write
+
+    def meanwhile(r, by=None):  # the same batch is committed by a second driver between look and commit
+        store._write = write
+        assert late.upsert(a, ("app", 1)) == 1
+        return write(r, by)
+
+    store._write = meanwhile
+    assert store.upsert(b, ("app", 1)) == 0 and folders() == n + 1 and store.config()["batches"] == {"app": 1, "other": 0}
+    store.compact()
+    assert store.upsert(b, ("app", 1)) == 0 and store.get("a").first().tag == "x"
+
+
 def test_cells_are_pruned_and_never_move(spark, tmp_path):
     x = np.random.default_rng(3).normal(size=(300, 8))
     table = lambda ids, m: spark.createDataFrame([(i, m[j].tolist(), "t") for j, i in enumerate(ids)], "id int, embedding array<float>, tag string")
