@@ -857,12 +857,13 @@ def engine_switch_index(spark, sf):
     return _round(e.dense(_asked(spark, sf), 5), "distance", "score")
 
 
-@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en' AND text IS NOT NULL AND length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 0 AND NOT contains(text, '&'))
-SELECT DISTINCT substr(sha256(doc_id || ':fixed:10000:0:' || t), 1, 16) AS id, doc_id::VARCHAR AS source FROM t WHERE length(t) <= 10000""")
+_SPACED = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+
+
+@query(_fixed_sql(10_000, 0).replace("coalesce(text, '')", _SPACED) + " SELECT DISTINCT substr(sha256(doc_id || ':fixed:10000:0:' || text), 1, 16) AS id, doc_id::VARCHAR AS source FROM f")
 def engine_ingest(spark, sf):
-    """Documents cut, embedded and written; those of one chunk, so that SQL can follow. White space is put in order beforehand."""
-    one = F.trim(F.regexp_replace("text", r"\s+", " "))
-    docs = _t(spark, sf, "documents").filter("lang = 'en'").select("doc_id", one.alias("text")).filter(F.length("text").between(1, 10000) & ~F.col("text").contains("&"))
+    """All documents cut, embedded and written. White space is put in order beforehand."""
+    docs = _texts(spark, sf).select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text")).filter("text <> ''")
     e = _engine(spark, _vectors(spark, sf).limit(0).select(F.col("id").cast("string").alias("id"), "embedding"), 64, "cosine")
     e.model = embed.bag_of_words
     e.ingest(docs, "fixed", 10_000, 0)
