@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, pieces, raw, small_batches, smallest
+from .common import cut, docs_of, pieces, raw, small_batches, smallest
 from .features import subwords, total
 from .words import NEW_WORDS, Rows, Split, WordTable, gather
 
@@ -235,14 +235,17 @@ def train(texts: list[bytes], langs_of: list[str], buckets: int = 1 << 16, epoch
     return Model(langs, weight, step, start, buckets, lexicon)
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", per_lang: int = 150, longest: int = 100_000, **how) -> Model:
+def learn(docs: DataFrame, lang_col: str = "lang", per_lang: int = 150, longest: int = 100_000, most_langs: int = 256, **how) -> Model:
     """A model from at most ``per_lang`` whole texts of each language, those of the smallest hashes of their ids.
 
     Texts of more than ``longest`` characters are not taken as samples, so the sample is bounded in bytes, too. Of rows that repeat
-    an id and a language the smallest text counts; rows without an id, a text or a language teach nothing.
+    an id and a language the smallest text counts, and they are one of the ``per_lang``; rows without an id, a text or a language teach
+    nothing. Of more than ``most_langs`` languages those with the most ids are learnt (ties: the first by name).
     """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col(lang_col).alias("lang")).filter("doc_id is not null and lang is not null and text is not null").filter(F.length("text") <= longest)
-    picked = smallest(rows.select("doc_id", "lang", F.struct(F.xxhash64("doc_id"), "doc_id").alias("_order")), "lang", "_order", per_lang)
+    ids = cut(rows.select("doc_id", "lang").distinct())
+    learnt = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
+    picked = smallest(ids.filter(F.col("lang").isin(learnt)).select("doc_id", "lang", F.struct(F.xxhash64("doc_id"), "doc_id").alias("_order")), "lang", "_order", per_lang)
     # At most per_lang rows a language: a bounded side.
     some = rows.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     some = sorted(some.collect(), key=lambda r: (r.doc_id, r.lang))
