@@ -9,10 +9,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIM = 384
+#: Folders of a cache, and keys that are broadcast to it.
+BUCKETS, KEYS = 64, 500_000
 
 
 def _seeded(text: str, digits: int, dim: int) -> np.ndarray:
@@ -48,8 +50,32 @@ def bag_of_words(texts: list[str], dim: int = 64) -> np.ndarray:
     return out / np.where(n == 0, 1.0, n)
 
 
-def embed(rows: DataFrame, text_col: str = "text", model: Callable[[list[str]], np.ndarray] | None = None, batch: int = 32) -> DataFrame:
-    """rows with ``embedding``. Texts that are equal once trimmed are embedded once."""
+class Cache:
+    """Embeddings by a hash of the text, in a folder that driver and executors share. One model, one folder.
+
+    It is only ever added to, by whole Parquet files, so jobs at the same time or twice add equal rows and do no harm.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_SUCCESS")
+        self._there = lambda: path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def known(self, keys: DataFrame) -> DataFrame:
+        """_key, embedding of those keys (_key, distinct) that are there. The keys go to the scan, as long as there are at most ``KEYS``."""
+        if not self._there():
+            return self.spark.createDataFrame([], "_key string, embedding array<float>")
+        few = keys.limit(KEYS + 1).count() <= KEYS
+        rows = self.spark.read.parquet(self.folder).join(F.broadcast(keys) if few else keys, "_key", "left_semi")
+        return rows.groupBy("_key").agg(F.first("embedding").alias("embedding"))
+
+    def add(self, rows: DataFrame) -> None:
+        bucket = F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("int")
+        rows.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(self.folder)
+
+
+def embed(rows: DataFrame, text_col: str = "text", model: Callable[[list[str]], np.ndarray] | None = None, batch: int = 32, cache: Cache | None = None) -> DataFrame:
+    """rows with ``embedding``. Texts that are equal once trimmed are embedded once; with a cache, once for all calls."""
     run_model = model or stand_in
     key = F.md5(F.trim(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
     keyed = rows.withColumn("_key", key)
@@ -63,4 +89,9 @@ def embed(rows: DataFrame, text_col: str = "text", model: Callable[[list[str]],
                 offsets = pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))], names=["_key", "embedding"])
 
-    return keyed.join(once.mapInArrow(run, "_key string, embedding array<float>"), "_key").drop("_key")
+    if cache is None:
+        return keyed.join(once.mapInArrow(run, "_key string, embedding array<float>"), "_key").drop("_key")
+    keys = keyed.select("_key").distinct()
+    new = once.join(cache.known(keys).select("_key"), "_key", "left_anti")
+    cache.add(new.mapInArrow(run, "_key string, embedding array<float>"))
+    return keyed.join(cache.known(keys), "_key").drop("_key")

@@ -23,11 +23,12 @@ LATER = 1 << 40
 class Engine:
     """Search over one store. Queries come and go as DataFrames; qid names a query.
 
-    model: texts to a matrix; a deterministic stand-in if not given.
+    model: texts to a matrix; a deterministic stand-in if not given. embeddings: a cache of what the model has made of texts, so that texts
+    that are ingested again are not embedded again.
     """
 
-    def __init__(self, store: Store, model: Callable[[list[str]], np.ndarray] | None = None):
-        self.store, self.model = store, model
+    def __init__(self, store: Store, model: Callable[[list[str]], np.ndarray] | None = None, embeddings: embed.Cache | None = None):
+        self.store, self.model, self.embeddings = store, model, embeddings
         self.spark: SparkSession = store.spark
         self.cache = rag.QueryCache()
         self._derived: dict = {}
@@ -56,7 +57,7 @@ class Engine:
         """docs: doc_id, text, and metadata. Writing the same text again changes nothing. How many rows were written."""
         if strategy == "fixed" and overlap >= size:
             raise ValueError("overlap must be less than size")
-        n = self.store.upsert(chunk_rows(docs, self.model, strategy, size, overlap))
+        n = self.store.upsert(chunk_rows(docs, self.model, strategy, size, overlap, self.embeddings))
         self._changed()
         return n
 

@@ -22,7 +22,7 @@ def source(columns: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "title") if c in columns], F.lit("doc"))
 
 
-def chunk_rows(docs: DataFrame, model: Callable[[list[str]], np.ndarray] | None = None, strategy: str = "semantic", size: int = 600, overlap: int = 1) -> DataFrame:
+def chunk_rows(docs: DataFrame, model: Callable[[list[str]], np.ndarray] | None = None, strategy: str = "semantic", size: int = 600, overlap: int = 1, cache: embed.Cache | None = None) -> DataFrame:
     """Documents (doc_id, text, and what else there is) as rows of a store: id from the content, embedding, text, source, and the other
     columns. What is said twice is one row."""
     if strategy not in STRATEGIES:
@@ -35,7 +35,7 @@ def chunk_rows(docs: DataFrame, model: Callable[[list[str]], np.ndarray] | None
     }[strategy](named)
     rows = cut.select(X.content_id(F.col("doc_id"), strategy, size, overlap, F.col("text")).alias("id"), "text", F.col("doc_id").alias("source"), *more)
     once = rows.groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("text", "source", *more)])
-    return embed.embed(once, model=model).select("id", "embedding", "text", "source", *more)
+    return embed.embed(once, model=model, cache=cache).select("id", "embedding", "text", "source", *more)
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None, **how) -> StreamingQuery:
