@@ -118,8 +118,23 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-#: What tasks of one operator have learnt in this worker and leave to the next; tasks of other operators drop it.
+#: What tasks of one operator have learnt in this worker and leave to the next; tasks of other operators drop it, and so does a worker
+#: that has had nothing to do for ``IDLE_S`` seconds.
 LEARNT: dict[str, object] = {}
+IDLE_S = 3.0
+_BUSY = {"tasks": 0, "begun": 0}
+
+
+def _rest(begun: int) -> None:
+    if not _BUSY["tasks"] and _BUSY["begun"] == begun:
+        LEARNT.clear()
+        give_back()
+
+
+def _later(seconds: float, what: Callable, *args) -> None:
+    timer = threading.Timer(seconds, what, args)
+    timer.daemon = True
+    timer.start()
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 19, operator: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -127,26 +142,31 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1
     for other in [x for x in LEARNT if x != operator]:
         del LEARNT[other]
     give_back()
-    done = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        size = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
-        ends = np.cumsum(size)
-        at = 0
-        while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-            done += 1
-            if done % 4 == 0:
-                give_back()
-    # What the task itself still holds is free a moment later, when the worker is idle.
-    later = threading.Timer(1.0, give_back)
-    later.daemon = True
-    later.start()
+    _BUSY["tasks"] += 1
+    _BUSY["begun"] += 1
+    begun = _BUSY["begun"]
+    try:
+        done = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(batch.schema.get_field_index(text))
+            size = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+            ends = np.cumsum(size)
+            at = 0
+            while at < batch.num_rows:
+                base = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+                yield batch.slice(at, to - at)
+                at = to
+                done += 1
+                if done % 4 == 0:
+                    give_back()
+    finally:
+        _BUSY["tasks"] -= 1
+        # What the task itself still holds is free a moment later, when the worker is idle.
+        _later(1.0, give_back)
+        _later(IDLE_S, _rest, begun)
 
 
 def keep_first(docs: DataFrame, found: DataFrame, key: Callable[[bytes], int]) -> DataFrame:
