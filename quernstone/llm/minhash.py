@@ -1,10 +1,13 @@
 """Near duplicates by the Jaccard similarity of word shingles: a byte-position inverted index with count filtering over MinHash
 sketches finds candidates, exact intersections decide.
 
-A text is the set of its shingles' hashes; its sketch has 125 positional bytes, each of one minimum. The index posts each distinct
-set under 25 tuples of five (position, byte) entries; a pair of similarity s shares no key with probability (1 - s^5)^25: 5e-5 at
-0.8, 4e-10 at 0.9. The positional bytes that a pair shares are tallied before its sets are fetched, and pairs with fewer than
-``AGREE`` are dropped: with a probability of 3e-10 at 0.8, where 100 are expected. The rest count only if their sets reach ``SIMILAR``.
+A text is the set of its shingles' hashes; its sketch has 125 positional bytes, each of one minimum. The first ``POSTED`` of them are
+indexed, in groups of seven: a set is posted under seven tuples of four (position, byte) entries a group, which leave out one line of a
+Fano plane each. Any two positions lie on a line, so a group in which at most two bytes differ has a tuple whole, and a pair that shares
+``TALLY`` of the 63 bytes (so differs in at most 26, in two or fewer of some of the nine groups) shares a key, without exception. Of pairs
+in the posting lists the shared positional bytes are tallied before sets are fetched, and those with fewer than ``TALLY`` of the posted
+ones, or ``AGREE`` of all, are dropped: at 0.8 with probabilities of 2.9e-5 (50 are expected) and 3e-10 (100), at 0.9 of 1.2e-11 and
+less. So the index loses none of the pairs that the tally keeps. The rest count only if their sets reach ``SIMILAR``.
 
 Equal sets are one group from the start. The members of a list (groups that share a key) are held against one of them, its hub: the
 one whose lists are longest in all, which in a group of copies is the text that they are copies of, or close to it. Links are joined
@@ -23,8 +26,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, docs_of, keep_first, lookup, pieces, raw
@@ -36,6 +40,12 @@ BANDS, ROWS = 25, 5
 SIMILAR = (4, 5)
 #: Positional bytes of the 125 that two sketches share at least.
 AGREE = 70
+#: Indexed positions, the lines of a Fano plane over seven of them, and the posted bytes that two sketches share at least: with one
+#: fewer, three could differ in each of the nine groups.
+POSTED, LINES = 63, ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
+TALLY = POSTED - 3 * (POSTED // 7) + 1
+#: Groups of positions that are posted at once; the lists of others wait, so that their shuffles are never on disk together.
+TOGETHER = 3
 #: Places that the set or sketch of a hub is sent to.
 SALTS = 8
 _RNG = np.random.default_rng(SEED)
@@ -63,7 +73,7 @@ def set_id(shingled: np.ndarray) -> int:
 
 
 def band_keys(shingled: np.ndarray) -> np.ndarray:
-    """The sketch as posting keys: the number of the band, and below it the bytes of its five positions."""
+    """The sketch, packed: the number of five positions, and below it their bytes."""
     if not len(shingled):
         return np.zeros(0, np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -75,8 +85,40 @@ def band_keys(shingled: np.ndarray) -> np.ndarray:
     return out.view("<i8").ravel().astype(np.int64)
 
 
+def unpacked(sketched: pa.Array) -> np.ndarray:
+    """The positional bytes of sketches (band_keys), a row each."""
+    return sketched.flatten().to_numpy().view(np.uint8).reshape(-1, BANDS, 8)[:, :, :ROWS].reshape(-1, BANDS * ROWS)
+
+
+def posting_keys(positional: np.ndarray, first: int = 0, last: int = POSTED // 7) -> np.ndarray:
+    """The keys of rows of positional bytes, of the groups from first to last: the number of the tuple, and below it its four bytes."""
+    out = np.zeros((len(positional), 7 * (last - first), 8), np.uint8)
+    for i in range(out.shape[1]):
+        group, line = first + i // 7, LINES[i % 7]
+        out[:, i, :4] = positional[:, [7 * group + p for p in range(7) if p not in line]]
+        out[:, i, 4] = 7 * group + i % 7
+    return out.view("<i8").reshape(out.shape[:2]).astype(np.int64)
+
+
+def postings(groups: DataFrame) -> list[DataFrame]:
+    """set_id, size, key of all sets with a sketch, ``TOGETHER`` groups of positions a frame."""
+
+    def post(first: int, last: int):
+        def run(batches):
+            for b in batches:
+                b = b.filter(pc.greater(pc.list_value_length(b.column(2)), 0))
+                keys = posting_keys(unpacked(b.column(2)), first, last)
+                each = pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(each), b.column(1).take(each), pa.array(keys.ravel())], names=["set_id", "size", "key"])
+
+        return run
+
+    rows, n = groups.select("set_id", "size", "sketch"), POSTED // 7
+    return [rows.mapInArrow(post(i, min(i + TOGETHER, n)), "set_id bigint, size bigint, key bigint") for i in range(0, n, TOGETHER)]
+
+
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, set_id, size (of the set), keys (none for an empty set) of every row."""
+    """doc_id, set_id, size (of the set), keys (its sketch; none for an empty set) of every row."""
 
     def run(batches):
         for b in pieces(batches):
@@ -104,9 +146,9 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def enough(x: pa.Array, y: pa.Array) -> np.ndarray:
-    """Whether two sketches (band_keys) share ``AGREE`` positional bytes, of each pair."""
-    x, y = (z.flatten().to_numpy().view(np.uint8).reshape(-1, BANDS, 8)[:, :, :ROWS] for z in (x, y))
-    return (x == y).sum((1, 2)) >= AGREE
+    """Whether two sketches (band_keys) share ``TALLY`` posted bytes and ``AGREE`` positional bytes in all, of each pair."""
+    same = unpacked(x) == unpacked(y)
+    return (same[:, :POSTED].sum(1) >= TALLY) & (same.sum(1) >= AGREE)
 
 
 def _agreeing(pairs: DataFrame, sketched: DataFrame, keep) -> DataFrame:
@@ -143,14 +185,33 @@ def _near_size(x: str, y: str):
     return F.least(x, y) * down >= F.greatest(x, y) * up
 
 
-def _hubs(lists: DataFrame) -> DataFrame:
+def _long(lists: DataFrame) -> DataFrame:
+    """set_id, long: how long its lists are in all."""
+    return lists.groupBy("set_id").agg(F.sum("n").alias("long"))
+
+
+def _hubs(lists: DataFrame, long: DataFrame) -> DataFrame:
     """key, hub, hub_size: of each list the member whose lists are longest in all."""
-    long = lists.groupBy("set_id").agg(F.sum("n").alias("long"))
-    first = F.struct(-F.col("long"), "set_id", "size")
-    hubs = lists.join(long, "set_id").groupBy("key").agg(F.min(first).alias("h"))
+    first = F.struct(-F.coalesce("long", F.lit(0)), "set_id", "size")
+    hubs = lists.join(long, "set_id", "left").groupBy("key").agg(F.min(first).alias("h"))
     return hubs.select("key", F.col("h.set_id").alias("hub"), F.col("h.size").alias("hub_size"))
 
 
+def _members(posts: list[DataFrame]) -> DataFrame | None:
+    """hub, hub_size, set_id, size: the members of all lists of two or more, hubs among them; None if there is no such list. posts: set_id,
+    size, key. Frames are worked on one after the other; the lengths of the first lists say which sets are hubs in all."""
+    out, long = None, None
+    for each in posts:
+        shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        lists = cut(each.join(shared, "key").select("key", "set_id", "size", "n"))
+        if lists.isEmpty():
+            continue
+        long = long or cut(_long(lists))
+        members = cut(lists.join(_hubs(lists, long), "key").select("hub", "hub_size", "set_id", "size").distinct())
+        out = members if out is None else out.unionByName(members)
+    return out if out is None or len(posts) == 1 else cut(out.distinct())
+
+
 def _held(members: DataFrame, sets: DataFrame) -> DataFrame:
     """members (hub, set_id, size, ...) with c, the size of the hub's set, and d, the shingles that the two do not share.
 
@@ -164,14 +225,16 @@ def _held(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different parts that may be similar, all of those that are and share a hub, given that no set is similar to
     its hub but in another part. members: hub, set_id, size, part."""
-    each = cut(_held(members, sets).select("hub", "set_id", "size", "part", "c", F.explode("d").alias("e")))
-    ranked = each.join(each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("n")), ["hub", "e"])
-    ranked = ranked.groupBy("hub", "set_id").agg(F.first("size").alias("size"), F.first("part").alias("part"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("n", "e"))).alias("d"))
-    d = F.size("d")
+    held = cut(_held(members, sets))
+    # Shingles that no other member has come first and meet nothing: it is enough to know how many they are.
+    each = held.select("hub", "set_id", F.explode("d").alias("e")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hub", "e")))
+    common = each.filter("n > 1").groupBy("hub", "set_id").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("d"))
+    ranked = held.select("hub", "set_id", "size", "part", "c", F.size("d").alias("all")).join(common, ["hub", "set_id"])
+    d = F.col("all")
     far = 9 * d > F.col("size") + F.col("c")
     first = F.floor((d + 1 - F.floor((F.col("c") - F.col("size")) / 9)) / 2)
     long = F.when(far, F.least(d, F.floor(F.col("size") / 4) + 1)).otherwise(0)
-    cut_to = lambda n: F.slice("d.e", 1, F.greatest(F.lit(0), F.least(n, d)).cast("int"))
+    cut_to = lambda n: F.slice("d.e", 1, F.greatest(F.lit(0), F.least(n - d + F.size("d"), F.size("d"))).cast("int"))
     ranked = cut(ranked.select("hub", "set_id", "size", "part", cut_to(first).alias("first"), cut_to(long).alias("long")))
     x = ranked.select("hub", "set_id", "size", "part", F.explode("first").alias("e"))
     y = ranked.select("hub", F.col("set_id").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part"), F.explode("long").alias("e"))
@@ -179,26 +242,26 @@ def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 
-def links(groups: DataFrame, sets_of, keep=enough) -> DataFrame:
+def links(groups: DataFrame, sets_of, keep=enough, posts: list[DataFrame] | None = None) -> DataFrame:
     """Links (a, b) of set ids that connect just what similar pairs with a common key, whose sketches ``keep`` lets pass, connect.
 
-    groups: set_id (distinct), size, keys, sketch. sets_of: from a frame of set_id to set_id, hashes.
+    groups: set_id (distinct), size, sketch, and keys unless there are posts (frames of set_id, size, key). sets_of: from a frame of
+    set_id to set_id, hashes.
     """
-    posts = groups.select("set_id", "size", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lists = cut(posts.join(shared, "key").select("key", "set_id", "size", "n"))
-    if lists.isEmpty():
+    members = _members(posts or [groups.select("set_id", "size", F.explode("keys").alias("key"))])
+    if members is None:
         return groups.sparkSession.createDataFrame([], "a bigint, b bigint")
-    listed = cut(lists.select("set_id").distinct())
+    listed = cut(members.select("set_id").distinct())
     sets = cut(sets_of(listed))
     sketched = cut(groups.join(lookup(listed), "set_id", "left_semi").select("set_id", "sketch"))
-    members = cut(lists.join(_hubs(lists), "key").select("hub", "hub_size", "set_id", "size").distinct())
     near = members.filter((F.col("set_id") != F.col("hub")) & _near_size("size", "hub_size")).select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "size")
     near = cut(_agreeing(near, sketched, keep)).select(F.col("b").alias("hub"), F.col("a").alias("set_id"), "size")
     alike = _held(near, sets).filter(9 * F.size("d") <= F.col("size") + F.col("c"))
     found = cut(alike.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct())
     labels = components(found)
     parts = members.join(labels, members.set_id == labels.node, "left").select("hub", "set_id", "size", F.coalesce("label", "set_id").alias("part"))
+    # What is similar to the hub itself has been found, so others are left to compare only where they differ among themselves.
+    parts = parts.filter("set_id <> hub")
     apart = parts.groupBy("hub").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p < _q").select("hub")
     rest = cut(parts.join(apart, "hub"))
     if rest.isEmpty():
@@ -225,9 +288,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     docs = docs_of(docs)
     prints = cut(sketches(docs, words))
     named = prints.filter("doc_id is not null")
-    groups = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    groups = cut(groups).withColumn("sketch", F.col("keys"))
-    labels = components(links(groups, sets_by(docs, groups, words)))
+    groups = cut(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("sketch")))
+    labels = components(links(groups, sets_by(docs, groups, words), posts=postings(groups)))
     joined = prints.join(labels, prints.set_id == labels.node, "left")
     return joined.select("doc_id", "set_id", F.coalesce("label", "set_id").alias("component_id"))
 
