@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, keep_first, lookup, pieces, raw
+from .common import cut, docs_of, given, keep_first, lookup, pieces, raw
 from .graph import components
 from .simhash import SEED
 
@@ -250,7 +250,7 @@ def links(groups: DataFrame, sets_of, keep=enough, posts: list[DataFrame] | None
     """
     members = _members(posts or [groups.select("set_id", "size", F.explode("keys").alias("key"))])
     if members is None:
-        return groups.sparkSession.createDataFrame([], "a bigint, b bigint")
+        return given(groups.sparkSession, [], "a bigint, b bigint")
     listed = cut(members.select("set_id").distinct())
     sets = cut(sets_of(listed))
     sketched = cut(groups.join(lookup(listed), "set_id", "left_semi").select("set_id", "sketch"))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, given
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -83,7 +83,7 @@ def pack(lengths: DataFrame, longest: int = 2048, buckets: int = 8, budget: int
         seen = r["bucket"]
         table.append((r["bucket"], r["part"], before - r["first"]))
         before += r["n"]
-    shifts = spark.createDataFrame(table, "bucket bigint, part bigint, shift bigint")
+    shifts = given(spark, table, "bucket bigint, part bigint, shift bigint")
     row = F.col("at") + F.col("shift")
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
     joined = placed.withColumn("part", part).join(F.broadcast(shifts), ["bucket", "part"])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, keep_first, pieces, raw, small_batches
+from .common import cut, docs_of, given, keep_first, pieces, raw, small_batches
 from .graph import components, spanning
 
 SEED = 42
@@ -181,7 +181,7 @@ def _through(rows: DataFrame, bits: int) -> DataFrame:
     k // 2 bits of one and k - k // 2 bits of the other. Every point in reach of a row is a meeting place."""
     near, far = bits // 2, bits - bits // 2
     masks = [(d, sum(1 << x for x in c)) for d in range(far + 1) for c in combinations(range(64), d)]
-    table = rows.sparkSession.createDataFrame([(d <= near, _signed(m)) for d, m in masks], "near boolean, mask bigint")
+    table = given(rows.sparkSession, [(d <= near, _signed(m)) for d, m in masks], "near boolean, mask bigint")
     met = rows.select(F.col("fp"), "rep").distinct().join(F.broadcast(table)).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("at"), "near", "rep")
     hubs = met.groupBy("at").agg(F.min(F.when(F.col("near"), F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("n")).filter("hub is not null and n > 1").drop("n")
     return met.join(hubs, "at").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()

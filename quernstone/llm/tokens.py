@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEARNT, cut, docs_of, pieces, raw, shared_folder
+from .common import LEARNT, cut, docs_of, given, pieces, raw, shared_folder
 from .words import Rows, Split, WordTable, gather
 
 MEMO_PIECES = 600_000
@@ -45,10 +45,10 @@ class Encoder:
     Its pre-tokenizer always cuts before a single space or line feed that stands between two characters that are no
     white space, so a text whose white space is all of that kind is the sequence of its pieces (each with the white
     space before it), and the ids of pieces are remembered. Any other text (runs of white space, other kinds of it,
-    special tokens) is encoded as it is.
+    special tokens) is encoded as it is. With ``ids=False`` only the numbers of ids are remembered, a small part of the memory.
     """
 
-    def __init__(self, path: str | None = None, most: int = MEMO_PIECES):
+    def __init__(self, path: str | None = None, most: int = MEMO_PIECES, ids: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -59,7 +59,7 @@ class Encoder:
         for token, i in self.tok.get_vocab().items():
             self.opens[i] = token[0] in "\u0120\u010a"
         self.table = WordTable(self._learn, most)
-        self.pool, self.size = Rows(np.uint32), Rows(np.int64)
+        self.pool, self.size = Rows(np.uint32) if ids else None, Rows(np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -73,21 +73,24 @@ class Encoder:
             ids = self._ids([b"".join([new[i] for i in some]).decode()])[0]
             first = np.flatnonzero(self.opens[ids])
             size[some] = np.diff(np.concatenate((first, [len(ids)])))
-            for i, x in zip(some, np.split(ids, first[1:]), strict=True):
+            for i, x in zip(some, np.split(ids, first[1:]), strict=True) if self.pool else ():
                 parts[i] = x
-        bare = [i for i, x in enumerate(parts) if x is None]
+        bare = [i for i, x in enumerate(new) if x[0] not in b" \n"]
         for i, ids in zip(bare, self._ids([new[i].decode() for i in bare]), strict=True):
             parts[i], size[i] = ids, len(ids)
-        self.pool.extend(np.concatenate(parts))
         self.size.extend(size)
+        if not self.pool:
+            return
+        self.pool.extend(np.concatenate(parts))
         ends = np.cumsum(self.size.data[: self.size.n])
         self.place = ends - self.size.data[: self.size.n]
 
-    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each text)"""
+    def _known(self, texts: list[str] | pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, whether each is the sequence of its pieces, how many it then has, their places among what is remembered)"""
         if self.table.tidy():
-            self.pool.clear()
             self.size.clear()
+            if self.pool:
+                self.pool.clear()
         rawtexts = raw(texts) if isinstance(texts, pa.Array) else [t.encode() for t in texts]
         split = Split(rawtexts, _ODD_SPACE)
         ends = split.offset + np.fromiter(map(len, rawtexts), np.int64, len(rawtexts))
@@ -110,10 +113,22 @@ class Encoder:
         led[split.first[has]] = 0
         use = np.repeat(plain, split.n)
         split.start, split.size = (split.start - led)[use], (split.size + led)[use]
-        row = self.table.rows(split)
+        return rawtexts, plain, np.where(plain, split.n, 0), self.table.rows(split)
+
+    def count(self, texts: list[str] | pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        rawtexts, plain, words, row = self._known(texts)
+        cum = np.concatenate(([0], np.cumsum(self.size.data[row])))
+        n = np.diff(cum[np.concatenate(([0], np.cumsum(words)))])
+        for i in np.flatnonzero(~plain).tolist():  # one at a time: what the tokenizer makes of a text is many times its size
+            n[i] = len(self._ids([rawtexts[i].decode()])[0])
+        return n
+
+    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text)"""
+        rawtexts, plain, words, row = self._known(texts)
         size = self.size.data[row]
         flat = gather(self.pool.data, self.place[row], size) if len(row) else np.zeros(0, np.uint32)
-        words = np.where(plain, split.n, 0)
         cum = np.concatenate(([0], np.cumsum(size)))
         bounds = cum[np.concatenate(([0], np.cumsum(words)))]
         if plain.all():
@@ -125,12 +140,12 @@ class Encoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, ids: bool = True) -> Encoder:
     """This process's encoder: workers serve many tasks, and what one has learnt serves the next."""
     open_ = LEARNT.setdefault("tokens", {})
-    if path not in open_:
-        open_[path] = Encoder(path)
-    return open_[path]
+    if (path, ids) not in open_:
+        open_[path, ids] = Encoder(path, ids=ids)
+    return open_[path, ids]
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -138,10 +153,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     docs = docs_of(docs)
 
     def run(batches):
-        encode = encoder(path)
+        count = encoder(path, ids=False).count
         for b in pieces(batches, operator="tokens"):
-            _, n = encode(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n + 1)], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(1)) + 1)], names=["doc_id", "n_tokens"])
 
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint")
 
@@ -231,7 +245,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, length: int = 2048,
     for r in listed.orderBy("part").collect():
         starts.append((r.part, r.file, r.n_docs, r.n_tokens, at))
         at += r.n_tokens
-    return spark.createDataFrame(starts, "part bigint, file string, n_docs bigint, n_tokens bigint, start bigint")
+    return given(spark, starts, "part bigint, file string, n_docs bigint, n_tokens bigint, start bigint")
 
 
 class TokenFile:
