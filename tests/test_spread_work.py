@@ -25,3 +25,11 @@ def test_only_found_texts_leave_the_scan(spark, data):
     docs = spark.createDataFrame([(5, "five"), (6, "six")], "id bigint, text string")
     want = {(5, "five", 1, "a"), (5, "five", 2, "b")}
     assert {tuple(r) for r in bm25.with_texts(found, docs, 3).collect()} == {tuple(r) for r in bm25.with_texts(found, docs, 1 << 40).collect()} == want
+
+
+def test_every_shard_is_a_task_of_its_own(spark):
+    vectors = spark.range(400).selectExpr("id", "array(float(id % 7), float(id % 5), 1.0f) AS embedding")
+    graph = hnsw.build(vectors, shards=13, seed=7)
+    assert graph._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # and none is dealt out again
+    places = graph.select("shard", F.spark_partition_id().alias("at")).distinct().collect()
+    assert len(places) == len({r.shard for r in places}) == len({r["at"] for r in places}) == 13
